@@ -1,14 +1,18 @@
 """The queries of this folder, by name, with their SQL where SQL can express them."""
 
-from tessera.llm import chat, licenses, url_filter
+from tessera.llm import chat, decontaminate, licenses, mixing, url_filter
 
 QUERIES = {
+    "op6_mix_sources": mixing.query,
     "op7_chat_format": chat.query,
     "op8_url_filter": url_filter.query,
+    "op9_decontaminate": decontaminate.query,
     "op10_license_scan": licenses.query,
 }
 ORACLE_SQL = {
+    "op6_mix_sources": mixing.SQL,
     "op7_chat_format": chat.SQL,
     "op8_url_filter": url_filter.SQL,
+    "op9_decontaminate": decontaminate.SQL,
     "op10_license_scan": licenses.SQL,
 }
