@@ -1,10 +1,11 @@
 """The queries of this folder, by name, with their SQL where SQL can express them."""
 
-from tessera.llm import chat, decontaminate, licenses, media_jpeg, mixing, token_counts, url_filter
+from tessera.llm import chat, decontaminate, language_id, licenses, media_jpeg, mixing, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
     "op3_media_jpeg": media_jpeg.query,
+    "op5_language_id": language_id.query,
     "op6_mix_sources": mixing.query,
     "op7_chat_format": chat.query,
     "op8_url_filter": url_filter.query,
