@@ -1,8 +1,58 @@
-"""Corpus pipeline: stages that each call one operator of tessera.llm. To follow."""
+"""Corpus pipeline: language ID, near duplicates, benchmark decontamination, mixing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of
+documents; the last returns the mix: a row per document that the mix takes, with the words it takes.
+Repeated rows, nulls, empty tables and extra columns are as the operators define them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, language_id, mixing, ngram_join
+from tessera.llm.common import cut, small, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a language: null texts and texts without a letter."""
+    return language_id.identify(docs).where(F.col("lang_pred") != language_id.UNKNOWN).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document of least doc_id stays, and one of rows that repeat its doc_id and text."""
+    found = ngram_join.join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = cut(found.groupBy(F.col("doc_id").alias("kept")).agg(F.count("*").alias("rows")))
+    once, often = found.where("rows = 1").select("kept"), small(found.where("rows > 1").select("kept"))
+    same = docs["doc_id"].eqNullSafe(F.col("kept"))
+    out = docs.join(small(once, 1_000_000), same, "left_semi")
+    return out.unionByName(docs.join(often, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a whole benchmark window go."""
+    hit = decontaminate.find(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("h_doc"), F.col("key").alias("h_key"))
+    text = F.md5(F.col("text").cast("binary"))
+    return docs.join(small(cut(hit)), docs["doc_id"].eqNullSafe(F.col("h_doc")) & (text == F.col("h_key")), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) of what the mix takes."""
+    return mixing.mix(docs).where("taken > 0")
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources to target weights", mix_sources),
+]
+#: Language ID is learned and the join's components are recursive; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

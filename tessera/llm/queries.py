@@ -1,9 +1,10 @@
 """The queries of this folder, by name, with their SQL where SQL can express them."""
 
-from tessera.llm import chat, decontaminate, language_id, licenses, media_jpeg, mixing, ngram_join, token_counts, url_filter
+from tessera.llm import chat, decontaminate, language_id, licenses, lm_scoring, media_jpeg, mixing, ngram_join, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
+    "op2_lm_scoring": lm_scoring.query,
     "op3_media_jpeg": media_jpeg.query,
     "op4_ngram_join": ngram_join.query,
     "op5_language_id": language_id.query,
