@@ -7,10 +7,10 @@ common tokens in the order lie in both. The order puts tokens that many document
 at most HEAVY of them are kept) last, others by hash; any order gives the same links.
 
 1. Tokens of P that one class alone has drop out. A class with too few left has no link.
-2. Each class left goes to a group: that of the most frequent token of its P. The token-group matrix is the set of
-   (token, group) over the members' P.
+2. Each class left goes to a group: that of the most frequent token of its P. The token-group matrix has, for each token
+   and group, how many members' P have it.
 3. A class queries a group if at least as many of its P's tokens are in the group's union as a link needs: the bound on overlap.
-   Of two groups only the later is queried.
+   Of two groups only the later is queried. Classes without enough in common with the others of their group, that query none and are in none that is queried, have no link.
 4. Members are compared with the hub, a member whose tokens are the group's most frequent ones. Members linked to it are
    one component already and are not compared with one another, so that a large group of near copies costs its size.
    What is left of the members, and the visiting queries, are compared with all members of the groups they qualify
@@ -41,6 +41,8 @@ WIDTH, PERCENT = 5, 80
 #: Tokens put last in the order, at most, and how many documents they are in at least.
 HEAVY, OFTEN = 1 << 16, 64
 BLOCK, CHUNK, MEMO = 4096, 2_000_000, 400_000
+#: Hubs are broadcast if their sets have so many tokens together at most (32 MB), else joined.
+HUB_TOKENS = 4_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -258,34 +260,41 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     often = heavy.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")  # HEAVY rows at most
     shared = cut(light.unionByName(heavy.join(F.broadcast(often), "token").select("id", "n", "token", "df")))
 
-    live = shared.groupBy("id").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.max(F.struct("df", "token")).alias("top"), F.sum("df").alias("pop"))
-    live = live.where(F.expr(f"c >= {_BOUND}")).select("id", "n", F.col("top.token").alias("home"), (F.col("pop") / F.col("n")).alias("score"))
+    enough = shared.groupBy("id").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.expr(f"c >= {_BOUND}")).select("id")
+    live = shared.join(small(cut(enough)), "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.max(F.struct("df", "token")).alias("top"), F.sum("df").alias("pop"))
+    live = cut(live.select("id", "n", F.col("top.token").alias("home"), (F.col("pop") / F.col("n")).alias("score")))
+
+    of_live = shared.select("id", "token").join(small(live.select("id", "n", "home")), "id")
+    matrix = cut(of_live.groupBy("token", F.col("home").alias("group")).agg(F.count("*").alias("members")))
+    seen = of_live.join(matrix, "token").where("group > home or group = home and members > 1").groupBy("id", "home", "group").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    seen = cut(seen.where(F.expr(f"c >= {_BOUND}")).select("id", "home", "group"))
+    visits = seen.where("group <> home").select("id", "group")
+    # whoever has enough in common with no group, its own without itself included, and is in none that is queried, has no link
+    needed_ids = seen.select("id").unionByName(live.join(small(visits.select(F.col("group").alias("home")).distinct()), "home", "left_semi").select("id")).distinct()
+    live = live.join(small(cut(needed_ids)), "id", "left_semi")
     live = cut(live.join(classes.select("id", "key", "rep"), "id"))
 
-    of_live = shared.select("id", "token").join(live.select("id", "n", "home"), "id")
-    matrix = of_live.select("token", F.col("home").alias("group")).distinct()
-    visits = of_live.join(matrix, "token").where("group > home").groupBy("id", "group").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.expr(f"c >= {_BOUND}")).select("id", "group")
-    visits = cut(visits)
-
     wanted = live.select(F.col("rep").alias("w")).distinct()
     chosen = docs.join(small(wanted), docs.doc_id.eqNullSafe(F.col("w")), "left_semi")
     sets = whole_sets(chosen).groupBy("key").agg(F.first("tokens").alias("tokens"))
-    sets = cut(live.join(sets, "key").select("id", "n", "home", "score", "tokens"))
+    sets = cut(sets.join(small(live), "key").select("id", "n", "home", "tokens"))
 
-    groups = sets.groupBy("home").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), "n", "tokens")).alias("h"), F.count("*").alias("members"))
-    hubs = groups.where("members > 1").select("home", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.tokens").alias("hub_tokens"))
+    groups = live.groupBy("home").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("h"), F.count("*").alias("members")).where("members > 1")
+    hubs = sets.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("tokens").alias("hub_tokens")).join(small(cut(groups.select("home", (-F.col("h.minus")).alias("hub")))), "hub")
+    hubs = cut(hubs)
+    hubs = F.broadcast(hubs) if (hubs.agg(F.sum("hub_n")).first()[0] or 0) <= HUB_TOKENS else hubs
     overlap = F.size(F.array_intersect("tokens", "hub_tokens"))
-    starred = sets.join(small(hubs, 2000), "home").withColumn("o", F.when(F.col("id") == F.col("hub"), F.col("n")).when(F.least("n", "hub_n") * 100 < F.greatest("n", "hub_n") * PERCENT, F.lit(0)).otherwise(overlap))
-    starred = cut(starred.select("id", F.when(F.expr(f"100 * o >= {PERCENT} * (n + hub_n - o)"), F.col("hub")).alias("hub")))
-
-    left_over = starred.where("hub is null").join(sets.select("id", F.col("home").alias("group")), "id").select("id", "group")
-    asked = cut(left_over.unionByName(visits))
-    shape = sets.groupBy(F.col("home").alias("group")).agg(F.count("*").alias("m")).join(asked.groupBy("group").agg(F.count("*").alias("q")), "group")
-    shape = shape.select("group", F.expr(f"(m + {BLOCK - 1}) div {BLOCK}").alias("mb"), F.expr(f"(q + {BLOCK - 1}) div {BLOCK}").alias("qb"))
-    shape = small(cut(shape))
+    starred = sets.join(hubs, "home").withColumn("o", F.when(F.col("id") == F.col("hub"), F.col("n")).when(F.least("n", "hub_n") * 100 < F.greatest("n", "hub_n") * PERCENT, F.lit(0)).otherwise(overlap))
+    starred = cut(starred.select("id", F.col("home").alias("group"), F.when(F.expr(f"100 * o >= {PERCENT} * (n + hub_n - o)"), F.col("hub")).alias("hub")))
+
+    asked = cut(starred.where("hub is null").select("id", "group").unionByName(visits))
+    shape = live.groupBy(F.col("home").alias("group")).agg(F.count("*").alias("m")).join(asked.groupBy("group").agg(F.count("*").alias("q")), "group")
+    shape = small(cut(shape.select("group", F.expr(f"(m + {BLOCK - 1}) div {BLOCK}").alias("mb"), F.expr(f"(q + {BLOCK - 1}) div {BLOCK}").alias("qb"))))
     nothing = F.lit(None).cast("long").alias("hub")
-    members = sets.join(starred, "id", "left").withColumnRenamed("home", "group").join(shape, "group").select("group", F.expr("pmod(xxhash64(id), mb)").alias("mblock"), F.explode(F.expr("sequence(0L, qb - 1)")).alias("qblock"), F.lit(False).alias("query"), "id", "n", "hub", "tokens")
-    queries = asked.join(sets.select("id", "n", "tokens"), "id").join(shape, "group").select("group", F.explode(F.expr("sequence(0L, mb - 1)")).alias("mblock"), F.expr("pmod(xxhash64(id), qb)").alias("qblock"), F.lit(True).alias("query"), "id", "n", nothing, "tokens")
+    members = sets.withColumnRenamed("home", "group").join(shape, "group").join(small(starred.select("id", "hub")), "id", "left")
+    members = members.select("group", F.expr("pmod(xxhash64(id), mb)").alias("mblock"), F.explode(F.expr("sequence(0L, qb - 1)")).alias("qblock"), F.lit(False).alias("query"), "id", "n", "hub", "tokens")
+    queries = sets.select("id", "n", "tokens").join(small(asked), "id").join(shape, "group")
+    queries = queries.select("group", F.explode(F.expr("sequence(0L, mb - 1)")).alias("mblock"), F.expr("pmod(xxhash64(id), qb)").alias("qblock"), F.lit(True).alias("query"), "id", "n", nothing, "tokens")
     found = members.unionByName(queries).groupBy("group", "mblock", "qblock").applyInArrow(open_block, "a long, b long")
 
     star = starred.where("hub is not null and hub <> id").select(F.col("id").alias("a"), F.col("hub").alias("b"))
