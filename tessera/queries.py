@@ -2,6 +2,540 @@
 
 from __future__ import annotations
 
+import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera import problem as P
+from tessera.functions import normalize as N
+from tessera.functions import temporal as T
+from tessera.functions.similarity import token_jaccard, with_similarity
+from tessera.operators import blocking, conflicts, evaluate, graph, rules, scoring
+from tessera.plans import resolve as plan
+from tessera.plans import results
+from tessera.plans.tables import cut
+from tessera.sources import files, master, relationships
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 FLAGSHIP = "final_decision_counts"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return master.load(P.raw(spark, sf_dir, P.MASTER), "master")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.prepare(P.raw(spark, sf_dir, P.RECORDS))
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- normalisers
+
+
+@query(rf"SELECT doc_id, md5(coalesce({P.name("regexp_replace(text, '[^ -~]', '', 'g')")}, '')) AS name FROM documents")
+def norm_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ascii_ = F.regexp_replace("text", "[^ -~]", "")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce(N.normalize_name(ascii_), F.lit("")).cast("binary")).alias("name"))
+
+
+@query(f"SELECT page_id, {P.domain('url')} AS domain FROM pages")
+def norm_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", N.normalize_domain(F.col("url")).alias("domain"))
+
+
+_PLACES = """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'One' WHEN 1 THEN cast(c_custkey AS string) ELSE 'No. ' || cast(c_custkey AS string) END || ' ' || c_mktsegment || CASE c_custkey % 5 WHEN 0 THEN ' St.' WHEN 1 THEN ' AVE' WHEN 2 THEN ' blvd' ELSE ' Wy' END AS street,
+  CASE c_custkey % 4 WHEN 0 THEN 'New  York' WHEN 1 THEN 'washington' WHEN 2 THEN ' ONTARIO' ELSE '!!' END AS region, CASE c_custkey % 3 WHEN 0 THEN 'ab-' || cast(c_custkey AS string) WHEN 1 THEN '  ' ELSE cast(c_custkey AS string) || ' xy' END AS postal,
+  CASE c_custkey % 6 WHEN 0 THEN 'N/A' WHEN 1 THEN ' none ' WHEN 2 THEN cast(c_custkey AS string) WHEN 3 THEN '12345678901' WHEN 4 THEN 'a.b-' || cast(c_custkey AS string) ELSE 'NASDAQ GS' END AS id,
+  CASE c_custkey % 7 WHEN 0 THEN 'United States' WHEN 1 THEN 'u.s.' WHEN 2 THEN 'fr' WHEN 3 THEN 'zz' WHEN 4 THEN 'Scotland' WHEN 5 THEN '' ELSE 'JP' END AS country FROM {customer}"""
+_D = P.duck(_PLACES)
+_TOKENS = "regexp_extract_all(lower({x}), '[a-z0-9]+')"
+_SUB = f"array_to_string({_TOKENS.format(x='region')}, ' ')"
+_STREETS = {s: full for full, names in N.STREETS.items() for s in names.split()}
+_NUMBERS = {w: str(i) for i, w in enumerate(N.NUMBER_WORDS)}
+
+
+@query(
+    f"SELECT c_custkey, nullif(array_to_string(list_transform({_TOKENS.format(x='street')}, lambda w, i: coalesce(CASE WHEN i = 1 THEN {P._lookup(_NUMBERS, 'w')} END, {P._lookup(_STREETS, 'w')}, w)), ' '), '') AS address, {_SUB} AS locality, "
+    f"coalesce({P._lookup(N.SUBDIVISIONS, _SUB)}, nullif({_SUB}, '')) AS subdivision, {P.compact('postal')} AS postal FROM ({_D})"
+)
+def norm_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return P.raw(spark, sf_dir, _PLACES).select("c_custkey", N.normalize_address(c("street")).alias("address"), N.normalize_locality(c("region")).alias("locality"), N.normalize_subdivision(c("region")).alias("subdivision"), N.normalize_postal_code(c("postal")).alias("postal"))
+
+
+@query(f"SELECT c_custkey, {P.null_token('id')} AS not_null, {P.identifier('id')} AS plain, {P.identifier('id', 'cik')} AS cik, {P.identifier('id', 'exchange')} AS exchange, {P.country('country', ('FR', 'JP'))} AS country FROM ({_D})")
+def norm_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return P.raw(spark, sf_dir, _PLACES).select("c_custkey", N.normalize_null(c("id")).alias("not_null"), N.normalize_identifier(c("id")).alias("plain"), N.normalize_identifier(c("id"), "cik").alias("cik"), N.normalize_identifier(c("id"), "exchange").alias("exchange"), N.normalize_country(c("country")).alias("country"))
+
+
+_DATES = """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN cast(cast(o_orderdate AS date) AS string) WHEN 1 THEN cast(cast(o_orderdate AS date) AS string) || 'T10:00:00' WHEN 2 THEN replace(cast(cast(o_orderdate AS date) AS string), '-', '/')
+  WHEN 3 THEN '1998-02-3' || cast(o_orderkey % 10 AS string) ELSE '' END AS raw FROM {orders}"""
+
+
+@query(f"SELECT o_orderkey, CASE WHEN regexp_matches(raw, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN CAST(try_cast(substr(raw, 1, 10) AS DATE) AS VARCHAR) END AS day FROM ({P.duck(_DATES)})")
+def observation_date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.raw(spark, sf_dir, _DATES).select("o_orderkey", N.parse_date(F.col("raw")).cast("string").alias("day"))
+
+
+# --- ingestion
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, round(avg(CASE WHEN {c} IS NULL OR CAST({c} AS VARCHAR) = '' THEN 1.0 ELSE 0.0 END), 6) AS null_rate, coalesce(max(length(CAST({c} AS VARCHAR))), 0)::INT AS longest FROM r0" for c in ("record_id", "entity_name", "domain", "cik", "ticker", "lei", "country"))
+    .join([f"WITH r0 AS ({P.duck(P.RECORDS)}) ", ""])
+)
+def profile_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.profile(P.raw(spark, sf_dir, P.RECORDS).select("record_id", "entity_name", "domain", "cik", "ticker", "lei", "country"))
+
+
+@query("SELECT o_orderkey AS \"row\", substr(sha256('orders.csv:' || CAST(o_orderkey AS VARCHAR)), 1, 20) AS record_id, 'orders.csv' AS source, o_orderpriority AS entity_name FROM orders")
+def map_default_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    return files.apply_mapping(rows, {"o_orderpriority": "entityName", "o_orderstatus": "metadata"}, "orders.csv", "o_orderkey").select("row", "record_id", "source", "entity_name")
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS record_id, count(*) AS n, min(l_linenumber)::INT AS first_row FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def duplicate_record_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("record_id"), F.col("l_linenumber").alias("row"))
+    return files.duplicate_ids(rows)
+
+
+_BAD_MASTER = f"""SELECT ord, 'entity:' || cast(ord % 700 AS string) AS internal_entity_id, CASE WHEN ord % 3 = 0 THEN 'sec:' || cast(ord % 450 AS string) END AS internal_security_id, CASE WHEN ord % 101 = 0 THEN '' ELSE 'Firm ' || cast(ord % 350 AS string) END AS canonical_name,
+  'issuer' AS entity_type, CASE WHEN ord % 6 = 0 THEN 'F' || cast(ord % 300 AS string) END AS figi, CASE WHEN ord % 5 = 0 THEN 'L' || cast(ord % 400 AS string) END AS lei, entity_valid_to AS entity_valid_from, entity_valid_from AS entity_valid_to FROM ({P.MASTER}) x"""
+
+
+@query(f"""
+WITH b AS (SELECT *, {P.name("canonical_name")} AS nm, internal_security_id IS NOT NULL OR figi IS NOT NULL AS listed, CAST(entity_valid_from AS DATE) AS vf, CAST(entity_valid_to AS DATE) AS vt FROM ({P.duck(_BAD_MASTER)}))
+SELECT 'missing_name' AS code, internal_entity_id AS subject, 1::BIGINT AS n FROM b WHERE canonical_name = ''
+UNION ALL SELECT 'conflicting_entity', internal_entity_id, count(DISTINCT coalesce(nm, '-') || '|' || coalesce(lei, '-')) FROM b GROUP BY 2 HAVING count(DISTINCT coalesce(nm, '-') || '|' || coalesce(lei, '-')) > 1
+UNION ALL SELECT 'duplicate_entity_row', internal_entity_id, count(*) FILTER (NOT listed) FROM b GROUP BY 2 HAVING count(*) FILTER (NOT listed) > 1
+UNION ALL SELECT 'duplicate_security', coalesce(internal_security_id, figi), count(*) FROM b WHERE listed GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'duplicate_figi', figi, count(*) FROM b WHERE figi IS NOT NULL GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'duplicate_lei', lei, count(DISTINCT internal_entity_id) FROM b WHERE lei IS NOT NULL GROUP BY 2 HAVING count(DISTINCT internal_entity_id) > 1
+UNION ALL SELECT 'invalid_entity_periods', internal_entity_id, 1 FROM b WHERE vf > vt
+""")
+def master_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return master.issues(cut(master.load(P.raw(spark, sf_dir, _BAD_MASTER), "master")))
+
+
+@query(f"WITH {P.M} SELECT ord, coalesce(CASE WHEN ord % 3 = 0 THEN 'sec:' || ord END, figi) AS security_id, entity_id AS issuer_id, figi, ticker, exchange FROM m WHERE ticker IS NOT NULL OR figi IS NOT NULL")
+def master_securities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return master.securities(_master(spark, sf_dir)).select("ord", "security_id", "issuer_id", "figi", "ticker", "exchange")
+
+
+# --- blocking
+
+
+@query(f"WITH {P.M}, {P.R}, {P.BLOCKS} SELECT * FROM blocks")
+def block_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.index(_master(spark, sf_dir))
+
+
+@query(f"WITH {P.M}, {P.R}, {P.BLOCKS} SELECT * FROM found")
+def block_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.search(cut(_records(spark, sf_dir)), cut(blocking.index(cut(_master(spark, sf_dir)))))
+
+
+@query(f"""WITH {P.R} SELECT record_id || '::conflict::' || kind AS record_id, record_id AS owner_id, probe_ord, CASE kind WHEN 'name' THEN name END AS name, CASE kind WHEN 'cik' THEN cik END AS cik, CASE kind WHEN 'lei' THEN lei END AS lei
+FROM r, (VALUES ('name', 1::INT), ('cik', 2), ('lei', 3)) AS k(kind, probe_ord) WHERE (cik IS NOT NULL AND lei IS NOT NULL OR (cik IS NOT NULL OR lei IS NOT NULL) AND entity_name IS NOT NULL)
+  AND CASE kind WHEN 'name' THEN entity_name ELSE CASE kind WHEN 'cik' THEN cik ELSE lei END END IS NOT NULL""")
+def conflict_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.conflict_probes(_records(spark, sf_dir)).select("record_id", "owner_id", "probe_ord", "name", "cik", "lei")
+
+
+@query("""SELECT a.p_partkey, round(len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' ')))::DOUBLE / len(list_distinct(list_concat(string_split(a.p_name, ' '), string_split(b.p_name, ' ')))), 6) AS jaccard
+FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
+def name_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    q = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
+    return p.join(q, "p_partkey").select("p_partkey", F.round(token_jaccard(F.col("p_name"), F.col("other")), 6).alias("jaccard"))
+
+
+@query()
+def fuzzy_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of each part's name to the next one's: a Python function, which tests hold against difflib."""
+    p = _table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" "), "p_brand").alias("name"))
+    q = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("name").alias("other"))
+    return with_similarity(p.join(q, "p_partkey"), "name", "other").select("p_partkey", F.round("similarity", 6).alias("similarity"))
+
+
+# --- scoring and decisions, with the tokens' Jaccard index for similarity so that SQL can follow
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, r = cut(_master(spark, sf_dir)), cut(_records(spark, sf_dir))
+    found = blocking.search(r, blocking.index(m))
+    c = m.select(
+        "ord", *(F.col(n).alias(f"c_{n}") for n in ("entity_id", "provider", "names", "domain", "country", "address", "city", "state", "postal", "cik", "lei", "entity_type")), F.lit(1).alias("c_n_sources"), F.get("names", F.lit(0)).alias("c_name"), "entity_periods",
+    )
+    mine = r.select("record_id", *(F.col(n).alias(f"r_{n}") for n in r.columns if n != "record_id"))
+    pairs = found.join(c, "ord").join(mine, "record_id")
+    best = F.array_max(F.transform("c_names", lambda n: token_jaccard(n, F.col("r_name"))))
+    exact = F.coalesce(F.array_contains("c_names", F.col("r_name")), F.lit(False))
+    pairs = pairs.withColumns({"similarity": F.when(exact, 1.0).otherwise(F.coalesce(best, F.lit(0.0))), "entity_scope": T.evaluate_periods(F.col("entity_periods"), F.col("r_day"))})
+    pairs = pairs.withColumn("evidence", scoring.entity_evidence())
+    return cut(pairs.withColumns({"confidence": F.round(scoring.entity_confidence(F.col("evidence")), 4), "pathway": scoring.primary_pathway(F.col("evidence")), "points": F.round(scoring.points_of(F.col("evidence")), 6)}).drop("entity_periods"))
+
+
+@query(f"WITH {P.M}, {P.R}, {P.BLOCKS}, {P.SCORES} SELECT record_id, ord, round(raw, 6)::DOUBLE AS points, confidence::DOUBLE AS confidence, pathway, scope FROM confident")
+def entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("record_id", "ord", "points", "confidence", "pathway", F.col("entity_scope.status").alias("scope"))
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scored(spark, sf_dir)
+    s = s.withColumn("place", F.row_number().over(Window.partitionBy("record_id").orderBy(F.desc("confidence"), "rank")))
+    conflict = F.exists("evidence", lambda x: x["contribution"] < -50) | F.col("entity_scope.valid").eqNullSafe(F.lit(False))
+    return s.withColumn("conflict", conflict).withColumn("status", scoring.decide(F.col("pathway"), F.col("confidence"), F.col("conflict")))
+
+
+@query(f"WITH {P.M}, {P.R}, {P.BLOCKS}, {P.SCORES} SELECT record_id, place::INT AS place, entity_id, confidence::DOUBLE AS confidence FROM decided WHERE place <= 3")
+def entity_top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir).where("place <= 3").select("record_id", "place", F.col("c_entity_id").alias("entity_id"), "confidence")
+
+
+@query(f"WITH {P.M}, {P.R}, {P.BLOCKS}, {P.SCORES} SELECT record_id, entity_id, pathway, conflict, status FROM decided WHERE place = 1")
+def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir).where("place = 1").select("record_id", F.col("c_entity_id").alias("entity_id"), "pathway", "conflict", "status")
+
+
+_FINAL = """CASE WHEN scope = 'invalid' THEN 'temporal_verification_required' WHEN status = 'unmatched' THEN 'unmatched' WHEN status = 'review_required' THEN 'review_required' ELSE 'private_entity' END"""
+
+
+@query(f"WITH {P.M}, {P.R}, {P.BLOCKS}, {P.SCORES} SELECT {_FINAL} AS final_decision, count(*) AS records FROM decided WHERE place = 1 GROUP BY 1")
+def final_decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from records to decisions, without listings and parents."""
+    d = _decided(spark, sf_dir).where("place = 1")
+    empty = F.array().cast(scoring.EVIDENCE)
+    entity = results.component_status(F.col("status"), empty, results.ENTITY_CONFLICTS)
+    decision = results.final_decision(F.col("status"), entity, F.lit("unknown"), F.lit("not_applicable"), results.temporal_status(F.col("entity_scope.status")), F.lit(None).cast("string"), F.lit(False))
+    return d.groupBy(decision.alias("final_decision")).agg(F.count("*").alias("records"))
+
+
+_ENT = "ent AS (SELECT f.record_id, f.ord, m.entity_id, m.cname, m.names, m.cik, m.lei, r.name, r.cik AS rc, r.lei AS rl FROM found f JOIN m USING (ord) JOIN r USING (record_id))"
+
+
+@query(f"""WITH {P.M}, {P.R}, {P.BLOCKS}, {_ENT},
+s AS (SELECT record_id, list_sort(list_distinct(list(CASE WHEN (rc = cik) IS TRUE OR (rl = lei) IS TRUE THEN cname END) FILTER ((rc = cik) IS TRUE OR (rl = lei) IS TRUE))) AS strong, coalesce(list_distinct(list(cname) FILTER (list_contains(names, name))), []) AS named FROM ent GROUP BY record_id)
+SELECT record_id, array_to_string(strong, ',') AS strong_keys, len(strong) > 1 AS identifier_conflict, len(list_filter(named, lambda x: NOT list_contains(strong, x))) > 0 AS exact_name_conflict FROM s WHERE len(strong) > 0""")
+def identifier_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, r = cut(_master(spark, sf_dir)), cut(_records(spark, sf_dir))
+    found = blocking.search(r, blocking.index(m)).join(m.select("ord", "entity_id", "names", "cik", "lei"), "ord")
+    return conflicts.identifier_conflicts(r, found).select("record_id", F.array_join("strong_keys", ",").alias("strong_keys"), "identifier_conflict", "exact_name_conflict")
+
+
+@query(f"""WITH {P.M}, {P.R}, {P.BLOCKS}, {_ENT}
+SELECT a.record_id, count(*) AS conflicts FROM ent a JOIN ent b ON a.record_id = b.record_id AND a.ord < b.ord
+WHERE a.cname = b.cname AND ((a.cik <> b.cik) IS TRUE OR (a.lei <> b.lei) IS TRUE) OR a.cname <> b.cname AND ((a.cik = b.cik) IS TRUE OR (a.lei = b.lei) IS TRUE) GROUP BY 1""")
+def authoritative_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, r = cut(_master(spark, sf_dir)), cut(_records(spark, sf_dir))
+    found = blocking.search(r, blocking.index(m)).join(m.select("ord", "entity_id", "names", "cik", "lei"), "ord")
+    return conflicts.authoritative_conflicts(found.withColumns({"ordinal": F.col("ord"), "trust": F.lit("authoritative")}))
+
+
+# --- listings
+
+
+_LISTED = f"""WITH {P.M}, {P.R}, {P.BLOCKS},
+pairs AS (SELECT f.record_id, f.ord, 'sec:' || f.ord AS security_id, m.entity_id AS issuer, r.ticker AS rt, r.exchange AS rx, m.ticker, m.exchange, r.expected_entity_id = m.entity_id AS linked FROM found f JOIN m USING (ord) JOIN r USING (record_id) WHERE m.ticker IS NOT NULL),
+p AS (SELECT *, (rt = ticker) IS TRUE AS t, (rx = exchange) IS TRUE AS x FROM pairs),
+s AS (SELECT *, CASE WHEN t AND x THEN 80 WHEN t THEN 40 ELSE 0 END + CASE WHEN linked THEN 20 ELSE 0 END AS raw FROM p),
+c AS (SELECT *, round(CASE WHEN t AND x AND linked THEN greatest(least(raw / 100.0, 1), 0.99) WHEN t AND rx IS NULL THEN least(raw / 100.0, 0.79) ELSE raw / 100.0 END, 4) AS confidence FROM s),
+k AS (SELECT *, row_number() OVER w AS place, lead(confidence) OVER w AS nc, lead(security_id) OVER w AS ns FROM c WINDOW w AS (PARTITION BY record_id ORDER BY confidence DESC, ord))"""
+
+
+def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, raw = cut(_master(spark, sf_dir)), P.raw(spark, sf_dir, P.RECORDS)
+    r = cut(plan.prepare(raw).join(raw.select("record_id", "expected_entity_id"), "record_id"))
+    found = blocking.search(r, blocking.index(m))
+    s = master.securities(m)
+    s = s.select("ord", *(F.col(n).alias(f"s_{n}") for n in s.columns if n != "ord"), F.lit(1).alias("s_n_sources"))
+    mine = r.select("record_id", *(F.col(n).alias(f"r_{n}") for n in ("figi", "isin", "cusip", "ticker", "exchange")), F.lit(None).cast("date").alias("r_day"), "expected_entity_id")
+    pairs = found.join(s, "ord").join(mine, "record_id").withColumns({"linked": F.coalesce(F.col("s_issuer_id") == F.col("expected_entity_id"), F.lit(False)), "security_scope": T.evaluate_periods(F.col("s_security_periods"), F.col("r_day"))})
+    pairs = pairs.withColumn("e", scoring.security_evidence())
+    return pairs.withColumn("confidence", F.round(scoring.security_confidence(F.col("e")), 4))
+
+
+@query(_LISTED + " SELECT record_id, security_id, confidence::DOUBLE AS confidence FROM c")
+def security_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listings(spark, sf_dir).select("record_id", F.col("s_security_id").alias("security_id"), "confidence")
+
+
+@query(_LISTED + " SELECT record_id, security_id, confidence::DOUBLE AS confidence, coalesce(nc >= confidence - 0.02 AND ns <> security_id, false) AS ambiguous FROM k WHERE place = 1")
+def security_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("record_id").orderBy(F.desc("confidence"), "ord")
+    s = _listings(spark, sf_dir).withColumns({"place": F.row_number().over(w), "nc": F.lead("confidence").over(w), "ns": F.lead("s_security_id").over(w)})
+    close = F.coalesce((F.col("nc") >= F.col("confidence") - 0.02) & (F.col("ns") != F.col("s_security_id")), F.lit(False))
+    return s.where("place = 1").select("record_id", F.col("s_security_id").alias("security_id"), "confidence", close.alias("ambiguous"))
+
+
+# --- dates
+
+
+_PERIODS = """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 <> 0 THEN cast(l_shipdate AS date) END AS vf, CASE WHEN l_linenumber % 3 <> 0 THEN cast(l_shipdate AS date) + 40 END AS vt,
+  CASE l_returnflag WHEN 'R' THEN 'inactive' ELSE 'ACTIVE' END AS status FROM {lineitem}"""
+_DAYS = "SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN cast(o_orderdate AS date) + cast(o_orderkey % 100 AS int) END AS day FROM {orders}"
+_VALID = f"""WITH o AS ({P.duck(_DAYS)}), p AS ({P.duck(_PERIODS)}),
+v AS (SELECT o_orderkey, day, l_orderkey IS NOT NULL AS there, CASE WHEN vf IS NULL AND vt IS NULL OR upper(status) IN ('INACTIVE', 'ANNULLED', 'RETIRED', 'DELISTED') AND vt IS NULL THEN NULL ELSE (vf IS NULL OR day >= vf) AND (vt IS NULL OR day <= vt) END AS ok FROM o LEFT JOIN p ON l_orderkey = o_orderkey),
+g AS (SELECT o_orderkey, day, bool_or(there) AS there, coalesce(bool_or(ok IS TRUE), false) AS t, coalesce(bool_or(ok IS FALSE), false) AS f, coalesce(bool_or(ok IS NULL AND there), false) AS u FROM v GROUP BY o_orderkey, day),
+s AS (SELECT *, CASE WHEN day IS NULL THEN 'not_requested' WHEN NOT there THEN 'not_verified' WHEN t THEN 'verified' WHEN f AND NOT u THEN 'invalid' WHEN f THEN 'partial' ELSE 'not_verified' END AS any_status,
+  CASE WHEN day IS NULL THEN 'not_requested' WHEN NOT there THEN 'not_verified' WHEN f THEN 'invalid' WHEN t AND NOT u THEN 'verified' WHEN t THEN 'partial' ELSE 'not_verified' END AS all_status FROM g)"""
+
+
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = P.raw(spark, sf_dir, _PERIODS).groupBy("l_orderkey").agg(F.collect_list(F.struct(F.lit("x").alias("period_type"), F.col("vf").alias("valid_from"), F.col("vt").alias("valid_to"), "status", F.lit("p").alias("provider"))).alias("periods"))
+    o = P.raw(spark, sf_dir, _DAYS).join(p, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return o.withColumns({"any_": T.evaluate_periods(F.col("periods"), F.col("day")), "all_": T.evaluate_periods(F.col("periods"), F.col("day"), every=True)})
+
+
+@query(_VALID + " SELECT o_orderkey, any_status, all_status FROM s")
+def period_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dated(spark, sf_dir).select("o_orderkey", F.col("any_.status").alias("any_status"), F.col("all_.status").alias("all_status"))
+
+
+@query(_VALID + """, c AS (SELECT *, CASE WHEN any_status = 'verified' THEN true WHEN any_status = 'invalid' THEN false END AS a, CASE WHEN all_status = 'verified' THEN true WHEN all_status = 'invalid' THEN false END AS b, o_orderkey % 2 = 0 AS used FROM s),
+k AS (SELECT *, CASE WHEN day IS NULL THEN 'not_requested' WHEN a IS FALSE OR used AND b IS FALSE THEN 'invalid' WHEN a IS TRUE AND (NOT used OR b IS TRUE) THEN 'verified' WHEN a IS TRUE OR used AND b IS TRUE THEN 'partial' ELSE 'not_verified' END AS overall FROM c)
+SELECT overall, CASE WHEN overall = 'invalid' THEN 'review' WHEN overall IN ('not_requested', 'not_verified', 'partial') THEN 'allow_with_warning' ELSE 'allow' END AS lenient,
+  CASE WHEN overall = 'invalid' THEN 'review' WHEN overall IN ('not_requested', 'not_verified', 'partial') THEN 'reject' ELSE 'allow' END AS strict, count(*) AS n FROM k GROUP BY 1, 2, 3""")
+def combined_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _dated(spark, sf_dir)
+    other = F.when(F.col("o_orderkey") % 2 == 0, F.col("all_")).otherwise(T.not_applicable())
+    d = d.withColumn("overall", T.combine(F.col("day"), F.col("any_"), other)["status"])
+    return d.groupBy("overall", T.policy_action(F.col("overall")).alias("lenient"), T.policy_action(F.col("overall"), unknown="reject").alias("strict")).agg(F.count("*").alias("n"))
+
+
+# --- rules
+
+
+_RULES = [
+    {"id": "all-zzz", "priority": 5, "conditions": {"entity_name": {"normalized_exact_any": ["ZZZ Vendor 1 Inc", "zzz vendor 2"]}}, "action": "unmatched", "result": {}},
+    {"id": "dated", "priority": 50, "conditions": {"country": {"country": "Germany"}, "cik": {"exact_any": ["0000000010", "0000000011", "0000000012"]}}, "valid_from": "1996-01-01", "valid_to": "1998-12-31", "result": {"entity": {"entity_id": "x"}}},
+    {"id": "site", "priority": 70, "conditions": {"domain": {"domain": "http://c7.com/x"}}, "result": {"entity": {"entity_id": "y"}}},
+    {"id": "off", "enabled": False, "conditions": {}, "result": {}},
+]
+
+
+@query(f"""WITH {P.R} SELECT record_id, CASE WHEN day IS NULL AND false THEN NULL WHEN domain = 'c7.com' THEN 'rule:site' WHEN day BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND country = 'DE' AND cik IN ('0000000010', '0000000011', '0000000012') THEN 'rule:dated'
+  WHEN name IN ('zzz vendor 1', 'zzz vendor 2') THEN 'rule:all-zzz' END AS decision_source FROM r""")
+def rule_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = rules.rules_of(_RULES)
+    return rules.decided(_records(spark, sf_dir), own).select("record_id", F.get(F.array(*[F.lit(r.source) for r in own]), F.col("rule")).alias("decision_source"))
+
+
+@query(f"WITH {P.R} SELECT record_id, CASE WHEN country = 'DE' THEN 'second' WHEN country IS NOT NULL AND name LIKE '%' THEN CASE WHEN country IN ('DE', 'US') THEN 'first' END END AS reason FROM r")
+def override_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = [{"pattern": {"country": {"exact_any": ["DE", "US"]}}, "action": "unmatched", "reviewer": "a", "reason": "first"}, {"pattern": {"country": "DE"}, "action": "ambiguous", "reviewer": "b", "reason": "second"}]
+    own = rules.overrides_of(log)
+    named = F.get(F.array(*[F.lit(r.reason) for r in own]), F.col("rule"))
+    return rules.decided(_records(spark, sf_dir), own).select("record_id", F.when((named == "first") & F.col("name").isNull(), None).otherwise(named).alias("reason"))
+
+
+@query(f"WITH {P.R} SELECT record_id FROM r WHERE NOT coalesce(domain = 'c7.com' OR day BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND country = 'DE' AND cik IN ('0000000010', '0000000011', '0000000012') OR name IN ('zzz vendor 1', 'zzz vendor 2'), false)")
+def undecided_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.decided(_records(spark, sf_dir), rules.rules_of(_RULES)).where("rule is null").select("record_id")
+
+
+# --- relationships
+
+
+_TYPES = ", ".join(f"'{t}'" for t in relationships.TYPES)
+_REL = f"""WITH RECURSIVE raw AS ({P.duck(P.RELATIONSHIPS)}),
+p AS (SELECT "row", relationship_id AS id, child_entity_id AS c, parent_entity_id AS p, CASE WHEN lower(relationship_type) IN ({_TYPES}) THEN lower(relationship_type) END AS t, try_cast(valid_from AS DATE) AS vf, CASE WHEN regexp_matches(valid_to, '^\\d{{4}}-') THEN try_cast(valid_to AS DATE) END AS vt, valid_to AS rt,
+  try_cast(ownership_percentage AS DOUBLE) AS sh, ownership_percentage AS rs, trust_level AS tl, is_direct AS di FROM raw),
+u AS (SELECT * FROM p WHERE id IS NOT NULL AND c IS NOT NULL AND p IS NOT NULL AND t IS NOT NULL),
+cyc AS (SELECT * FROM u WHERE t IN ({", ".join(f"'{t}'" for t in relationships.CYCLIC)})), e AS (SELECT DISTINCT c, p FROM cyc)"""
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relationships.parse(P.raw(spark, sf_dir, P.RELATIONSHIPS))
+
+
+@query(_REL + """ SELECT "row", 'missing_identifier' AS code, 'relationship_id' AS field FROM p WHERE id IS NULL UNION ALL SELECT "row", 'self_reference', 'parent_entity_id' FROM p WHERE c = p.p UNION ALL SELECT "row", 'invalid_relationship_type', 'relationship_type' FROM p WHERE t IS NULL
+UNION ALL SELECT "row", 'invalid_period', 'valid_to' FROM p WHERE rt IS NOT NULL AND vt IS NULL OR vf > vt UNION ALL SELECT "row", 'invalid_ownership_percentage', 'ownership_percentage' FROM p WHERE rs IS NOT NULL AND (sh IS NULL OR sh NOT BETWEEN 0 AND 100)
+UNION ALL SELECT "row", 'minority_control_conflict', 'ownership_percentage' FROM p WHERE t = 'minority_owned_by' AND sh BETWEEN 50 AND 100 UNION ALL SELECT "row", 'invalid_trust_level', 'trust_level' FROM p WHERE tl = 'solid' UNION ALL SELECT "row", 'invalid_is_direct', 'is_direct' FROM p WHERE di = 'perhaps'""")
+def relationship_row_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relationships.row_issues(_parsed(spark, sf_dir))
+
+
+@query(_REL + ' SELECT "row" FROM u QUALIFY count(*) OVER (PARTITION BY id) > 1')
+def duplicate_relationship_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relationships.duplicate_ids(relationships.usable(_parsed(spark, sf_dir))).select("row")
+
+
+@query(_REL + f""", pr AS (SELECT a."row" AS x, b."row" AS y, CASE WHEN a.p = b.p AND a.t = b.t THEN 'duplicate_active_relationship' WHEN a.p <> b.p AND a.t IN ({", ".join(f"'{t}'" for t in relationships.EXCLUSIVE)}) AND b.t IN ({", ".join(f"'{t}'" for t in relationships.EXCLUSIVE)}) THEN 'overlapping_parent_periods' END AS code
+  FROM u a JOIN u b ON a.c = b.c AND a."row" < b."row" AND greatest(coalesce(a.vf, DATE '0001-01-01'), coalesce(b.vf, DATE '0001-01-01')) <= least(coalesce(a.vt, DATE '9999-12-31'), coalesce(b.vt, DATE '9999-12-31')))
+SELECT x AS "row", code, y AS other FROM pr WHERE code IS NOT NULL UNION ALL SELECT y, code, x FROM pr WHERE code IS NOT NULL""")
+def overlapping_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relationships.overlaps(relationships.usable(_parsed(spark, sf_dir))).select("row", "code", "other")
+
+
+@query(_REL + """, reach AS (SELECT c, p, 1 AS d FROM e UNION SELECT reach.c, e.p, d + 1 FROM reach JOIN e ON e.c = reach.p WHERE d < 8) SELECT DISTINCT "row" FROM cyc JOIN reach ON reach.c = cyc.p AND reach.p = cyc.c""")
+def relationship_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relationships.cycles(relationships.usable(cut(_parsed(spark, sf_dir)))).select("row")
+
+
+@query(_REL + """ SELECT "row", field FROM (SELECT "row", 'child_entity_id' AS field, c AS id FROM u UNION ALL SELECT "row", 'parent_entity_id', p FROM u) WHERE id NOT IN (SELECT 'entity:' || c_custkey FROM customer)""")
+def unknown_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _table(spark, sf_dir, "customer").select(F.concat(F.lit("entity:"), F.col("c_custkey").cast("string")).alias("entity_id"))
+    return relationships.unknown_references(relationships.usable(_parsed(spark, sf_dir)), known).select("row", "field")
+
+
+# --- parents
+
+
+def _subjects(m: DataFrame) -> DataFrame:
+    return m.select(F.col("entity_id").alias("subject"), F.col("entity_type").alias("subject_type"), F.lit(None).cast("date").alias("day"))
+
+
+@query(f"""WITH RECURSIVE {P.M}, up AS (SELECT entity_id AS subject, entity_type, entity_id AS here, 0 AS hops FROM m UNION ALL SELECT subject, up.entity_type, parent_id, hops + 1 FROM up JOIN m ON m.entity_id = up.here WHERE parent_id IS NOT NULL),
+top AS (SELECT subject, any_value(entity_type) AS entity_type, max(hops) AS hops, arg_max(here, hops) AS root FROM up GROUP BY subject)
+SELECT subject, CASE WHEN hops > 0 THEN 'candidate' WHEN entity_type = 'issuer' THEN 'not_applicable' ELSE 'unknown' END AS parent_status, CASE WHEN hops > 0 THEN root END AS parent_id, hops::INT AS hops, CASE WHEN hops > 0 THEN 'resolved' ELSE 'not_available' END AS relationship_status FROM top""")
+def parent_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = cut(_master(spark, sf_dir))
+    p = graph.resolve_parents(_subjects(m), graph.ready(master.edges(m), "supporting", False))
+    return p.select("subject", "parent_status", F.get("parents", F.lit(0))["parent_id"].alias("parent_id"), (F.size("chain.ids") - 1).alias("hops"), "relationship_status")
+
+
+_TWO = """SELECT 'e' || cast(c_custkey AS string) AS c, 'e' || cast(cast(floor(c_custkey / 10) AS bigint) AS string) AS p, c_custkey AS k FROM {customer} WHERE c_custkey >= 10
+UNION ALL SELECT 'e' || cast(c_custkey AS string), 'e' || cast(cast(floor(c_custkey / 10) AS bigint) + 1 AS string), c_custkey FROM {customer} WHERE c_custkey >= 10 AND c_custkey % 10 = 3"""
+
+
+@query(f"""WITH RECURSIVE e AS ({P.duck(_TWO)}), w AS (SELECT 'e' || c_custkey AS s, ['e' || c_custkey] AS ids, 'e' || c_custkey AS here FROM customer UNION ALL SELECT s, list_append(ids, p), p FROM w JOIN e ON e.c = w.here WHERE NOT list_contains(ids, p) AND len(ids) <= 8),
+leaf AS (SELECT * FROM w WHERE len(ids) > 1 AND NOT EXISTS (SELECT 1 FROM e WHERE e.c = w.here AND NOT list_contains(w.ids, e.p)))
+SELECT s AS subject, count(here) AS n_paths, count(DISTINCT here) AS n_parents, CASE WHEN count(DISTINCT here) > 1 THEN 'contradicted' WHEN count(here) > 0 THEN 'verified' ELSE 'unknown' END AS parent_status FROM (SELECT 'e' || c_custkey AS s FROM customer) LEFT JOIN leaf USING (s) GROUP BY s""")
+def parent_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = P.raw(spark, sf_dir, _TWO).select(F.col("k").alias("row"), F.concat("c", F.lit(">"), "p").alias("relationship_id"), F.col("c").alias("child_entity_id"), F.col("p").alias("parent_entity_id"), F.lit("subsidiary_of").alias("relationship_type"))
+    edges = graph.ready(relationships.edges(relationships.parse(e)), "authoritative", True)
+    s = _table(spark, sf_dir, "customer").select(F.concat(F.lit("e"), F.col("c_custkey").cast("string")).alias("subject"), F.lit("legal_entity").alias("subject_type"), F.lit(None).cast("date").alias("day"))
+    p = graph.resolve_parents(s, edges).withColumn("n_paths", F.size(graph.paths(F.col("direct"), F.col("subject"))).cast("long"))
+    return p.select("subject", "n_paths", F.size("parents").cast("long").alias("n_parents"), "parent_status")
+
+
+@query(_REL + """ SELECT p AS parent_id, t AS type, CAST(vf AS VARCHAR) AS valid_from, CAST(vt AS VARCHAR) AS valid_to FROM u WHERE c = 'entity:17' AND (vf IS NULL OR DATE '1997-06-01' >= vf) AND (vt IS NULL OR DATE '1997-06-01' <= vt)""")
+def inspect_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = graph.ready(relationships.edges(_parsed(spark, sf_dir)), "authoritative", True)
+    return graph.inspect(edges, "entity:17", "1997-06-01").select(F.col("to_id").alias("parent_id"), "type", F.col("valid_from").cast("string").alias("valid_from"), F.col("valid_to").cast("string").alias("valid_to"))
+
+
+# --- evaluation
+
+
+_RESULTS = """SELECT cast(o_orderkey AS string) AS record_id, CASE o_orderkey % 4 WHEN 0 THEN 'matched' WHEN 1 THEN 'review_required' WHEN 2 THEN 'matched' ELSE 'unmatched' END AS status, cast(o_orderkey % 101 AS double) / 100 AS confidence, CASE o_orderkey % 5 WHEN 0 THEN 'exact_cik' WHEN 1 THEN 'exact_name' ELSE 'fuzzy_name_only' END AS pathway,
+  'e' || cast(o_custkey + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS string) AS a, 'e' || cast(o_custkey AS string) AS b, CASE WHEN o_orderkey % 3 = 0 THEN 'e' || cast(o_custkey % 10 AS string) END AS direct_parent_id, CASE o_orderkey % 6 WHEN 0 THEN 'verified' WHEN 1 THEN 'invalid' ELSE 'partial' END AS overall_status,
+  cast(o_totalprice AS double) AS duration_ms, o_orderkey % 10 <> 9 AS positive, o_orderpriority AS category, 'e' || cast(o_custkey AS string) AS expected, 'e' || cast(o_custkey % 10 AS string) AS expected_parent, o_orderkey % 11 = 0 AS crossed FROM {orders}"""
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = P.raw(spark, sf_dir, _RESULTS)
+    crossed = F.when(F.col("crossed"), F.array(F.lit("identifier_conflict"))).otherwise(F.array(F.lit("name_similarity")))
+    r = raw.select("record_id", "status", "confidence", "pathway", F.array("a", "b").alias("ranked_ids"), "direct_parent_id", F.lit(1).alias("n_edges"), "overall_status", "duration_ms", crossed.alias("evidence_types"))
+    t = raw.select("record_id", F.when(F.col("positive"), F.col("expected")).alias("expected_entity_id"), F.when(F.col("positive"), F.col("expected_parent")).alias("expected_parent_entity_id"), "category")
+    return evaluate.judged(r, t)
+
+
+_J = f"WITH j AS (SELECT *, a = expected AND positive AS top1, (a = expected OR b = expected) AND positive AS top3, status = 'matched' AS auto, status = 'review_required' AS review, status = 'unmatched' AS un, CASE WHEN positive THEN status <> 'unmatched' AND a = expected ELSE status = 'unmatched' END AS ok, (direct_parent_id = expected_parent) IS TRUE AS pr FROM ({P.duck(_RESULTS)}))"
+
+
+def _rate(hit: str, of: str = "true") -> str:
+    return f"round(count(*) FILTER (({hit}) AND ({of})) / nullif(count(*) FILTER ({of}), 0)::DOUBLE, 4)"
+
+
+@query(f"""{_J} SELECT count(*) AS records, count(*) FILTER (positive) AS positive_records, {_rate("top1", "positive")} AS top_1_accuracy, {_rate("top3", "positive")} AS top_3_recall, {_rate("ok")} AS decision_accuracy, {_rate("top1", "auto")} AS automatic_match_precision,
+  {_rate("auto")} AS automatic_match_coverage, {_rate("top1", "review")} AS review_queue_precision, {_rate("auto", "NOT positive")} AS false_positive_rate, {_rate("NOT positive", "un")} AS unmatched_precision, {_rate("un", "NOT positive")} AS negative_recall, {_rate("un", "positive")} AS false_rejection_rate,
+  {_rate("pr", "positive")} AS direct_parent_accuracy, count(*) FILTER (crossed) AS identifier_conflict_records, {_rate("review", "crossed")} AS identifier_conflict_review_rate, {_rate("overall_status = 'verified'")} AS overall_temporal_verified_rate FROM j""")
+def eval_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = "records positive_records top_1_accuracy top_3_recall decision_accuracy automatic_match_precision automatic_match_coverage review_queue_precision false_positive_rate unmatched_precision negative_recall false_rejection_rate direct_parent_accuracy identifier_conflict_records identifier_conflict_review_rate overall_temporal_verified_rate"
+    return evaluate.headline(_judged(spark, sf_dir)).select(*names.split())
+
+
+@query(f"""{_J} SELECT category, count(*) AS records, count(*) < 30 AS small_sample, CASE WHEN bool_or(positive) THEN {_rate("top1")} END AS top_1_accuracy, {_rate("ok")} AS decision_accuracy, {_rate("auto")} AS auto_match_rate, {_rate("review")} AS review_rate, {_rate("pr", "positive")} AS direct_parent_accuracy,
+  {_rate("overall_status = 'invalid'")} AS temporal_invalid_rate FROM j GROUP BY category""")
+def eval_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.by_category(_judged(spark, sf_dir))
+
+
+@query(f"""{_J} SELECT pathway, count(*) AS records, count(*) FILTER (auto) AS automatic_matches, {_rate("top1", "auto")} AS automatic_match_precision, {_rate("auto")} AS coverage, {_rate("ok")} AS decision_accuracy, count(*) < 30 AS small_sample, count(duration_ms) AS timed, round(median(duration_ms), 4) AS median_ms,
+  round(quantile_disc(duration_ms, 0.95), 4) AS p95_ms, round(max(duration_ms), 4) AS max_ms FROM j GROUP BY pathway""")
+def eval_by_pathway(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.by_pathway(_judged(spark, sf_dir))
+
+
+@query(f"{_J} SELECT bin, n AS records, round(c, 4) AS mean_confidence, round(a, 4) AS observed_accuracy, round(abs(c - a), 4) AS gap FROM (SELECT least(floor(confidence * 5), 4)::INT AS bin, count(*) AS n, avg(confidence) AS c, avg(ok::INT::DOUBLE) AS a FROM j GROUP BY 1)")
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.calibration(_judged(spark, sf_dir))
+
+
+@query(f"{_J} SELECT round(sum(abs(c - a) * n) / sum(n), 4) AS expected_calibration_error FROM (SELECT count(*) AS n, avg(confidence) AS c, avg(ok::INT::DOUBLE) AS a FROM j GROUP BY least(floor(confidence * 5), 4))")
+def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.calibration_error(_judged(spark, sf_dir))
+
+
+@query(f"""{_J}, g AS (SELECT category, count(*) FILTER (auto AND top1) AS s, count(*) FILTER (auto)::DOUBLE AS n FROM j GROUP BY 1), h AS (SELECT *, s / nullif(n, 0) AS p FROM g)
+SELECT category, round(greatest(0.0, (p + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n)), 4) AS lower_bound,
+  round(least(1.0, (p + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n)), 4) AS upper_bound FROM h""")
+def wilson_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _judged(spark, sf_dir).groupBy("category").agg(F.count_if(F.col("auto") & F.col("top1")).alias("s"), F.count_if("auto").alias("n"))
+    low, high = evaluate.wilson(F.col("s"), F.col("n"))
+    return g.select("category", low.alias("lower_bound"), high.alias("upper_bound"))
+
+
+# --- shapes and the whole plan
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(v, '^[=+\\-@\\t\\r\\n]') THEN '''' || v ELSE v END AS cell FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN '=' || url WHEN 1 THEN '-' || url WHEN 2 THEN chr(9) || url WHEN 3 THEN '@x' ELSE url END AS v FROM pages)")
+def csv_formula_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.when(F.col("page_id") % 6 == 0, F.concat(F.lit("="), "url")).when(F.col("page_id") % 6 == 1, F.concat(F.lit("-"), "url")).when(F.col("page_id") % 6 == 2, F.concat(F.lit("\t"), "url")).when(F.col("page_id") % 6 == 3, "@x").otherwise(F.col("url"))
+    return _table(spark, sf_dir, "pages").select("page_id", results.safe_cell(v).alias("cell"))
+
+
+_STATES = "SELECT o_orderkey, ['verified', 'candidate', 'ambiguous', 'unknown', 'contradicted'][(o_orderkey % 5 + 1)::INT] AS e, ['verified', 'candidate', 'unknown', 'not_applicable'][(o_orderkey // 5 % 4 + 1)::INT] AS p, ['verified', 'candidate', 'unknown', 'not_applicable'][(o_orderkey // 20 % 4 + 1)::INT] AS s, ['verified', 'contradicted', 'unknown'][(o_orderkey // 80 % 3 + 1)::INT] AS t, [NULL, 'review', 'allow'][(o_orderkey // 240 % 3 + 1)::INT] AS a FROM orders"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 53 = 0 THEN 'provider_error' WHEN o_orderkey % 59 = 0 THEN 'license_blocked' WHEN t = 'contradicted' OR coalesce(a, '') = 'review' THEN 'temporal_verification_required' WHEN e = 'unknown' THEN 'unmatched' WHEN e IN ('contradicted', 'ambiguous') THEN 'ambiguous' WHEN e <> 'verified' THEN 'review_required'
+  WHEN p = 'candidate' THEN 'entity_matched_parent_candidate' WHEN s = 'candidate' THEN 'review_required' WHEN s = 'verified' THEN 'entity_and_security_matched' WHEN s = 'not_applicable' THEN 'private_entity' ELSE 'entity_matched_security_unknown' END AS final_decision FROM ({_STATES})""")
+def final_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (F.floor(k / n) % len(values)).cast("int"))
+    e, p, s = pick(["verified", "candidate", "ambiguous", "unknown", "contradicted"], 1), pick(["verified", "candidate", "unknown", "not_applicable"], 5), pick(["verified", "candidate", "unknown", "not_applicable"], 20)
+    t, a = pick(["verified", "contradicted", "unknown"], 80), pick([None, "review", "allow"], 240)
+    status = F.when(k % 53 == 0, "provider_error").otherwise("matched")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", results.final_decision(status, e, p, s, t, a, k % 59 == 0).alias("final_decision"))
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as records against themselves as the master, with a relationship master and a rule."""
+    raw = cut(P.raw(spark, sf_dir, P.MASTER))
+    m = cut(master.load(raw, "master"))
+    sources = [plan.Source("master", m, cut(master.edges(m)), "supporting", frozenset(master.capabilities(raw.columns)))]
+    k = F.col("ord")
+    records = raw.select(
+        F.concat(F.lit("rec:"), k.cast("string")).alias("record_id"), F.when(k % 4 != 0, F.when(k % 4 == 1, F.upper("canonical_name")).otherwise(F.regexp_replace("canonical_name", "a", "e"))).alias("entity_name"), F.when(k % 3 == 0, F.col("domain")).alias("domain"), F.when(k % 4 == 0, F.col("cik")).alias("cik"),
+        F.when(k % 6 == 3, F.col("ticker")).alias("ticker"), F.when(k % 12 == 3, F.col("exchange")).alias("exchange"), F.col("country"), F.date_add(F.lit(datetime.date(1997, 1, 1)), (k % 900).cast("int")).alias("observation_date"),
+    )
+    return plan.resolve(records, sources, forced=rules.rules_of(_RULES))
+
+
+@query()
+def resolve_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.flat(results.v2(_resolved(spark, sf_dir)))
+
+
+@query()
+def resolve_decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.v2(_resolved(spark, sf_dir)).groupBy("final_decision").agg(F.count("*").alias("records"))

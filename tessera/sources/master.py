@@ -20,6 +20,14 @@ _CAPABILITIES = {
 }
 
 
+#: Columns that a master may have.
+COLUMNS = (
+    "internal_entity_id", "internal_security_id", "canonical_name", "entity_type", *IDENTIFIERS, "domain", "country", "address_line1", "address", "city", "state", "region", "postal_code", "aliases", "share_class", "valid_from", "valid_to", "entity_valid_from",
+    "entity_valid_to", "entity_status", "entity_periods", "security_valid_from", "security_valid_to", "listing_valid_from", "listing_valid_to", "security_status", "listing_status", "security_periods", "parent_entity_id", "parent_name", "parent_entity_type",
+    "relationship_type", "relationship_valid_from", "relationship_valid_to", "relationship_status", "relationship_periods",
+)
+
+
 def capabilities(columns: list[str]) -> set[str]:
     return {"entity_lookup"} | {name for name, needed in _CAPABILITIES.items() if needed & set(columns)}
 
@@ -45,12 +53,14 @@ def one_period(kind: Column, start: Column, end: Column, status: Column, provide
 def load(rows: DataFrame, provider: str = "master", order: str = "ord") -> DataFrame:
     """Entities, one per row of the master, in the schema that resolution works with. order: a column with the load order."""
     have = set(rows.columns)
+    # text first, so that what is made of a column does not repeat how it was read
+    rows = rows.select(F.col(order).cast("bigint").alias("_ord"), *(F.when(F.col(n).cast("string") != "", F.col(n).cast("string")).alias(n) for n in COLUMNS if n in have))
 
     def text(*names: str) -> Column:
-        found = [F.col(n).cast("string") for n in names if n in have]
-        return F.coalesce(*[F.when(c != "", c) for c in found]) if found else F.lit(None).cast("string")
+        found = [F.col(n) for n in names if n in have]
+        return F.coalesce(*found) if found else F.lit(None).cast("string")
 
-    number = F.col(order).cast("bigint")
+    number = F.col("_ord")
     own_id = F.coalesce(text("internal_entity_id"), F.concat(F.lit(f"{provider}:"), number.cast("string")))
     aliases = F.filter(F.transform(F.split(F.coalesce(text("aliases"), F.lit("")), r"\|"), lambda a: F.trim(a)), lambda a: a != "")
     e_from, e_to, e_status = N.parse_date(text("entity_valid_from", "valid_from")), N.parse_date(text("entity_valid_to", "valid_to")), text("entity_status")
