@@ -11,11 +11,11 @@ from tessera import problem as P
 from tessera.functions import normalize as N
 from tessera.functions import temporal as T
 from tessera.functions.similarity import token_jaccard, with_similarity
-from tessera.operators import blocking, conflicts, evaluate, graph, rules, scoring
+from tessera.operators import blocking, conflicts, evaluate, generate, graph, rules, scoring
 from tessera.plans import resolve as plan
 from tessera.plans import results
 from tessera.plans.tables import cut
-from tessera.sources import files, master, relationships
+from tessera.sources import files, master, relationships, snapshots
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -539,3 +539,40 @@ def resolve_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def resolve_decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.v2(_resolved(spark, sf_dir)).groupBy("final_decision").agg(F.count("*").alias("records"))
+
+
+@query()
+def generated_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.generate(cut(_master(spark, sf_dir)), 4000)
+
+
+@query()
+def generated_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated records resolved, and judged by category."""
+    m = cut(_master(spark, sf_dir))
+    records = cut(generate.generate(m, 4000))
+    r = plan.resolve(records, [plan.Source("master", m, cut(master.edges(m)), "supporting", frozenset({"entity_effective_dates", "security_effective_dates"}))])
+    ids = F.concat(F.array("entity_id"), F.transform("alternatives", lambda a: a["entity_id"]))
+    r = r.select("record_id", "status", "confidence", "pathway", ids.alias("ranked_ids"), "direct_parent_id", "security_status", F.concat(F.array("security_id"), F.transform("security_ranked", lambda a: a["security_id"])).alias("ranked_security_ids"), F.col("overall_scope.status").alias("overall_status"), F.transform("evidence", lambda e: e["type"]).alias("evidence_types"))
+    truth = records.select("record_id", "expected_entity_id", "expected_parent_entity_id", "expected_security_id", "expected_match", "category")
+    return evaluate.by_category(evaluate.judged(r, truth))
+
+
+_CACHE = """SELECT CASE o_orderkey % 3 WHEN 0 THEN 'sec' WHEN 1 THEN 'gleif' ELSE 'figi' END AS provider, 'q' || cast(o_custkey % 2 AS string) AS query_type, cast(o_custkey AS string) AS cache_key, cast(o_orderkey AS string) AS value, o_orderdate + make_interval(0, 0, 0, 0, 0, 0, o_orderkey) AS fetched_at FROM {orders}"""
+_CACHE_DUCK = P.duck(_CACHE.replace("make_interval(0, 0, 0, 0, 0, 0, o_orderkey)", "to_seconds(o_orderkey)"))
+
+
+@query(f"SELECT provider, query_type, cache_key, value FROM ({_CACHE_DUCK}) QUALIFY row_number() OVER (PARTITION BY provider, query_type, cache_key ORDER BY fetched_at DESC) = 1")
+def snapshot_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.latest(P.raw(spark, sf_dir, _CACHE)).select("provider", "query_type", "cache_key", "value")
+
+
+@query(f"SELECT provider, count(*) AS entries, CAST(min(fetched_at) AS VARCHAR) AS oldest, CAST(max(fetched_at) AS VARCHAR) AS newest FROM ({_CACHE_DUCK}) GROUP BY provider")
+def snapshot_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = snapshots.stats(P.raw(spark, sf_dir, _CACHE))
+    return s.select("provider", "entries", F.col("oldest").cast("string").alias("oldest"), F.col("newest").cast("string").alias("newest"))
+
+
+@query()
+def job_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.job_metrics(results.v2(_resolved(spark, sf_dir)))
