@@ -27,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tessera.llm.common import table
 
-SAMPLE, BUCKETS, PENALTY, MEMO = 1500, 1 << 16, 12.0, 400_000
+SAMPLE, BUCKETS, PENALTY, MEMO = 1500, 1 << 16, 12.0, 200_000
 NGRAMS = (2, 3, 4)
 UNKNOWN = "und"
 
@@ -278,14 +279,15 @@ class Labeller:
         return out
 
 
-def _batches(texts: list[str | None], most: int = 8_000_000) -> Iterator[slice]:
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or "") > most:
+def _batches(texts: pa.Array, most: int = 2_000_000) -> Iterator[slice]:
+    """Runs of texts of about so many bytes, longer ones alone."""
+    sizes, at, size = pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 0, 0
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
             yield slice(at, i)
             at, size = i, 0
-        size += len(t or "")
-    yield slice(at, len(texts))
+        size += n
+    yield slice(at, len(sizes))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float = PENALTY) -> DataFrame:
@@ -297,11 +299,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float =
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model, penalty)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            names: list[str] = []
-            shares: list[float] = []
+            texts, names, shares = batch.column(at), [], []
             for part in _batches(texts):
-                a, b = labeller.label(texts[part])
+                a, b = labeller.label(texts[part.start : part.stop].to_pylist())
                 names += a
                 shares += b
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(shares, pa.float64())], [*batch.schema.names, "lang_pred", "score"])

@@ -40,7 +40,7 @@ from tessera.llm.common import cut, small, table
 WIDTH, PERCENT = 5, 80
 #: Tokens put last in the order, at most, and how many documents they are in at least.
 HEAVY, OFTEN = 1 << 16, 64
-BLOCK, CHUNK, MEMO = 4096, 2_000_000, 400_000
+BLOCK, CHUNK, MEMO = 4096, 1_000_000, 200_000
 #: Hubs are broadcast if their sets have so many tokens together at most (32 MB), else joined.
 HUB_TOKENS = 4_000_000
 
@@ -120,8 +120,8 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(tokens[often]), pa.array(n[often].astype(np.int64))], ["token", "n"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                words = words_of(t)
+            for t in batch.column(0):
+                words = words_of(t.as_py())
                 if words and seen.new(_key(words)):
                     held.append(tokens_of(words, hashes))
                     size += len(held[-1])
@@ -143,8 +143,8 @@ def prefixes(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
         hashes, sizes, seen = _Hashes(), {}, _Seen()
         for batch in batches:
             rows = []
-            for t in batch.column(1).to_pylist():
-                words = words_of(t)
+            for t in batch.column(1):
+                words = words_of(t.as_py())
                 if not words:
                     rows.append((0, None, None, None))
                     continue
@@ -170,10 +170,12 @@ def whole_sets(docs: DataFrame) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            words = [words_of(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_key(w) for w in words], pa.binary()), pa.array([tokens_of(w, hashes) for w in words], pa.list_(pa.int64()))], ["key", "tokens"]
-            )
+            keys, sets = [], []
+            for t in batch.column(0):  # words of one text at a time
+                words = words_of(t.as_py())
+                keys.append(_key(words))
+                sets.append(tokens_of(words, hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "tokens"])
 
     return docs.select("text").mapInArrow(made, "key binary, tokens array<long>")
 
