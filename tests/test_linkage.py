@@ -271,6 +271,16 @@ def test_components_and_exports(spark, resolved, tmp_path):
     assert evaluate.job_metrics(v2).where("metric = 'final_decision'").agg(F.sum("records")).first()[0] == len(GIVEN)
 
 
+def test_sources_that_fail_or_may_not_claim(spark, entities):
+    rows = spark.createDataFrame([("a", "Acme Widgets", "acme.com", "2020-01-01", "ACM", "NASDAQ"), ("b", "Nobody", None, None, None, None)], "record_id string, entity_name string, domain string, observation_date string, ticker string, exchange string")
+    undated = plan.Source("master", entities, None, "supporting", frozenset({"entity_lookup"}))
+    got = {r.record_id: r for r in plan.resolve(rows, [undated, plan.Source("down", error="timeout")]).collect()}
+    assert got["a"].overall_scope.status == "not_verified" and {"provider_capability_rejected", "provider_disagreement"} <= {e.type for e in got["a"].evidence} and got["b"].status == "unmatched"
+    assert "provider_capability_rejected" in {e.type for e in got["a"].security_evidence}
+    got = results.v2(plan.resolve(rows, [plan.Source("down", error="timeout")])).collect()
+    assert {r.final_decision for r in got} == {"provider_error"}
+
+
 def test_old_rows_migrate_with_care(spark):
     e = lambda t, d: (t, None, None, 1.0, None, None, d)
     rows = [("a", "matched", ("e", "E"), ("p", "P"), "s", [e("security_identifier_match", "figi")]), ("b", "matched", ("e", "E"), (None, None), "s", [e("name_similarity", None)]), ("c", "unmatched", (None, None), (None, None), None, [])]
