@@ -27,6 +27,8 @@ from tessera.llm.common import cut, small, table
 WEIGHTS, SHARE, MOST, SEED = (3.0, 1.0, 2.0), 1.5, 2, "mix-1"
 #: Bins of the order; the border bin of a source holds about 1 in so many of its documents.
 BINS = 1 << 16
+#: Bins that are first looked at together, so that no task orders more than BINS / STEP or STEP sums of a source.
+STEP = 1 << 8
 _SPACE = 16**13
 
 
@@ -47,6 +49,15 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return s.select("source", "source_size", F.when(F.col("level").isNull() | (F.col("level") * F.col("weight") > F.col("most")), F.col("most")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
+def _border(rows: DataFrame, bins: str, before) -> DataFrame:
+    """(b_source, b_<bins>, b_before): the first bin by which a source's rest is reached, and the words before it. before: what earlier bins hold."""
+    words = rows.groupBy("source", bins).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), before.alias("start"))
+    words = words.withColumn("b_before", F.sum("words").over(Window.partitionBy("source").orderBy(bins)) - F.col("words") + F.col("start"))
+    reached = words.where((F.col("b_before") < F.col("rest")) & (F.col("b_before") + F.col("words") >= F.col("rest")))
+    first = reached.groupBy(F.col("source").alias("b_source")).agg(F.min(F.struct(bins, "b_before")).alias("b"))
+    return cut(first.select("b_source", F.col(f"b.{bins}").alias(f"b_{bins}"), "b.b_before"))
+
+
 def mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken), one row per row of docs."""
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc).cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(_SPACE)
@@ -65,11 +76,9 @@ def mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str =
     ranked = with_source(d, by).withColumn("q", q)
     bin_ = F.when(F.col("f") <= 0, F.lit(BINS)).otherwise(F.floor(F.col("q") / (1 + F.col("q")) * BINS))
     ranked = ranked.withColumn("bin", bin_)
-    words = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    upto = Window.partitionBy("source").orderBy("bin")
-    words = words.withColumn("before", F.sum("words").over(upto) - F.col("words"))
-    border = words.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest"))).groupBy(F.col("source").alias("b_source")).agg(F.min(F.struct("bin", "before")).alias("b"))
-    border = cut(border.select("b_source", F.col("b.bin").alias("b_bin"), F.col("b.before").alias("before")))
+    coarse = _border(ranked.withColumn("wide", F.floor(F.col("bin") / STEP)), "wide", F.lit(0)).withColumnRenamed("b_before", "before")
+    inside = ranked.join(small(coarse), ranked.source.eqNullSafe(coarse.b_source)).where(F.floor(F.col("bin") / STEP) == F.col("b_wide")).drop("b_source", "b_wide")
+    border = _border(inside, "bin", F.first("before")).withColumnRenamed("b_before", "before")
 
     both = by.join(border, by.s.eqNullSafe(border.b_source), "left").drop("b_source")
     ranked = with_source(d, cut(both)).withColumn("q", q).withColumn("bin", bin_)
