@@ -21,12 +21,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document of least doc_id stays, and one of rows that repeat its doc_id and text."""
-    found = ngram_join.join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    found = cut(found.groupBy(F.col("doc_id").alias("kept")).agg(F.count("*").alias("rows")))
-    once, often = found.where("rows = 1").select("kept"), small(found.where("rows > 1").select("kept"))
-    same = docs["doc_id"].eqNullSafe(F.col("kept"))
-    out = docs.join(small(once, 1_000_000), same, "left_semi")
-    return out.unionByName(docs.join(often, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    found = cut(ngram_join.join(docs).groupBy("doc_id").agg(F.count_if(stays).alias("stay")))
+    gone, often = small(found.where("stay = 0").select(F.col("doc_id").alias("gone"))), small(found.where("stay > 1").select(F.col("doc_id").alias("often")))
+    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
+    again = out["doc_id"].eqNullSafe(F.col("often"))
+    return out.join(often, again, "left_anti").unionByName(out.join(often, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tessera.llm.common import table
+from tessera.llm.common import lean, table
 
 SAMPLE, BUCKETS, PENALTY, MEMO = 1500, 1 << 16, 12.0, 200_000
 NGRAMS = (2, 3, 4)
@@ -166,13 +166,14 @@ def learn(docs: DataFrame, usable: Column, doc: str, text: str, lang: str, sampl
     place = {name: i for i, name in enumerate(languages)}
     counts = np.zeros((buckets, len(languages)))
     scripts: dict[str, np.ndarray] = {}
-    sums = rows.mapInArrow(counted, "lang string, script string, cell long, n long").groupBy("lang", "script", "cell").agg(F.sum("n").alias("n"))
-    got = sums.toPandas()  # a cell per bucket and language at most
-    for name, script, cell, n in zip(got.lang, got.script, got.cell, got.n, strict=True):
-        if cell >= 0:
-            counts[cell, place[name]] += n
-        else:
-            scripts.setdefault(script, np.zeros(len(languages)))[place[name]] += n
+    sums = rows.mapInArrow(lean(counted), "lang string, script string, cell long, n long").groupBy("lang", "script", "cell").agg(F.sum("n").alias("n"))
+    for batch in sums.toArrow().to_batches():  # a cell per bucket and language at most
+        kinds, cells, n = batch["script"].to_pylist(), batch["cell"].to_numpy(), batch["n"].to_numpy()
+        at = pc.index_in(batch["lang"], pa.array(languages)).to_numpy()
+        own = cells >= 0
+        np.add.at(counts, (cells[own], at[own]), n[own])
+        for i in np.flatnonzero(~own):
+            scripts.setdefault(kinds[i], np.zeros(len(languages)))[at[i]] += n[i]
     return Model(languages, counts, scripts, place[max(languages, key=lambda x: (sizes[x], -place[x]))])
 
 
@@ -306,7 +307,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float =
                 shares += b
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(shares, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(labelled, StructType([*schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.mapInArrow(lean(labelled), StructType([*schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(doc: str = "doc_id") -> Column:

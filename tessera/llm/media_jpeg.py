@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import lean, table
 
 LANES = 1 << 14
 UNIT = 64
@@ -487,7 +487,7 @@ def store_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text", keep:
                 yield pa.RecordBatch.from_arrays([ids[at:end], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names)
                 at = end
 
-    return docs.mapInArrow(stored, schema)
+    return docs.mapInArrow(lean(stored), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, small, table
+from tessera.llm.common import cut, lean, small, table
 
 WIDTH, PERCENT = 5, 80
 #: Tokens put last in the order, at most, and how many documents they are in at least.
@@ -131,8 +131,8 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
         if held:
             yield flush()
 
-    sums = docs.select("text").mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    return np.sort(np.array([r.token for r in sums.orderBy(F.desc("n"), "token").limit(HEAVY).collect()], np.int64))
+    sums = docs.select("text").mapInArrow(lean(counted), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    return np.sort(sums.orderBy(F.desc("n"), "token").limit(HEAVY).select("token").toArrow()["token"].to_numpy())
 
 
 def prefixes(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
@@ -161,7 +161,7 @@ def prefixes(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
             types = pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n", "key", "light", "heavy"])
 
-    return docs.mapInArrow(made, f"doc_id {kind}, n long, key binary, light array<long>, heavy array<long>")
+    return docs.mapInArrow(lean(made), f"doc_id {kind}, n long, key binary, light array<long>, heavy array<long>")
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def whole_sets(docs: DataFrame) -> DataFrame:
                 sets.append(tokens_of(words, hashes))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "tokens"])
 
-    return docs.select("text").mapInArrow(made, "key binary, tokens array<long>")
+    return docs.select("text").mapInArrow(lean(made), "key binary, tokens array<long>")
 
 
 class Union:

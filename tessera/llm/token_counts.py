@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import lean, table
 
 MEMO = 600_000
 LIMIT = 512
@@ -160,7 +160,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, doc: str = "doc_id", text: st
             counts = [counter.count(t) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    out = docs.mapInArrow(counted, f"doc_id {kind}, n_bytes long, n_tokens long")
+    out = docs.mapInArrow(lean(counted), f"doc_id {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > LIMIT)
 
 
