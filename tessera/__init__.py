@@ -1 +1,10 @@
-"""tessera: point-in-time entity and security resolution on Spark DataFrames."""
+"""tessera: point-in-time entity and security resolution on Spark DataFrames.
+
+Functions that run in Python workers are pickled by value, so that executors need no copy of this package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
