@@ -1,10 +1,14 @@
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
+from pyspark import cloudpickle
 
 import __spark_entry__ as entry
 from tessera import queries as Q
+from tessera.functions.similarity import similarity
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +28,9 @@ def test_queries_equal_their_sql(spark, name):
     assert columns == sorted(b.columns)
     rows = lambda d: sorted(tuple("" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in d[columns].itertuples(index=False))
     assert rows(a) == rows(b) and len(a)
+
+
+def test_workers_need_no_package_on_their_path(tmp_path):
+    call = "import pickle, sys; print(pickle.load(sys.stdin.buffer)('acme one', 'one acme'))"
+    said = subprocess.run([sys.executable, "-I", "-c", call], input=cloudpickle.dumps(similarity), cwd=tmp_path, capture_output=True, check=True)
+    assert said.stdout.strip() == b"1.0"
