@@ -5,13 +5,13 @@ its own embedding table, their sum passes through tanh, and the token's probabil
 within the class. A document's score is the sum of its tokens' log probabilities given both sides.
 
 Tokens are pieces between white space, lower-cased; the corpus' most frequent ones, counted over all documents,
-have ids of their own, others one of OTHERS hashed ids. Training is distributed: in each of ROUNDS rounds every
-task trains a copy on its share of the corpus (1 / SHARE of the documents, by a hash; another share each round), so
-that what is gathered grows with the corpus, and the copies are averaged by tokens in a tree of FAN at a time.
+have ids of their own, others one of OTHERS hashed ids. Training is distributed: every document trains the network
+once, in one of ROUNDS disjoint shares (by a hash). In each round every task trains a copy on its part of the share,
+and the copies are averaged by tokens in a tree of FAN at a time.
 The network itself has a fixed size, which bounds what goes to the driver and the workers.
 
 Null and empty texts have no tokens and score 0 (mean null). Equal texts score alike up to rounding, which is
-to 4 digits. With no training documents the network is untrained and scores are still finite. Very long texts are scored
+to 4 digits. With no tokens at all the network is untrained. Very long texts are scored
 whole, in steps of STEP tokens. Repeated rows, empty tables and other columns do no harm.
 """
 
@@ -31,7 +31,7 @@ from tessera.llm.common import cut, table
 
 CLASSES, HIDDEN, SIDE, OTHERS = 32, 24, 2, 64
 VOCABULARY = CLASSES * CLASSES
-ROUNDS, SHARE, BATCH, RATE = 2, 16, 2048, 0.1
+ROUNDS, BATCH, RATE = 2, 2048, 0.1
 STEP, MEMO, FAN = 1 << 16, 400_000, 64
 NAMES = ("context", "bias", "classes", "words")
 
@@ -113,43 +113,59 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
-def _by_class(c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(c, kind="stable")
-    ends = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        if ends[k] < ends[k + 1]:
-            yield k, order[ends[k] : ends[k + 1]]
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
+def _by_token(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+    """(order of the places by their tokens, those tokens, where each class lies in that order)."""
+    y = ids[at]
+    order = np.argsort(y.astype(np.int16), kind="stable")
+    y = y[order]
+    ends = np.searchsorted(y, np.arange(CLASSES + 1) * CLASSES)
+    return order, y, [(k, slice(ends[k], ends[k + 1])) for k in range(CLASSES) if ends[k] < ends[k + 1]]
+
+
+def _within(w: dict, h: np.ndarray, spans: list[tuple[int, slice]]) -> np.ndarray:
+    out = np.empty((len(h), CLASSES), np.float32)
+    for k, own in spans:
+        np.matmul(h[own], w["words"][k], out=out[own])
+    return out
 
 
 def log_probabilities(w: dict, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of the tokens at these places, given the others around them."""
-    h, y = _hidden(w, _windows(ids, at)), ids[at]
-    c, inner = y // CLASSES, y % CLASSES
-    out = _log_softmax(h @ w["classes"])[np.arange(len(y)), c]
-    for k, rows in _by_class(c):
-        out[rows] += _log_softmax(h[rows] @ w["words"][k])[np.arange(len(rows)), inner[rows]]
+    order, y, spans = _by_token(ids, at)
+    h, rows = _hidden(w, _windows(ids, at[order])), np.arange(len(y))
+    out = np.empty(len(y), np.float32)
+    out[order] = _log_softmax(h @ w["classes"])[rows, y // CLASSES] + _log_softmax(_within(w, h, spans))[rows, y % CLASSES]
     return out
 
 
 def train_step(w: dict, sums: dict, ids: np.ndarray, at: np.ndarray) -> None:
     """One AdaGrad step on these places; w and sums change."""
-    around, y = _windows(ids, at), ids[at]
-    h, c, inner, n = _hidden(w, around), y // CLASSES, y % CLASSES, len(at)
-    g = np.exp(_log_softmax(h @ w["classes"]))
-    g[np.arange(n), c] -= 1
+    order, y, spans = _by_token(ids, at)
+    around, n = _windows(ids, at[order]), len(at)
+    h, rows = _hidden(w, around), np.arange(n)
+    g = _softmax(h @ w["classes"])
+    g[rows, y // CLASSES] -= 1
     g /= n
     back, grads = g @ w["classes"].T, {"classes": h.T @ g, "words": np.zeros_like(w["words"])}
-    for k, rows in _by_class(c):
-        g = np.exp(_log_softmax(h[rows] @ w["words"][k]))
-        g[np.arange(len(rows)), inner[rows]] -= 1
-        g /= n
-        grads["words"][k] = h[rows].T @ g
-        back[rows] += g @ w["words"][k].T
-    back = (back[:, :-1] * (1 - h[:, :-1] ** 2)).astype(np.float32)
+    g = _softmax(_within(w, h, spans))
+    g[rows, y % CLASSES] -= 1
+    g /= n
+    for k, own in spans:
+        grads["words"][k] = h[own].T @ g[own]
+        back[own] += g[own] @ w["words"][k].T
+    back = back[:, :-1] * (1 - h[:, :-1] ** 2)
     grads["bias"] = back.sum(0)
-    grads["context"] = np.zeros_like(w["context"])
-    for j in range(2 * SIDE):
-        np.add.at(grads["context"][j], around[j], back)
+    cells, flat = around[:, :, None] * HIDDEN + np.arange(HIDDEN), back.reshape(-1)
+    context = [np.bincount(cells[j].reshape(-1), flat, w["context"][j].size) for j in range(2 * SIDE)]
+    grads["context"] = np.stack(context).reshape(w["context"].shape).astype(np.float32)
     for name, gr in grads.items():
         sums[name] += gr * gr
         w[name] -= RATE * gr / np.sqrt(sums[name] + 1e-8)
@@ -173,7 +189,7 @@ def _unflat(v: np.ndarray) -> dict:
     return out
 
 
-def train(docs: DataFrame, known: dict[str, int], rounds: int = ROUNDS, share: int = SHARE) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, known: dict[str, int], rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     w = start()
     parts_schema = "part long, tokens double, v array<float>"
 
@@ -184,7 +200,7 @@ def train(docs: DataFrame, known: dict[str, int], rounds: int = ROUNDS, share: i
         return pa.table({"part": [int(np.array(rows["part"])[0]) // FAN], "tokens": [tokens.sum()], "v": pa.array([((tokens @ v) / tokens.sum()).astype(np.float32)], pa.list_(pa.float32()))})
 
     for r in range(rounds):
-        own = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(r)), F.lit(share)) == 0).select("text")
+        own = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("text")
         now = w
 
         def trained(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:

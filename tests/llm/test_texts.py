@@ -224,6 +224,13 @@ def test_pseudo_likelihood(spark):
     assert lm_scoring.score_documents(frame(spark, [])).count() == 0
 
 
+def test_every_document_trains(spark):
+    for i in range(4):
+        docs = spark.createDataFrame([(i, "alpha beta gamma " * 20)], "doc_id long, text string")
+        w = lm_scoring.train(docs, {"alpha": 0, "beta": 1, "gamma": 2})
+        assert np.abs(w["words"][0]).sum() > 0 and np.abs(w["words"][1:]).sum() == 0
+
+
 def test_token_probabilities_sum_to_one():
     w = lm_scoring.start()
     for x in w.values():
