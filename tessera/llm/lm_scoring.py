@@ -4,8 +4,11 @@ A small network predicts every token from the SIDE tokens before and the SIDE af
 its own embedding table, their sum passes through tanh, and the token's probability is that of its class times that
 within the class. A document's score is the sum of its tokens' log probabilities given both sides.
 
-Tokens are pieces between white space, lower-cased; the corpus' most frequent ones, counted over all documents,
-have ids of their own, others one of OTHERS hashed ids. Training is distributed: every document trains the network
+Tokens are pieces between white space, lower-cased. The corpus' most frequent ones, counted over all documents,
+have ids of their own. The network gives others the probability of one of OTHERS ids, and the token's own within that id
+comes from the whole corpus: of the pieces that occur OFTEN times or more (the LISTED most frequent of them) by their counts,
+of all others, unseen ones too, by their bytes (each given the two before it; the second of them by 8 classes), over which
+listed pieces are left out. So the probabilities of all byte strings sum to one. Training is distributed: every document trains the network
 once, in one of ROUNDS disjoint shares (by a hash). In each round every task trains a copy on its part of the share,
 and the copies are averaged by tokens in a tree of FAN at a time.
 The network itself has a fixed size, which bounds what goes to the driver and the workers.
@@ -17,9 +20,12 @@ whole, in steps of STEP tokens. Repeated rows, empty tables and other columns do
 
 from __future__ import annotations
 
+import math
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +37,68 @@ from tessera.llm.common import cut, table
 
 CLASSES, HIDDEN, SIDE, OTHERS = 32, 24, 2, 64
 VOCABULARY = CLASSES * CLASSES
+#: Ids of others: of pieces by their bytes SPELLED, of listed ones what is left.
+SPELLED, LISTED, OFTEN = 16, 1 << 16, 20
+#: Of bytes: END stands after the last, and before the first; contexts are the byte before and 8 classes of the one before that.
+END, SYMBOLS, BACK = 256, 257, 8
 ROUNDS, BATCH, RATE = 2, 2048, 0.1
 STEP, MEMO, FAN = 1 << 16, 400_000, 64
 NAMES = ("context", "bias", "classes", "words")
 
 
-def vocabulary(docs: DataFrame) -> dict[str, int]:
-    """The most frequent pieces, by count, then code points."""
+@dataclass
+class Words:
+    """ids: of known and listed pieces. logs: log P(piece | its id) of listed ones. letters: log P(byte | context), flat.
+    whole: log P(any piece that has no id of its own and is not listed) by SPELLED id."""
+
+    ids: dict[str, int]
+    logs: dict[str, float] = field(default_factory=dict)
+    letters: array | None = None
+    whole: list[float] = field(default_factory=list)
+
+
+def _cells(word: str) -> list[int]:
+    """Of the piece's bytes and END: context * SYMBOLS + byte."""
+    out, a, b = [], END, END
+    for x in word.encode():
+        out.append((b * BACK + a % BACK) * SYMBOLS + x)
+        a, b = b, x
+    out.append((b * BACK + a % BACK) * SYMBOLS + END)
+    return out
+
+
+def _spelled_id(word: str) -> int:
+    return VOCABULARY - SPELLED + word.encode()[0] % SPELLED
+
+
+def spelling(counts: np.ndarray) -> np.ndarray:
+    """log P(byte | context) from counts by cell: of two bytes before, mixed with that of one, mixed with one for all."""
+    two = counts.astype(np.float64).reshape(END + 1, BACK, SYMBOLS)
+    possible = np.ones((END + 1, 1, SYMBOLS))
+    possible[END, 0, END] = 0  # no piece is empty
+    even = possible / possible.sum(2, keepdims=True)
+    one = two.sum(1, keepdims=True)
+    one = (one + 4 * even) / (one.sum(2, keepdims=True) + 4)
+    with np.errstate(divide="ignore"):
+        return np.log((two + 4 * one) / (two.sum(2, keepdims=True) + 4)).reshape(-1)
+
+
+def words_of(known: list[str], listed: list[tuple[str, int]], counts: np.ndarray) -> Words:
+    ids = {w: i for i, w in enumerate(known)}
+    n = Counter()
+    for word, times in listed:
+        ids[word] = VOCABULARY - OTHERS + zlib.crc32(word.encode()) % (OTHERS - SPELLED)
+        n[ids[word]] += times
+    letters = spelling(counts)
+    first = np.exp(letters.reshape(END + 1, BACK, SYMBOLS)[END, END % BACK, :END])
+    whole = first.reshape(-1, SPELLED).sum(0)
+    for word in ids:
+        whole[word.encode()[0] % SPELLED] -= math.exp(letters[_cells(word)].sum())
+    return Words(ids, {w: math.log(times / n[ids[w]]) for w, times in listed}, array("d", letters), np.log(np.maximum(whole, 1e-300)).tolist())
+
+
+def vocabulary(docs: DataFrame) -> Words:
+    """The most frequent pieces, by count, then code points; the listed ones; the bytes of all others."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -56,9 +117,32 @@ def vocabulary(docs: DataFrame) -> dict[str, int]:
         if counts:
             yield flush()
 
-    sums = docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = sums.orderBy(F.desc("n"), "word").limit(VOCABULARY - OTHERS).collect()  # the vocabulary's size
-    return {r.word: i for i, r in enumerate(top)}
+    sums = cut(docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    first = VOCABULARY - OTHERS
+    top = sums.orderBy(F.desc("n"), "word").limit(first).toArrow()["word"].to_pylist()  # the network's size
+    often = sums.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "word").limit(first + LISTED).toArrow()
+    listed = list(zip(often["word"].to_pylist(), often["n"].to_pylist(), strict=True))[first:]
+    own = {*top, *(w for w, _ in listed)}
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((END + 1) * BACK * SYMBOLS)
+        for batch in batches:
+            cells, times = [], []
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if word not in own:
+                    c = _cells(word)
+                    cells += c
+                    times += [n] * len(c)
+            if cells:
+                np.add.at(counts, np.array(cells), np.array(times, np.float64))
+        at = np.flatnonzero(counts)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["cell", "n"])
+
+    letters = sums.mapInArrow(spelled, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most as many rows as cells
+    counts = np.zeros((END + 1) * BACK * SYMBOLS)
+    counts[np.array(letters["cell"], np.int64)] = np.array(letters["n"], np.float64)
+    return words_of(top, listed, counts)
 
 
 class Ids(dict):
@@ -69,7 +153,7 @@ class Ids(dict):
         word = piece.lower()
         found = self.known.get(word)
         if found is None:
-            found = VOCABULARY - OTHERS + zlib.crc32(word.encode()) % OTHERS
+            found = _spelled_id(word)
         if len(self) >= MEMO:
             self.clear()
         self[piece] = found
@@ -87,6 +171,24 @@ class Ids(dict):
         return np.array(blank + ids, np.int64), np.array(sizes, np.int64)
 
 
+class Logs(dict):
+    """log P(piece | its id)."""
+
+    def __init__(self, words: Words):
+        self.words = words
+
+    def __missing__(self, piece: str) -> float:
+        word, w = piece.lower(), self.words
+        if word in w.ids:
+            found = w.logs.get(word, 0.0)
+        else:
+            found = sum(map(w.letters.__getitem__, _cells(word))) - w.whole[_spelled_id(word) - VOCABULARY + SPELLED]
+        if len(self) >= MEMO:
+            self.clear()
+        self[piece] = found
+        return found
+
+
 def start() -> dict[str, np.ndarray]:
     r = np.random.default_rng(1)
     return {
@@ -227,12 +329,12 @@ def train(docs: DataFrame, known: dict[str, int], rounds: int = ROUNDS) -> dict[
     return w
 
 
-def score(docs: DataFrame, w: dict[str, np.ndarray], known: dict[str, int]) -> DataFrame:
+def score(docs: DataFrame, w: dict[str, np.ndarray], words: Words) -> DataFrame:
     """(doc_id, n_tokens, pll, mean_pll)"""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = Ids(known)
+        ids_of, inside = Ids(words.ids), Logs(words)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             sums, sizes, at = [], [], 0
@@ -245,7 +347,8 @@ def score(docs: DataFrame, w: dict[str, np.ndarray], known: dict[str, int]) -> D
                 places, doc = _places(own), np.repeat(np.arange(len(own)), own)
                 logs = [log_probabilities(w, ids, places[i : i + STEP]) for i in range(0, len(places), STEP)]
                 logs = np.concatenate(logs).astype(np.float64) if logs else np.zeros(0)
-                sums.append(np.bincount(doc, logs, len(own)))
+                within = [sum(map(inside.__getitem__, t.split())) if t else 0.0 for t in texts[at:end]]
+                sums.append(np.bincount(doc, logs, len(own)) + np.array(within))
                 sizes.append(own)
                 at = end
             total = np.concatenate(sums) if sums else np.zeros(0)
@@ -258,8 +361,8 @@ def score(docs: DataFrame, w: dict[str, np.ndarray], known: dict[str, int]) -> D
 
 def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     docs = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
-    known = vocabulary(docs)
-    return score(docs, train(docs, known), known)
+    words = vocabulary(docs)
+    return score(docs, train(docs, words.ids), words)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,6 +243,45 @@ def test_token_probabilities_sum_to_one():
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_pieces_of_an_id_sum_to_one():
+    r, known = np.random.default_rng(2), ["a", "ab"]
+    listed = [(w, n) for n, w in enumerate(("b", "bb", "c", "q\u00e9", "zz"), 20)]
+    counts = np.zeros((lm_scoring.END + 1) * lm_scoring.BACK * lm_scoring.SYMBOLS)
+    for word in ("aab", "ba", "bc", "q"):
+        counts[lm_scoring._cells(word)] += r.integers(1, 9)
+    for x in range(256):  # so that pieces longer than two bytes of the first kind are few
+        counts[(x * lm_scoring.BACK + np.arange(lm_scoring.BACK)) * lm_scoring.SYMBOLS + lm_scoring.END] += 1e6
+    words = lm_scoring.words_of(known, listed, counts)
+    logs, ids = lm_scoring.Logs(words), lm_scoring.Ids(words.ids)
+    assert logs["a"] == 0 and ids["A"] == 0 and logs["BB"] == logs["bb"]
+    sums = {}
+    for word, _ in listed:
+        sums[ids[word]] = sums.get(ids[word], 0) + np.exp(logs[word])
+    assert all(x == pytest.approx(1) for x in sums.values())
+    ascii_ = [chr(x) for x in range(33, 127) if not chr(x).isupper()]
+    seen = {}
+    for word in ascii_ + [x + y for x in ascii_ for y in ascii_]:
+        if word not in words.ids:
+            seen[ids[word]] = seen.get(ids[word], 0) + np.exp(logs[word])
+    assert all(x <= 1 + 1e-9 for x in seen.values())
+    # by bytes: all of one, and the rest by what goes on after it
+    letters = np.exp(np.array(words.letters)).reshape(lm_scoring.END + 1, lm_scoring.BACK, lm_scoring.SYMBOLS)
+    assert np.allclose(letters.sum(2), 1) and letters[lm_scoring.END, 0, lm_scoring.END] == 0
+    first = letters[lm_scoring.END, 0]
+    for k in range(lm_scoring.SPELLED):
+        mass = sum(first[x] for x in range(256) if x % lm_scoring.SPELLED == k)
+        own = sum(np.exp(sum(words.letters[c] for c in lm_scoring._cells(w))) for w in words.ids if w.encode()[0] % lm_scoring.SPELLED == k)
+        assert np.exp(words.whole[k]) == pytest.approx(mass - own)
+
+
+def test_junk_costs_more_than_words(spark):
+    words = [f"{a}{b}o" for a in "bcdfglmnprst" for b in ("an", "er", "il", "ut")]
+    many = [a + b for a in words for b in words][:1500]
+    rows = [(i, " ".join(many)) for i in range(25)] + [(100, " ".join(many[1000:1200])), (101, " ".join(f"x{i * 7919 % 9973:04d}\u00f1qz{i}" for i in range(200))), (102, "zqxj"), (103, "zqxj" * 60)]
+    got = {r.doc_id: r for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100].mean_pll > got[101].mean_pll + 10 and got[102].pll > got[103].pll + 5
+
+
 def test_training_lowers_the_loss():
     r = np.random.default_rng(1)
     ids = np.concatenate(([1024] * 2, np.tile([3, 700, 41, 8], 300), [1024] * 2))
