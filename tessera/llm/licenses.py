@@ -1,7 +1,9 @@
 """Licence scans by sentence rules.
 
 A text is cut into sentences (at line ends, and at .!?;: before white space or the end), each normalised to
-lower-case ASCII letters and digits with single spaces. Known licence sentences have identifiers. The
+lower-case ASCII letters and digits with single spaces. Known licence sentences have identifiers; they may go over
+line ends, but not over blank lines (without a letter or digit) or ends of sentences. Where two fit, the first and longer counts.
+"Licensed under" stands for the usual forms of a notice (NOTICE). The
 identifiers of a text, in order, are matched against ordered rules: a rule fits where its identifiers
 follow one another among the known sentences, and takes them, so that later rules do not see them.
 
@@ -11,12 +13,14 @@ gives no rows; other columns are kept apart from the four that are added (replac
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import lower_ascii, table
 
-# Normalised licence sentences and their identifiers.
+# Normalised licence sentences and their identifiers, as the SQL has them; more are in KNOWN.
 SENTENCES = {
     "released under the mit license": "mit",
     "licensed under the mit license": "mit",
@@ -36,7 +40,7 @@ SENTENCES = {
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-terms",
     "all rights reserved": "reserved",
 }
-#: (licence, identifiers in order, restricted); earlier rules first.
+#: (licence, identifiers in order, restricted); earlier rules first. The SQL's; more are in ALL_RULES.
 RULES = (
     ("Apache-2.0", ("apache2", "apache2-use"), False),
     ("MIT", ("mit-grant", "mit-notice", "as-is"), False),
@@ -53,18 +57,97 @@ RULES = (
     ("PUBLIC-DOMAIN", ("public-domain",), False),
     ("ALL-RIGHTS-RESERVED", ("reserved",), True),
 )
-_END = "\x01"
+_END, _LINE = "\x01", "\x02"
+
+#: Names after "licensed under", without "the": identifier.
+_NAMED = {
+    "mit": "mit license|mit licence|mit|x11 license|expat license|mit x11 license",
+    "apache2": "apache license version 2 0|apache license 2 0|apache license v2 0|apache license v2|apache 2 0 license|apache 2 license|apache 2 0|apache software license version 2 0",
+    "bsd": "bsd license|bsd licence|bsd 2 clause license|bsd 3 clause license|2 clause bsd license|3 clause bsd license|new bsd license|simplified bsd license|modified bsd license|bsd style license|bsd 2 clause|bsd 3 clause",
+    "isc": "isc license|isc licence|isc",
+    "mpl2": "mozilla public license version 2 0|mozilla public license 2 0|mozilla public license v2 0|mpl 2 0|mpl version 2 0",
+    "cc0": "cc0 1 0|cc0|cc0 1 0 universal",
+    "cc-by": "cc by 4 0|cc by 4 0 license|creative commons attribution 4 0 international license|creative commons attribution 4 0 license",
+    "cc-by-sa": "cc by sa 4 0|cc by sa 4 0 license|creative commons attribution sharealike 4 0 international license|creative commons attribution share alike 4 0 international license",
+    "cc-by-nc": "cc by nc 4 0|cc by nc 4 0 license|creative commons attribution noncommercial 4 0 international license|creative commons attribution non commercial 4 0 international license",
+}
+#: Identifiers after "SPDX-License-Identifier:", normalised.
+_SPDX = {
+    "mit": "mit|mit 0|x11", "apache2": "apache 2 0", "bsd": "bsd 2 clause|bsd 3 clause|0bsd|bsd 4 clause", "isc": "isc", "mpl2": "mpl 2 0|mpl 2 0 no copyleft exception", "cc0": "cc0 1 0",
+    "unlicense": "unlicense", "cc-by": "cc by 4 0", "cc-by-sa": "cc by sa 4 0", "cc-by-nc": "cc by nc 4 0",
+}
+_TEXTS = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-notice",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as-is",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liability",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-as-is",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "apache license version 2 0 january 2004": "apache2",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2",
+    "mozilla public license version 2 0": "mpl2",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+}
+_GNU = (
+    ("gpl2", "gnu general public license", "gpl", "2", ", june 1991"), ("gpl3", "gnu general public license", "gpl", "3", ", 29 june 2007"), ("lgpl21", "gnu lesser general public license", "lgpl", "2 1", ", february 1999"),
+    ("lgpl3", "gnu lesser general public license", "lgpl", "3", ", 29 june 2007"), ("agpl3", "gnu affero general public license", "agpl", "3", ", 19 november 2007"),
+)
+
+
+def _known() -> dict[str, str]:
+    out = SENTENCES | _TEXTS
+    for table_, before in ((_NAMED, "licensed under "), (_SPDX, f"spdx license identifier{_END}")):
+        out |= {before + name: i for i, names in table_.items() for name in names.split("|")}
+    for i, name, short, v, date in _GNU:
+        full = v if " " in v else f"{v} 0"
+        forms = {f"{name} version {v}", f"{name} version {v} or later", f"{name} version {v} or any later version", f"{name} version {full}", f"{name} v{v}", f"{name} v{full}", f"{short} v{v}", f"{short}v{v}", f"{short} {v}", f"{short} {full}", f"{short} version {v}"}
+        out |= {f"licensed under {x}": i for x in forms}
+        out |= {f"spdx license identifier{_END}{short} {full}{x}": i for x in ("", " only", " or later")}
+        out[f"{name} version {v}{date.replace(',', '')}"] = i
+        terms = f"you can redistribute it and or modify it under the terms of the {name} as published by the free software foundation"
+        out[terms] = f"{short}-terms"
+        for later in (f"either version {v} of the license or at your option any later version", f"version {v} of the license", f"version {v}"):
+            out[f"{terms} {later}"] = i
+        out[f"either version {v} of the license or at your option any later version"] = f"version-{v.replace(' ', '.')}"
+    return out
+
+
+KNOWN = _known()
+ALL_RULES = (
+    *(rule for short, name, v in (("gpl", "GPL-2.0", "2"), ("gpl", "GPL-3.0", "3"), ("lgpl", "LGPL-2.1", "2.1"), ("lgpl", "LGPL-3.0", "3"), ("agpl", "AGPL-3.0", "3")) for rule in [(name, (f"{short}-terms", f"version-{v}"), True)]),
+    *RULES[:-1],
+    ("BSD", ("reserved", "bsd"), False), ("BSD", ("bsd",), False), ("ISC", ("isc-grant",), False), ("ISC", ("isc",), False), ("MPL-2.0", ("mpl2",), False), ("CC0-1.0", ("cc0",), False), ("PUBLIC-DOMAIN", ("unlicense",), False),
+    ("LGPL-2.1", ("lgpl21",), True), ("LGPL-3.0", ("lgpl3",), True), ("AGPL-3.0", ("agpl3",), True),
+    RULES[-1],
+)
+#: How a notice may begin.
+NOTICE = (
+    r"(?:(?:this|the) (?:file|software|project|work|code|source code|program|library|package|module|repository|document|documentation|page|content|material) is )?"
+    r"(?:licensed|released|distributed|available|made available|provided|published) under (?:the terms of )?(?:the )?"
+)
 
 
-def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] = KNOWN, rules=ALL_RULES) -> DataFrame:
     """docs with n_sentences, sentence_ids (known ones, in order, joined by |), licenses (sorted, joined by |), restricted."""
-    plain = F.regexp_replace(lower_ascii(F.coalesce(F.col(text), F.lit(""))), r"[.!?;:]+([ \t\n\r\f]|\z)|[\n\r]+", _END)
-    plain = F.regexp_replace(plain, rf"[^a-z0-9{_END}]+", " ")
-    parts = F.filter(F.transform(F.split(plain, _END), lambda s: F.trim(s)), lambda s: s != "")
-    known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    docs = docs.withColumn("_parts", parts)
-    ids = F.transform(F.filter("_parts", lambda s: F.array_contains(F.array(*map(F.lit, sentences)), s)), lambda s: known[s])
-    docs = docs.withColumns({"n_sentences": F.size("_parts").cast("long"), "sentence_ids": F.array_join(ids, "|")}).drop("_parts")
+    plain = F.translate(lower_ascii(F.coalesce(F.col(text), F.lit(""))), _LINE, " ")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"[.!?;:]+([ \t\n\r\f]|\z)", _END), r"\r\n?|\n", _LINE)
+    plain = F.regexp_replace(plain, rf"[^a-z0-9{_END}{_LINE}]+", " ")
+    # ends and blank lines, then single line ends
+    plain = F.regexp_replace(plain, rf"[ {_LINE}]*{_END}[ {_END}{_LINE}]*|[ {_LINE}]*{_LINE} *{_LINE}[ {_LINE}]*", _END)
+    plain = F.concat(F.lit(_END), F.trim(F.regexp_replace(plain, rf" *{_LINE} *", _LINE)), F.lit(_END))
+    short = {re.sub(rf"^{NOTICE}", "under ", s): i for s, i in sentences.items()}
+    shapes = [NOTICE + s.removeprefix("under ") if s.startswith("under ") else s for s in sorted(short, key=lambda s: (-len(s), s))]
+    shape = rf"(?<=[{_END}{_LINE}])(?:{'|'.join(shapes)})(?=[{_END}{_LINE}])".replace(" ", f"[ {_LINE}]")
+    known = F.create_map(*[F.lit(x) for pair in short.items() for x in pair])
+    docs = docs.withColumn("_plain", plain)
+    parts = F.filter(F.split("_plain", f"[{_END}{_LINE}]"), lambda s: F.trim(s) != "")
+    found = F.regexp_extract_all("_plain", F.lit(shape), F.lit(0)) if short else F.array().cast("array<string>")
+    ids = F.transform(found, lambda s: known[F.regexp_replace(F.translate(s, _LINE, " "), f"^{NOTICE}", "under ")])
+    docs = docs.withColumns({"_parts": parts, "_ids": ids})
+    docs = docs.withColumns({"n_sentences": F.size("_parts").cast("long"), "sentence_ids": F.array_join("_ids", "|")}).drop("_plain", "_parts", "_ids")
     # every identifier has bars of its own, so that a rule's can't overlap with a neighbour's
     left = F.when(F.col("sentence_ids") == "", F.lit("")).otherwise(F.concat(F.lit("|"), F.replace(F.col("sentence_ids"), F.lit("|"), F.lit("||")), F.lit("|")))
     names, restricted = [], F.lit(False)

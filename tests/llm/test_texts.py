@@ -214,6 +214,57 @@ def test_licences(spark):
     assert licenses.scan(docs.where("false")).count() == 0
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_TEXT = """Copyright (c) 2020, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+"""
+LGPL_TEXT = """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+"""
+
+
+def test_licences_in_full(spark):
+    rows = [
+        (1, MIT_TEXT, "MIT", False, "mit-grant|mit-notice|as-is|mit-liability"), (2, MIT_TEXT.replace("\n", "\r\n# "), "MIT", False, "mit-grant|mit-notice|as-is|mit-liability"), (3, BSD_TEXT, "BSD", False, "reserved|bsd-terms|bsd-source"),
+        (4, LGPL_TEXT, "LGPL-2.1", True, "lgpl-terms|version-2.1"), (5, "This file is licensed under the MIT License.", "MIT", False, "mit"), (6, "// SPDX-License-Identifier: AGPL-3.0-or-later\nint x;", "AGPL-3.0", True, "agpl3"),
+        (7, "MIT\nISC\n\nMozilla", "", False, ""), (8, "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.", "MPL-2.0", False, "mpl2"),
+        (9, "released under the\n\nMIT License", "", False, ""), (10, "we never saw it released under the MIT License", "", False, ""), (11, "x\x02y\nAll rights\nreserved", "ALL-RIGHTS-RESERVED", True, "reserved"),
+        (12, "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC", False, "isc-grant"),
+    ]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert [(i, got[i].licenses, got[i].restricted, got[i].sentence_ids) for i, *_ in rows] == [(i, *r) for i, _, *r in rows]
+    assert got[7].n_sentences == 3 and got[9].n_sentences == 2 and got[5].n_sentences == 1
+
+
 def test_pseudo_likelihood(spark):
     common = " ".join(["the cat sat on the mat"] * 40)
     rows = [(i, common, "en", "a") for i in range(40)] + [(100, prose(200, 8), "en", "a"), (101, None, None, None), (102, "", None, None), (None, "the cat", None, None), (103, "the cat sat on the mat", "en", "a")]
