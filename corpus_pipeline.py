@@ -20,12 +20,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document of least doc_id stays, and one of rows that repeat its doc_id and text."""
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    found = cut(ngram_join.join(docs).groupBy("doc_id").agg(F.count_if(stays).alias("stay")))
-    gone, often = small(found.where("stay = 0").select(F.col("doc_id").alias("gone"))), small(found.where("stay > 1").select(F.col("doc_id").alias("often")))
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
-    again = out["doc_id"].eqNullSafe(F.col("often"))
+    """Of each component one row stays, that of least doc_id (null last) and then least md5 of its text; of rows without words that repeat doc_id and text, one."""
+    found = cut(ngram_join.join(docs, marked=True).select("doc_id", "mark", "root"))
+    kept = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("k"), F.count("*").alias("rows")).where("rows > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("mark") == F.col("k.mark"))
+    gone = small(cut(found.join(small(cut(kept)), "root").where(~stays).select(F.col("doc_id").alias("g_doc"), F.col("mark").alias("g_mark")).distinct()))
+    often = small(cut(found.groupBy(F.col("doc_id").alias("o_doc"), F.col("mark").alias("o_mark")).agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")))
+    mark = ngram_join.mark_of(F.col("text"))
+    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("g_doc")) & mark.eqNullSafe(F.col("g_mark")), "left_anti")
+    again = out["doc_id"].eqNullSafe(F.col("o_doc")) & mark.eqNullSafe(F.col("o_mark"))
     return out.join(often, again, "left_anti").unionByName(out.join(often, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 

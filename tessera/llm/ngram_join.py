@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, lean, small, table
@@ -136,8 +136,8 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """(doc_id, n, key, light, heavy) by row; no tokens where the task has had the text before."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """(doc_id, n, key, light, heavy and a mark that docs may have) by row; no tokens where the task has had the text before."""
+    kind, marked = docs.schema["doc_id"].dataType.simpleString(), "mark" in docs.columns
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sizes, seen = _Hashes(), {}, _Seen()
@@ -159,9 +159,10 @@ def prefixes(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
                     rows.append((sizes[key], key, None, None))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
             types = pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n", "key", "light", "heavy"])
+            made_of = [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))] + ([batch.column(2)] if marked else [])
+            yield pa.RecordBatch.from_arrays(made_of, ["doc_id", "n", "key", "light", "heavy"] + ["mark"] * marked)
 
-    return docs.mapInArrow(lean(made), f"doc_id {kind}, n long, key binary, light array<long>, heavy array<long>")
+    return docs.mapInArrow(lean(made), f"doc_id {kind}, n long, key binary, light array<long>, heavy array<long>" + ", mark string" * marked)
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -249,9 +250,14 @@ def components(links: DataFrame) -> DataFrame:
         e = cut(large.join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(first.select("u", F.col("m").alias("v"))).distinct())
 
 
-def join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of docs."""
-    docs = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
+def mark_of(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
+
+
+def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", marked: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of docs. marked: also the text's md5 as mark, and root, which no two components
+    share, as they may share their least doc_id (null where a text has no words)."""
+    docs = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), *[mark_of(F.col(text)).alias("mark")] * marked)
     rows = cut(prefixes(docs, frequent_tokens(docs)))
     tokens = [F.first(c, ignorenulls=True).alias(c) for c in ("light", "heavy")]
     classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), *tokens)
@@ -303,9 +309,10 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     roots = components(star.unionByName(found))
     named = roots.join(classes.select("id", "rep"), "id")
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
-    of_class = classes.select("id", "key", "rep").join(roots, "id", "left").join(least, "root", "left").select(F.col("key").alias("k"), F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n", "key").join(of_class, F.col("key") == F.col("k"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    of_class = classes.select("id", "key", "rep").join(roots, "id", "left").join(least, "root", "left").select(F.col("key").alias("k"), F.coalesce("component", "rep").alias("component"), F.coalesce("root", "id").alias("root"))
+    also = ["mark", "root"] * marked
+    out = rows.select("doc_id", "n", "key", *also[:1]).join(of_class, F.col("key") == F.col("k"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), *also)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,6 +155,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert mixed and all(x.taken > 0 and (x.doc_id or -1) in after[-1] for x in mixed)
 
 
+def test_one_row_of_each_component_stays(spark):
+    x, a = prose(100, 60), prose(100, 61)
+    x2, x3 = x + " one", x + " more"
+    rows = [(3, x), (5, a), (5, x2), (5, x2), (None, x3), (7, prose(100, 62)), (7, prose(100, 62)), (8, ""), (8, ""), (9, "")]
+    y = prose(100, 63)
+    rows += [(6, y + " one"), (6, y), (None, prose(100, 64)), (None, prose(100, 64) + " two"), (None, prose(100, 65))]
+    docs = spark.createDataFrame([(*r, "a") for r in rows], "doc_id long, text string, source string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    ids = sorted(str(i) for i, _ in got)
+    assert ids == ["3", "5", "6", "7", "8", "9", "None", "None"] and (5, a) in got and (5, x2) not in got
+    assert sum(t.startswith(prose(100, 64)) for _, t in got) == 1 and (None, prose(100, 65)) in got
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
