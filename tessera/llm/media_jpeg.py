@@ -1,7 +1,7 @@
 """Media columns: baseline JPEG.
 
-Decoding parses the markers, Huffman-decodes the scan of any baseline (SOF0, 8 bits, interleaved or single
-component) image, keeps DC coefficients of luminance as a thumbnail of one pixel per 8x8 block, and hashes it.
+Decoding parses the markers, Huffman-decodes the scan that holds luminance of any baseline (SOF0, 8 bits, components in one
+or several scans) image, keeps DC coefficients of luminance as a thumbnail of one pixel per 8x8 block, and hashes it.
 Decoding runs over many images at once: every restart interval is a lane, and numpy steps all lanes that
 share tables by one symbol at a time, so that an image with short intervals costs no Python per coefficient.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 import struct
 import zlib
 from collections import defaultdict
@@ -226,20 +227,33 @@ class Image:
     data: bytes = b""
 
     def mcus(self) -> tuple[int, int]:
-        h, v = (max(c[i] for c in self.components) for i in (1, 2)) if len(self.components) > 1 else (1, 1)
-        return -(-self.width // (8 * h)), -(-self.height // (8 * v))
+        """Across and down, of the scan; one component alone has a block per MCU, as many as its own samples need."""
+        h, v = (max(c[i] for c in self.components) for i in (1, 2))
+        if len(self.scan) > 1:
+            return -(-self.width // (8 * h)), -(-self.height // (8 * v))
+        _, own_h, own_v, _ = self.components[self.scan[0][0]]
+        return -(-self.width * own_h // (8 * h)), -(-self.height * own_v // (8 * v))
 
     def units(self) -> list[tuple[int, int, int]]:
         """(component, DC table, AC table) of each block of an MCU."""
         out = []
         for c, dc, ac in self.scan:
-            n = 1 if len(self.components) == 1 else self.components[c][1] * self.components[c][2]
+            n = 1 if len(self.scan) == 1 else self.components[c][1] * self.components[c][2]
             out += [(c, dc, ac)] * n
         return out
 
 
+#: What ends a scan: a marker that is neither a stuffed FF nor a restart nor fill.
+_MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
+
+
+def _scan_end(file: bytes, at: int) -> int:
+    found = _MARKER.search(file, at)
+    return found.start() if found else len(file)
+
+
 def parse(file: bytes) -> Image:
-    """Markers up to the scan. Only baseline with all components in one scan."""
+    """Markers up to the scan that holds the first component, luminance; scans before it are passed over."""
     if file[:2] != b"\xff\xd8":
         raise ValueError("no SOI marker")
     image, at = Image(), 2
@@ -260,6 +274,8 @@ def parse(file: bytes) -> Image:
             if depth != 8 or not image.height or not image.width or len(body) != 6 + 3 * n:
                 raise ValueError("frame header")
             image.components = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+            if not all(1 <= h <= 4 and 1 <= v <= 4 for _, h, v, _ in image.components):
+                raise ValueError("sampling factors")
         elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             raise ValueError("not baseline")
         elif marker == 0xC4:
@@ -279,12 +295,14 @@ def parse(file: bytes) -> Image:
         elif marker == 0xDA:
             order = {c[0]: i for i, c in enumerate(image.components)}
             n = body[0]
-            if n != len(image.components) or not n:
-                raise ValueError("components in several scans")
-            image.scan = [(order[body[1 + 2 * i]], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(n)]
-            end = file.rfind(b"\xff\xd9")
-            image.data = file[at : end if end >= at else len(file)]
-            return image
+            if not n or len(body) < 1 + 2 * n:
+                raise ValueError("scan header")
+            scan = [(order[body[1 + 2 * i]], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(n)]
+            end = _scan_end(file, at)
+            if any(c == 0 for c, _, _ in scan):
+                image.scan, image.data = scan, file[at:end]
+                return image
+            at = end
 
 
 def _intervals(image: Image) -> tuple[np.ndarray, np.ndarray]:
@@ -394,7 +412,7 @@ def thumbnail(image: Image, blocks: np.ndarray) -> np.ndarray:
     """One pixel per luminance block, from its DC coefficient alone."""
     units, (across, down) = image.units(), image.mcus()
     _, h, v, q = image.components[image.scan[0][0]]
-    if len(image.components) == 1:
+    if len(image.scan) == 1:
         h = v = 1
     dc = blocks.reshape(down * across, len(units), 64)[:, : h * v, 0].astype(np.int64) * image.quantisers[q][0]
     pixels = dc.reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)

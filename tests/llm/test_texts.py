@@ -81,6 +81,31 @@ def test_jpeg_of_three_components_and_long_intervals():
     assert media_jpeg.thumbnail(image, blocks).tolist() == [[133, 121, 128, 128], [228, 131, 108, 137]]
 
 
+def test_jpeg_of_several_scans():
+    """4:2:0 of 30 x 10 pixels, each component in a scan of its own, luminance second."""
+    import struct
+
+    seg = media_jpeg._segment
+    dc, ac = (dict((s, (c, k)) for s, c, k in media_jpeg.codes_of(*t)) for t in (media_jpeg.DC_TABLE, media_jpeg.AC_TABLE))
+
+    def scan(number, values):
+        bits, before = "", 0
+        for v in values:
+            d, before = v - before, v
+            n = abs(d).bit_length()
+            code, k = dc[n]
+            bits += f"{code:0{k}b}" + (f"{d if d > 0 else d + (1 << n) - 1:0{n}b}" if n else "") + f"{ac[0][0]:0{ac[0][1]}b}"
+        bits += "1" * (-len(bits) % 8)
+        return seg(0xDA, bytes([1, number, 0, 0, 0x3F, 0])) + int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+
+    tables = seg(0xC4, b"\0" + b"".join(media_jpeg.DC_TABLE)) + seg(0xC4, b"\x10" + b"".join(media_jpeg.AC_TABLE))
+    head = b"\xff\xd8" + seg(0xDB, b"\0" + bytes([8]) * 64) + seg(0xC0, struct.pack(">BHHB", 8, 10, 30, 3) + b"\1\x22\0\2\x11\0\3\x11\0") + tables
+    file = head + scan(2, [1, 1]) + tables + scan(1, [5, -7, 0, 0, 100, 3, -20, 9]) + scan(3, [-1, -1]) + b"\xff\xd9"
+    image, blocks = media_jpeg.decode([file])[0]
+    assert (image.width, image.height) == (30, 10)
+    assert media_jpeg.thumbnail(image, blocks).tolist() == [[133, 121, 128, 128], [228, 131, 108, 137]]
+
+
 def test_broken_files_give_nulls(spark):
     good = media_jpeg.payloads_to_jpeg([b"x" * 640])[0]
     rows = [(1, good), (2, good[:40]), (3, b""), (4, None), (5, good.replace(b"\xff\xc0", b"\xff\xc2")), (6, good[:-60])]
