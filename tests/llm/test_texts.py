@@ -2,8 +2,10 @@ import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import language_id, licenses, lm_scoring, media_jpeg, ngram_join, token_counts
@@ -292,19 +294,71 @@ def test_licences_in_full(spark):
 
 def test_pseudo_likelihood(spark):
     common = " ".join(["the cat sat on the mat"] * 40)
-    rows = [(i, common, "en", "a") for i in range(40)] + [(100, prose(200, 8), "en", "a"), (101, None, None, None), (102, "", None, None), (None, "the cat", None, None), (103, "the cat sat on the mat", "en", "a")]
+    rows = [(i, common, "en", "a") for i in range(40)] + [(100, prose(200, 8), "en", "a"), (101, None, None, None), (102, " \n", None, None), (None, "the cat", None, None), (103, "the cat sat on the mat", "en", "a"), (104, " The\tcat sat on  the mat\n", "en", "a")]
     docs = spark.createDataFrame([(*r, 0, "k", 1, 2, 3, "w") for r in rows], SCHEMA)
-    got = {r.doc_id: r for r in lm_scoring.score_documents(docs).collect()}
+    found = lm_scoring.score_documents(docs).collect()
+    got = {r.doc_id: r for r in found}
     assert got[101].n_tokens == 0 and got[101].pll == 0 and got[101].mean_pll is None and got[102].pll == 0
-    assert got[103].mean_pll > got[100].mean_pll and got[100].n_tokens == 200
+    assert got[103].mean_pll > got[100].mean_pll and got[100].n_tokens == 200 and got[103][1:] == got[104][1:]
+    assert len({r.pll for r in found if r.doc_id is not None and r.doc_id < 40}) == 1
     assert lm_scoring.score_documents(frame(spark, [])).count() == 0
 
 
-def test_every_document_trains(spark):
-    for i in range(4):
-        docs = spark.createDataFrame([(i, "alpha beta gamma " * 20)], "doc_id long, text string")
-        w = lm_scoring.train(docs, {"alpha": 0, "beta": 1, "gamma": 2})
-        assert np.abs(w["words"][0]).sum() > 0 and np.abs(w["words"][1:]).sum() == 0
+def brute_pll(words, w, counts, text):
+    """By loops over tokens, pieces in dictionaries; counts: of all pieces of the corpus."""
+    place = {p: i for i, p in enumerate(words.pieces.to_pylist())}
+    tokens = (text or "").lower().split()
+    rare = lambda t: 1024 - 16 + t.encode()[0] % 16
+    ids = [1024] * 2 + [int(words.ids[place[t]]) if t in place else rare(t) for t in tokens] + [1024] * 2
+    letters = np.exp(words.letters).reshape(257, 8, 257)
+    softmax = lambda x: np.exp(x) / np.exp(x).sum()
+    total = 0.0
+    for i, t in enumerate(tokens, 2):
+        h = np.tanh(w["bias"] + w["context"][0][ids[i - 2]] + w["context"][1][ids[i - 1]] + w["context"][2][ids[i + 1]] + w["context"][3][ids[i + 2]])
+        h = np.append(h, 1).astype(np.float64)
+        p = softmax(h @ w["classes"])[ids[i] // 32] * softmax(h @ w["words"][ids[i] // 32])[ids[i] % 32]
+        if t in place:
+            p *= np.exp(words.logs[place[t]])
+        else:
+            spelled, a, b = 1.0, 256, 256
+            for x in [*t.encode(), 256]:
+                spelled *= letters[b, a % 8, x]
+                a, b = b, x
+            k = ids[i] - 1008
+            spelled /= np.exp(words.whole[k])
+            p *= (counts[t] - 1 - words.discount) * words.unit[k] + words.free[k] * spelled if counts[t] > 1 else words.alone[k] * spelled
+        total += np.log(p)
+    return total
+
+
+def test_scores_against_brute_force_whatever_the_partitions(spark):
+    r = random.Random(4)
+    texts = [prose(r.choice([0, 1, 3, 60, 300]), i, 700) + r.choice(["", " rare", " Rare é" + str(i)]) for i in range(60)]
+    texts += [texts[5], texts[6].upper(), prose(9000, 77, 2000)]
+    docs = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    runs = [sorted(map(tuple, lm_scoring.score_documents(docs.repartition(n)).collect()), key=str) for n in (1, 5)]
+    assert runs[0] == runs[1]
+    sums = lm_scoring.counted(docs)
+    words = lm_scoring.vocabulary(sums)
+    w = lm_scoring.train(lm_scoring.encode(docs, words))
+    counts = {x.word: x.n for x in sums.collect()}
+    brute = Counter(t for text in texts for t in text.lower().split())
+    assert counts == brute
+    want = sorted(((i if i % 7 else None, len(t.split()), brute_pll(words, w, brute, t)) for i, t in enumerate(texts)), key=str)
+    for got, (doc, n, pll) in zip(sorted(((x[0], x[1], x[2]) for x in runs[0]), key=str), want, strict=True):
+        assert (got[0], got[1]) == (doc, n) and got[2] == pytest.approx(pll, abs=2e-3 + 1e-6 * n)
+
+
+def test_every_document_trains(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} alpha beta gamma " * 20) for i in range(12)], "doc_id long, text string")
+    encoded = lm_scoring.cut(lm_scoring.encode(docs, lm_scoring.vocabulary(lm_scoring.counted(docs))))
+    whole = lm_scoring.train(encoded)
+    for i in range(12):  # each one changes the network
+        assert any(np.abs(whole[k] - v).max() > 0 for k, v in lm_scoring.train(encoded.where(f"doc_id <> {i}")).items())
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 100)
+    monkeypatch.setattr(lm_scoring, "FAN", 3)
+    many = [lm_scoring.train(encoded.repartition(n)) for n in (1, 4)]
+    assert all((many[0][k] == many[1][k]).all() for k in whole) and any(np.abs(whole[k] - many[0][k]).max() > 0 for k in whole)
 
 
 def test_token_probabilities_sum_to_one():
@@ -320,34 +374,36 @@ def test_token_probabilities_sum_to_one():
 
 
 def test_pieces_of_an_id_sum_to_one():
-    r, known = np.random.default_rng(2), ["a", "ab"]
-    listed = [(w, n) for n, w in enumerate(("b", "bb", "c", "q\u00e9", "zz"), 20)]
-    counts = np.zeros((lm_scoring.END + 1) * lm_scoring.BACK * lm_scoring.SYMBOLS)
-    for word in ("aab", "ba", "bc", "q"):
-        counts[lm_scoring._cells(word)] += r.integers(1, 9)
-    for x in range(256):  # so that pieces longer than two bytes of the first kind are few
-        counts[(x * lm_scoring.BACK + np.arange(lm_scoring.BACK)) * lm_scoring.SYMBOLS + lm_scoring.END] += 1e6
-    words = lm_scoring.words_of(known, listed, counts)
-    logs, ids = lm_scoring.Logs(words), lm_scoring.Ids(words.ids)
-    assert logs["a"] == 0 and ids["A"] == 0 and logs["BB"] == logs["bb"]
-    sums = {}
-    for word, _ in listed:
-        sums[ids[word]] = sums.get(ids[word], 0) + np.exp(logs[word])
+    """Known ones are sure, listed ones share an id by counts, and rare ones have what is counted and what is left, which goes to all byte strings."""
+    known, listed = ["a", "ab"], [(w, n) for n, w in enumerate(("b", "bb", "c", "q\u00e9", "zz"), 20)]
+    rare = {"aab": 3, "ba": 1, "bc": 1, "q": 2, "qz": 1}
+    texts = pa.array(list(rare))
+    kind, n = lm_scoring.spelled_ids(texts), np.array(list(rare.values()))
+    tokens, types = np.bincount(kind, n, 16), np.bincount(kind, minlength=16)
+    words = lm_scoring.words_of(known, listed, np.bincount(lm_scoring.cells_of(texts)[0], minlength=lm_scoring.CELLS), tokens, types, 3, 1)
+    assert words.discount == pytest.approx(3 / 5) and (words.ids[:2] == [0, 1]).all() and (words.logs[:2] == 0).all()
+    sums = Counter()
+    for i, log in zip(words.ids[2:].tolist(), words.logs[2:], strict=True):
+        sums[i] += np.exp(log)
     assert all(x == pytest.approx(1) for x in sums.values())
-    ascii_ = [chr(x) for x in range(33, 127) if not chr(x).isupper()]
-    seen = {}
-    for word in ascii_ + [x + y for x in ascii_ for y in ascii_]:
-        if word not in words.ids:
-            seen[ids[word]] = seen.get(ids[word], 0) + np.exp(logs[word])
-    assert all(x <= 1 + 1e-9 for x in seen.values())
-    # by bytes: all of one, and the rest by what goes on after it
-    letters = np.exp(np.array(words.letters)).reshape(lm_scoring.END + 1, lm_scoring.BACK, lm_scoring.SYMBOLS)
+    letters = np.exp(words.letters).reshape(lm_scoring.END + 1, lm_scoring.BACK, lm_scoring.SYMBOLS)
     assert np.allclose(letters.sum(2), 1) and letters[lm_scoring.END, 0, lm_scoring.END] == 0
-    first = letters[lm_scoring.END, 0]
+    first, own = letters[lm_scoring.END, 0], words.pieces
+    spelled = np.exp(lm_scoring.spelled_logs(words.letters, own))
     for k in range(lm_scoring.SPELLED):
-        mass = sum(first[x] for x in range(256) if x % lm_scoring.SPELLED == k)
-        own = sum(np.exp(sum(words.letters[c] for c in lm_scoring._cells(w))) for w in words.ids if w.encode()[0] % lm_scoring.SPELLED == k)
-        assert np.exp(words.whole[k]) == pytest.approx(mass - own)
+        mass = sum(first[x] for x in range(256) if x % lm_scoring.SPELLED == k) - spelled[lm_scoring.spelled_ids(own) == k].sum()
+        assert np.exp(words.whole[k]) == pytest.approx(mass)
+        mine = {w: m for w, m in rare.items() if w.encode()[0] % 16 == k}
+        for w, m in mine.items():  # the rest of the corpus, without one token of w
+            left = sum((n - (v == w) - words.discount) * words.unit[k] for v, n in mine.items() if n > (v == w))
+            assert left + (words.free[k] if m > 1 else words.alone[k]) == pytest.approx(1)
+
+
+def test_cells_of_words():
+    cells, starts = lm_scoring.cells_of(pa.array(["x", "ab", "é", "abc"]).slice(1))
+    assert starts.tolist() == [0, 3, 6] and len(cells) == 10
+    assert [c % 257 for c in cells.tolist()] == [97, 98, 256, 0xC3, 0xA9, 256, 97, 98, 99, 256]
+    assert [c // 257 for c in cells.tolist()] == [256 * 8, 97 * 8, 98 * 8 + 1, 256 * 8, 0xC3 * 8, 0xA9 * 8 + 3, 256 * 8, 97 * 8, 98 * 8 + 1, 99 * 8 + 2]
 
 
 def test_junk_costs_more_than_words(spark):
