@@ -9,7 +9,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only after its rows were counted and are no more than this.
@@ -52,6 +52,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A name that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
+def plain(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """df with columns named c0, c1, .., which no name that is added meets, and the expressions that name them as before."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)]
+
+
 def lower_ascii(c):
     """Lower-cases A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
