@@ -5,25 +5,27 @@ some rule has, each with its path's prefixes as long as some rule's) are the key
 Level 1 is a Bloom filter of the listed keys; level 2 one of the universe's keys that level 1 passes
 wrongly; level 3 one of the listed keys that level 2 passes wrongly; and so on until none is left. For
 any key of the universe the first level that rejects it, or the parity of the last, tells exactly whether
-it is listed, without a join. Filters are literals in the plan; their size follows the number of listed
-keys, which is checked against MAX_KEYS.
+it is listed, without a join. A url's keys are one array, and each filter is one literal that all of them are tested
+against. The literals' size follows the number of listed keys; of more than ``most`` (MAX_KEYS) the cascade is not built,
+and the urls' keys are joined to the listed ones, with the same result.
 
 A null url, or one without ``://``, has empty host and path and fits no rule. Urls that no rule fits are
 allowed: the method finds them unlisted. If a key is listed to block and to allow, allow wins. Repeated rows
-are judged alike; an empty table gives no rows; other columns are ignored.
+are judged alike; an empty table gives no rows; other columns stay, but for those of the names that are added.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, lower_ascii, table
+from tessera.llm.common import cut, lower_ascii, table, unused
 
-#: Listed keys at most: their first filter then has about 5 MB.
+#: Keys at most that a cascade's filter encodes: it then has about 5 MB.
 MAX_KEYS = 1_000_000
 
 #: (action, host, path) of the query.
@@ -44,11 +46,7 @@ class Level:
 
     def passes(self, key: Column) -> Column:
         words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to one literal
-        tests = [F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in self.positions(key)]
-        out = tests[0]
-        for t in tests[1:]:
-            out = out & t
-        return out
+        return F.forall(F.array(*self.positions(key)), lambda p: F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1)
 
 
 def _level(keys: DataFrame, n: int, seed: int, rate: float) -> Level:
@@ -64,21 +62,19 @@ def _level(keys: DataFrame, n: int, seed: int, rate: float) -> Level:
     return Level(seed, bits, hashes, tuple(words))
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame) -> list[Level]:
-    """universe, listed: a column ``key``. universe may repeat keys and is only filtered by level 1."""
+def build_cascade(universe: DataFrame, listed: DataFrame, most: int = MAX_KEYS) -> list[Level] | None:
+    """universe, listed: a column ``key``. universe may repeat keys and is only filtered by level 1. None if a level had more than most keys."""
     listed = cut(listed.where("key is not null").distinct())
     n = listed.count()
-    if n > MAX_KEYS:
-        raise ValueError(f"{n} listed keys; at most {MAX_KEYS} fit a plan")
-    if not n:
-        return []
+    if not n or n > most:
+        return None if n else []
     rate = min(0.5, max(1e-9, n / max(1, universe.count())))
     levels = [_level(listed, n, 1, rate)]
     wrong = cut(universe.where(levels[0].passes(F.col("key"))).distinct().join(listed, "key", "left_anti"))
     encoded, others = listed, wrong
     while n_others := others.count():
-        if n_others > 8 * MAX_KEYS:
-            raise ValueError(f"{n_others} false positives; they do not fit a plan")
+        if n_others > 8 * most:
+            return None
         levels.append(_level(others, n_others, len(levels) + 1, 0.5))
         encoded, others = others, cut(encoded.where(levels[-1].passes(F.col("key"))))
     return levels
@@ -97,32 +93,33 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return lower_ascii(part(1)), part(2)
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
-    """pages with host, path, rule and verdict; columns of these names are replaced."""
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", most: int = MAX_KEYS) -> DataFrame:
+    """pages with host, path, rule and verdict; columns of these names are replaced. rules: (action, host, path)."""
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url))
     pages = pages.withColumns({"host": host, "path": path})
     if not rules:
         return pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
+    listed = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"action": a, "key": h + p} for a, h, p in rules])), "array<struct<action:string,key:string>>")))
     shapes = sorted({(h.count(".") + 1, len(p)) for _, h, p in rules})
     labels = F.length("host") - F.length(F.translate("host", ".", "")) + 1
-    keys = {
-        (n, k): F.when((labels >= n) & (F.length("path") >= k) & (F.col("host") != ""), F.concat(F.substring_index("host", ".", -n), F.substring("path", 1, k))) for n, k in shapes
-    }
-    universe = pages.select(F.explode(F.array(*keys.values())).alias("key")).where("key is not null")
-    cascades = {
-        action: build_cascade(universe, spark.createDataFrame([(h + p,) for a, h, p in rules if a == action], "key string")) for action in ("block", "allow")
-    }
-    found = [
-        F.when(hit, F.struct(F.length(key).alias("chars"), F.lit(n).alias("labels"), F.lit(action == "allow").alias("allow"), key.alias("key")))
-        for (n, _), key in keys.items()
-        for action, levels in cascades.items()
-        if levels
-        for hit in [F.coalesce(is_listed(levels, key), F.lit(False))]
-    ]
-    best = F.greatest(*found) if len(found) > 1 else found[0]
-    pages = pages.withColumn("_best", best)
-    return pages.withColumns({"rule": F.col("_best.key"), "verdict": F.when(~F.col("_best.allow"), "block").otherwise("allow")}).drop("_best")
+    fits = lambda n, k: (labels >= n) & (F.length("path") >= k) & (F.col("host") != "")
+    keys = F.array_compact(F.array(*[F.when(fits(n, k), F.struct((F.length(F.substring_index("host", ".", -n)) + k).alias("chars"), F.lit(n).alias("labels"), F.concat(F.substring_index("host", ".", -n), F.substring("path", 1, k)).alias("key"))) for n, k in shapes]))
+    universe = pages.select(F.explode(keys).alias("k")).select("k.key")
+    cascades = {action: build_cascade(universe, listed.where(F.col("action") == action), most) for action in ("block", "allow")}
+    best, of_page = unused(pages, "best"), unused(pages, "keys")
+    found = lambda k, allow: F.struct(k["chars"].alias("chars"), k["labels"].alias("labels"), F.lit(allow).alias("allow"), k["key"].alias("key"))
+    pages = pages.withColumn(of_page, keys)
+    if None in cascades.values():
+        row = unused(pages, "row")
+        pages = pages.withColumn(row, F.monotonically_increasing_id())
+        hits = pages.select(row, F.explode(of_page).alias("k")).join(listed.distinct(), F.col("k.key") == listed["key"]).select(row, found(F.col("k"), True).withField("allow", F.col("action") == "allow").alias("f"))
+        pages = pages.join(hits.groupBy(row).agg(F.max("f").alias(best)), row, "left").drop(row)
+    else:
+        of = lambda action, levels: F.transform(F.filter(of_page, lambda k: is_listed(levels, k["key"])), lambda k: found(k, action == "allow"))
+        hits = [of(action, levels) for action, levels in cascades.items() if levels]
+        pages = pages.withColumn(best, F.array_max(F.concat(*hits)))
+    return pages.withColumns({"rule": F.col(best)["key"], "verdict": F.when(~F.col(best)["allow"], "block").otherwise("allow")}).drop(best, of_page)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
