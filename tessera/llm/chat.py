@@ -38,7 +38,7 @@ def _split(c, control: str):
 
 
 def _opening(role):
-    return F.concat(F.lit(START), role, F.lit(SEP))
+    return F.concat(F.lit(START), escape(role), F.lit(SEP))
 
 
 def _joined(parts, first, last, body):
@@ -57,7 +57,7 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
     rows = rows.select(
         F.col(conv).alias("conv_id"),
         F.floor(F.col(turn) / TURNS).alias("chunk"),
-        F.struct(F.col(turn).alias("turn"), escape(F.coalesce(F.col(role), F.lit(""))).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"),
+        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"),
     )
     chunks = rows.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     chunks = chunks.select(
@@ -75,26 +75,38 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, formatted, turns): the turns that the formatted text holds, unescaped."""
+    """(conv_id, formatted, turns): the turns that the formatted text holds, unescaped, with the places of their (escaped) texts in it, start to end,
+    and the loss mask: whether a trainer learns these characters, which are the assistant's."""
     blocks = F.transform(
         F.filter(_split(F.col("formatted"), START), lambda b, i: i > 0),
         lambda b: F.struct(F.substring_index(b, SEP, 1).alias("role"), F.substring_index(b, SEP, -1).alias("rest")),
     )
-    turns = F.flatten(
+    parts = F.flatten(
         F.transform(
             blocks,
             lambda b: F.transform(
                 _split(F.substring(b["rest"], F.lit(1), F.length(b["rest"]) - len(END)), CUT),
-                lambda t: F.struct(unescape(b["role"]).alias("role"), unescape(t).alias("text")),
+                lambda t, i: F.struct(
+                    unescape(b["role"]).alias("role"), unescape(t).alias("text"), F.length(t).alias("chars"),
+                    F.when(i > 0, len(CUT)).otherwise(F.length(b["role"]) + len(START + SEP)).alias("before"),
+                ),
             ),
         )
-    )
-    return formatted.select("conv_id", "formatted", turns.alias("turns"))
+    )
+    rows = formatted.select("conv_id", "formatted", parts.alias("parts"))
+    # what stands before a text: a block's end too, where a block begins after the first
+    gap = lambda p, i: p["before"] + F.when((i > 0) & (p["before"] != len(CUT)), len(END)).otherwise(0)
+    steps = F.transform("parts", lambda p, i: F.struct(gap(p, i).cast("long").alias("gap"), p["chars"].cast("long").alias("chars")))
+    empty = F.struct(F.array().cast("array<bigint>").alias("starts"), F.lit(0).cast("long").alias("end"))
+    starts = F.aggregate(steps, empty, lambda a, s: F.struct(F.array_append(a["starts"], a["end"] + s["gap"]).alias("starts"), (a["end"] + s["gap"] + s["chars"]).alias("end")))["starts"]
+    rows = rows.withColumn("starts", starts)
+    turn = lambda p, i: F.struct(p["role"], p["text"], F.get("starts", i).alias("start"), (F.get("starts", i) + p["chars"]).alias("end"), (p["role"] == "assistant").alias("loss"))
+    return rows.select("conv_id", "formatted", F.transform("parts", turn).alias("turns"))
 
 
 def digests(turns: DataFrame) -> DataFrame:
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
     return turns.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
