@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of
 documents; the last returns the mix: a row per document that the mix takes, with the words it takes.
-Repeated rows, nulls, empty tables and extra columns are as the operators define them.
+
+Rows are told apart by doc_id and text, null ones too. Other columns keep their names and values whatever they are called.
+Of rows that repeat doc_id and text, the one whose columns come first as JSON stays; reruns agree. Empty tables give none.
 """
 
 from __future__ import annotations
@@ -11,36 +13,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, language_id, mixing, ngram_join
-from tessera.llm.common import cut, small, table
+from tessera.llm.common import cut, plain, small, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language: null texts and texts without a letter."""
-    return language_id.identify(docs).where(F.col("lang_pred") != language_id.UNKNOWN).select(docs.columns)
+    rows, named = plain(docs)
+    doc, text, lang = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text", "lang"))
+    return language_id.identify(rows, doc, text, lang).where(F.col("lang_pred") != language_id.UNKNOWN).select(*named)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component one row stays, that of least doc_id (null last) and then least md5 of its text; of rows without words that repeat doc_id and text, one."""
-    found = cut(ngram_join.join(docs, marked=True).select("doc_id", "mark", "root"))
-    kept = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("k"), F.count("*").alias("rows")).where("rows > 1")
-    stays = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("mark") == F.col("k.mark"))
-    gone = small(cut(found.join(small(cut(kept)), "root").where(~stays).select(F.col("doc_id").alias("g_doc"), F.col("mark").alias("g_mark")).distinct()))
-    often = small(cut(found.groupBy(F.col("doc_id").alias("o_doc"), F.col("mark").alias("o_mark")).agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")))
-    mark = ngram_join.mark_of(F.col("text"))
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("g_doc")) & mark.eqNullSafe(F.col("g_mark")), "left_anti")
-    again = out["doc_id"].eqNullSafe(F.col("o_doc")) & mark.eqNullSafe(F.col("o_mark"))
-    return out.join(often, again, "left_anti").unionByName(out.join(often, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+    """Of each component one row stays, that of least doc_id (null last), then least md5 of its text. Texts without words are in none and stay."""
+    rows, named = plain(docs)
+    doc, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    found = cut(ngram_join.join(rows, doc, text, marked=True).where("root is not null").select("doc_id", "mark", "root"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    groups = found.groupBy("root").agg(F.min(order).alias("k"), F.count("*").alias("n")).where("n > 1").select("root", "k")
+    members = found.join(small(cut(groups)), "root").select("doc_id", "mark", (order == F.col("k")).alias("stays"))
+    members = cut(members.groupBy("doc_id", "mark").agg(F.max("stays").alias("stays"), F.count("*").alias("n")))
+    go = members.where("not stays").select("doc_id", "mark")
+    often = members.where("stays and n > 1").select("doc_id", "mark")
+
+    rows = rows.withColumn("m", ngram_join.mark_of(F.col(text)))
+    same = lambda keys: F.col(doc).eqNullSafe(keys["doc_id"]) & (F.col("m") == keys["mark"])
+    go, often = small(go), small(often)
+    rows = rows.join(go, same(go), "left_anti")
+    # rows that repeat doc_id and text, of which there are few kinds
+    one = rows.join(often, same(often), "left_semi").groupBy(doc, "m").agg(F.min_by(F.struct(*rows.columns), F.to_json(F.struct(*rows.columns))).alias("r")).select("r.*")
+    return rows.join(often, same(often), "left_anti").unionByName(one).select(*named)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a whole benchmark window go."""
-    hit = decontaminate.find(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("h_doc"), F.col("key").alias("h_key"))
-    text = F.md5(F.col("text").cast("binary"))
-    return docs.join(small(cut(hit)), docs["doc_id"].eqNullSafe(F.col("h_doc")) & (text == F.col("h_key")), "left_anti")
+    rows, named = plain(docs)
+    doc, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    hit = small(cut(decontaminate.find(rows, table(spark, sf_dir, "benchmark"), doc, text).where("contaminated").select("doc_id", "key").distinct()))
+    rows = rows.withColumn("m", F.md5(F.col(text).cast("binary")))
+    return rows.join(hit, F.col(doc).eqNullSafe(hit["doc_id"]) & (F.col("m") == hit["key"]), "left_anti").select(*named)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of what the mix takes."""
+    """(doc_id, source, size, source_size, target, inclusion, taken) of what the mix takes."""
     return mixing.mix(docs).where("taken > 0")
 
 
