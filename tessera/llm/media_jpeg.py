@@ -2,8 +2,8 @@
 
 Decoding parses the markers, Huffman-decodes the scan that holds luminance of any baseline (SOF0, 8 bits, components in one
 or several scans) image, keeps DC coefficients of luminance as a thumbnail of one pixel per 8x8 block, and hashes it.
-Decoding runs over many images at once: every restart interval is a lane, and numpy steps all lanes that
-share tables by one symbol at a time, so that an image with short intervals costs no Python per coefficient.
+Decoding runs over many images at once, whatever their tables and components: every restart interval is a lane, and numpy
+steps all lanes by one symbol at a time, so that Python's cost per coefficient is shared by all of them.
 
 ``payload_to_jpeg`` stores bytes losslessly in the format's unit, the quantised coefficient: each run of 64 bytes is
 one grey 8x8 block in zigzag order, byte - 128 each (samples would pass through the cosine transform and be
@@ -12,8 +12,8 @@ interval. A comment segment holds the payload's length; blocks beyond it, which
 reading.
 
 Null and empty texts are 64 zero bytes. Equal texts give equal images. Broken files raise ValueError in
-``decode`` and give null columns in ``describe``. Work is done in blocks of LANES lanes, so memory follows the
-longest text. Repeated rows, empty tables and other columns do no harm.
+``decode`` and give null columns in ``describe``, whatever is wrong with them; a header whose size the scan cannot hold is refused
+before anything is allocated. Work is done in blocks of LANES lanes, so memory follows the longest text or file. Repeated rows, empty tables and other columns do no harm.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -271,7 +272,7 @@ def parse(file: bytes) -> Image:
         at += 2 + size
         if marker == 0xC0:
             depth, image.height, image.width, n = struct.unpack(">BHHB", body[:6])
-            if depth != 8 or not image.height or not image.width or len(body) != 6 + 3 * n:
+            if depth != 8 or not image.height or not image.width or len(body) != 6 + 3 * n or not 1 <= n <= 4:
                 raise ValueError("frame header")
             image.components = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
             if not all(1 <= h <= 4 and 1 <= v <= 4 for _, h, v, _ in image.components):
@@ -318,93 +319,141 @@ def _intervals(image: Image) -> tuple[np.ndarray, np.ndarray]:
     return d[keep], np.concatenate(([0], kept_before[marks + 2]))
 
 
-def _lanes(data: np.ndarray, starts: np.ndarray, blocks: np.ndarray, units, tables) -> np.ndarray:
-    """Coefficients (lane, block, 64 in zigzag order) of lanes that start at these bytes and have so many blocks each."""
+@dataclass
+class Layout:
+    """Of several images, what decoding looks up by image: number of units in an MCU, and of each unit its component and tables."""
+
+    n: np.ndarray
+    component: np.ndarray
+    dc: np.ndarray
+    ac: np.ndarray
+    dc_tables: np.ndarray
+    ac_tables: np.ndarray
+
+
+def _layout(images: list[Image]) -> Layout:
+    shape = (len(images), max(len(m.units()) for m in images))
+    n, parts, seen = np.zeros(len(images), np.int64), [np.zeros(shape, np.int64) for _ in range(3)], ({}, {})
+    for i, m in enumerate(images):
+        units = m.units()
+        n[i] = len(units)
+        for k, (c, *ids) in enumerate(units):
+            parts[0][i, k] = c
+            for kind, t in enumerate(ids):
+                parts[1 + kind][i, k] = seen[kind].setdefault(m.tables[kind, t], len(seen[kind]))
+    return Layout(n, *parts, *(np.concatenate([lookup(*t) for t in known]) for known in seen))
+
+
+def _lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, blocks: np.ndarray, image: np.ndarray, layout: Layout, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(quantised coefficients of all blocks of the lanes, one after another; which lanes are broken): 64 in zigzag order, or the first alone unless whole.
+    Lanes lie between these bytes, have so many blocks each and are of these images."""
     padded = np.concatenate((data, np.full(16, 255, np.uint8))).astype(np.uint64)
     window = np.zeros(len(padded) - 7, np.uint64)
     for j in range(8):
         window |= padded[j : j + len(window)] << np.uint64(56 - 8 * j)
     n, most = len(starts), int(blocks.max())
-    out = np.zeros((n, most, 64), np.int16)
-    bits = starts.astype(np.int64) * 8
-    last = len(window) - 1
-    before = np.zeros((n, len(tables[2])), np.int64)
+    base = np.concatenate(([0], np.cumsum(blocks)[:-1]))
+    out = np.zeros((int(blocks.sum()), 64 if whole else 1), np.int16)
+    bits, last = starts.astype(np.int64) * 8, len(window) - 1
+    before, bad = np.zeros((n, 4), np.int64), np.zeros(n, bool)
 
-    def symbol(lanes, by_bits, low):
-        """Decodes one symbol in each lane: (what stands above the size's 4 bits, value)."""
+    def symbol(lanes, tables, which):
+        """Decodes one symbol in each lane: (what stands above the size's 4 bits, value, size); lanes without one are broken and read as 0."""
         at = bits[lanes]
         w = window[np.minimum(at >> 3, last)] << (at & 7).astype(np.uint64)
-        e = by_bits[(w >> np.uint64(48)).astype(np.int64)].astype(np.int64)
+        e = tables[(which << 16) + (w >> np.uint64(48)).astype(np.int64)].astype(np.int64)
         length = e & 255
         if not length.all():
-            raise ValueError("no such Huffman code")
-        size = (e >> 8) & low
+            bad[lanes[length == 0]] = True
+        size = (e >> 8) & 15
         raw = ((w << length.astype(np.uint64)) >> np.uint64(1) >> (63 - size).astype(np.uint64)).astype(np.int64)
         bits[lanes] = at + length + size
         return e >> 12, np.where((size > 0) & (raw < (1 << np.maximum(size - 1, 0))), raw - (1 << size) + 1, raw), size
 
     for b in range(most):
-        c, dc, ac = units[b % len(units)]
-        lanes = np.flatnonzero(blocks > b)
-        _, v, _ = symbol(lanes, tables[0][dc], 15)
+        lanes = np.flatnonzero((blocks > b) & ~bad)
+        unit = b % layout.n[image[lanes]]
+        c, ac = layout.component[image[lanes], unit], layout.ac[image[lanes], unit]
+        _, v, _ = symbol(lanes, layout.dc_tables, layout.dc[image[lanes], unit])
         before[lanes, c] += v
-        out[lanes, b, 0] = before[lanes, c]
+        out[base[lanes] + b, 0] = before[lanes, c]
         k = np.ones(len(lanes), np.int64)
         while len(lanes):
-            run, v, size = symbol(lanes, tables[1][ac], 15)
+            run, v, size = symbol(lanes, layout.ac_tables, ac)
             k += run
             zero = size == 0
             ended = zero & (run != 15)
-            if (k[~ended] > 63).any():
-                raise ValueError("too many coefficients")
-            some = ~zero
-            out[lanes[some], b, k[some]] = v[some]
+            over = ~ended & (k > 63)
+            if over.any():
+                bad[lanes[over]] = True
+            if whole:
+                some = ~zero & ~over
+                out[base[lanes[some]] + b, k[some]] = v[some]
             k += 1
-            go = ~ended & (k < 64)
+            go = ~ended & (k < 64) & ~bad[lanes]
             if not go.all():
-                lanes, k = lanes[go], k[go]
-    if (bits[:] > len(data) * 8 + 7).any():
-        raise ValueError("scan cut short")
-    return out
-
-
-def decode(files: list[bytes]) -> list[tuple[Image, np.ndarray]]:
-    """(image, coefficients of its blocks in scan order) for each; images that share tables are decoded together."""
-    images = [parse(f) for f in files]
-    groups: dict = defaultdict(list)
-    for i, m in enumerate(images):
-        groups[tuple(m.units()), tuple(sorted(m.tables.items())), len(m.components)].append(i)
-    out: list = [None] * len(images)
-    for (units, tables, n_components), members in groups.items():
-        ready = tuple({k[1]: lookup(*t) for k, t in tables if k[0] == kind} for kind in (0, 1)) + (range(n_components),)
-        data, starts, counts, at = [], [], [], 0
-        for i in members:
-            m = images[i]
-            across, down = m.mcus()
-            d, s = _intervals(m)
+                lanes, k, ac = lanes[go], k[go], ac[go]
+    return out, bad | (bits > ends * 8)
+
+
+def _pieces(sizes: np.ndarray, lanes: int, blocks: int) -> Iterator[slice]:
+    """Runs of lanes, no more than so many or with so many blocks, but for single ones."""
+    at, ends = 0, np.cumsum(sizes)
+    while at < len(sizes):
+        z = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + blocks, "right"))
+        z = max(at + 1, min(z, at + lanes))
+        yield slice(at, z)
+        at = z
+
+
+def decode(files: list[bytes], whole: bool = True, strict: bool = True) -> list[tuple[Image, np.ndarray] | None]:
+    """(image, coefficients of its blocks in scan order) for each file, all of them, or DC alone unless whole; images are decoded together, whatever their
+    tables. A broken one is None, or raises ValueError if strict. Nothing is allocated that the scan's length does not warrant."""
+    out: list = [None] * len(files)
+    kept, data, starts, counts, at = [], [], [], [], 0
+    for i, f in enumerate(files):
+        try:
+            m = parse(f)
+            units, (across, down) = m.units(), m.mcus()
             n = across * down
-            each = m.every or n
+            each = min(m.every or n, n)
+            d, s = _intervals(m)
+            if not all((k, u[1 + k]) in m.tables for u in units for k in (0, 1)) or len(m.quantisers.get(m.components[m.scan[0][0]][3], ())) < UNIT:
+                raise ValueError("a table is missing")
             if len(s) != -(-n // each):
                 raise ValueError("restart markers are missing")
-            c = np.full(len(s), each * len(units))
-            c[-1] = (n - each * (len(s) - 1)) * len(units)
-            data.append(d)
-            starts.append(s + at)
-            counts.append(c)
-            at += len(d)
-        data, starts, counts = map(np.concatenate, (data, starts, counts))
-        ends = np.append(starts[1:], len(data))
-        done = []
-        for a in range(0, len(starts), LANES):
-            z = min(a + LANES, len(starts))
-            got = _lanes(data[starts[a] : ends[z - 1]], starts[a:z] - starts[a], counts[a:z], units, ready)
-            done.append(got[np.arange(got.shape[1]) < counts[a:z, None]])
-        blocks, at = np.concatenate(done), 0
-        for i in members:
-            across, down = images[i].mcus()
-            n = across * down * len(units)
-            out[i] = images[i], blocks[at : at + n]
-            at += n
+            if n * len(units) * 2 > len(d) * 8:  # a block takes two bits at least
+                raise ValueError("scan cut short")
+            for t in m.tables.values():
+                codes_of(*t)
+        except (ValueError, KeyError, IndexError, struct.error):
+            if strict:
+                raise
+            continue
+        c = np.full(len(s), each * len(units))
+        c[-1] = (n - each * (len(s) - 1)) * len(units)
+        kept.append((i, m, len(s), n * len(units)))
+        data.append(d)
+        starts.append(s + at)
+        counts.append(c)
+        at += len(d)
+    if not kept:
+        return out
+    layout = _layout([m for _, m, _, _ in kept])
+    image = np.repeat(np.arange(len(kept)), [lanes for _, _, lanes, _ in kept])
+    data, starts, counts = map(np.concatenate, (data, starts, counts))
+    ends, done, bad = np.append(starts[1:], len(data)), [], []
+    for p in _pieces(counts, LANES, LANES * (16 if whole else 16 * UNIT)):
+        got, broken = _lanes(data[starts[p][0] : ends[p][-1]], starts[p] - starts[p][0], ends[p] - starts[p][0], counts[p], image[p], layout, whole)
+        done.append(got)
+        bad.append(broken)
+    blocks, broken, at = np.concatenate(done), np.bincount(image, np.concatenate(bad), len(kept)) > 0, 0
+    for j, (i, m, _, n) in enumerate(kept):
+        if not broken[j]:
+            out[i] = m, blocks[at : at + n]
+        elif strict:
+            raise ValueError("no such Huffman code, too many coefficients, or the scan is cut short")
+        at += n
     return out
 
 
@@ -414,7 +463,7 @@ def thumbnail(image: Image, blocks: np.ndarray) -> np.ndarray:
     _, h, v, q = image.components[image.scan[0][0]]
     if len(image.scan) == 1:
         h = v = 1
-    dc = blocks.reshape(down * across, len(units), 64)[:, : h * v, 0].astype(np.int64) * image.quantisers[q][0]
+    dc = blocks[:, 0].reshape(down * across, len(units))[:, : h * v].astype(np.int64) * image.quantisers[q][0]
     pixels = dc.reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
     pixels = pixels[: -(-image.height // 8), : -(-image.width // 8)]
     return np.clip((pixels + 4) // 8 + 128, 0, 255).astype(np.uint8)
@@ -455,18 +504,31 @@ def describe(images: DataFrame, key: str, file: str) -> DataFrame:
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for f in batch.column(1).to_pylist():
-                try:
-                    m, blocks = decode([f or b""])[0]
-                    t = thumbnail(m, blocks)
-                    rows.append((m.width, m.height, feature(m, t), t.tobytes()))
-                except (ValueError, KeyError, IndexError, struct.error):
-                    rows.append((None,) * 4)
-            w, h, f, t = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array(f, pa.string()), pa.array(t, pa.binary())], ["key", "width", "height", "feature", "thumbnail"])
-
-    return images.mapInArrow(described, f"key {kind}, width int, height int, feature string, thumbnail binary")
+            files = batch.column(1)
+            for part in batches_of(pc.fill_null(pc.binary_length(files), 0).to_pylist(), 16 * LANES * UNIT):
+                rows = []
+                for found in decode([f or b"" for f in files[part.start : part.stop].to_pylist()], whole=False, strict=False):
+                    if found is None:
+                        rows.append((None,) * 4)
+                    else:
+                        t = thumbnail(*found)
+                        rows.append((found[0].width, found[0].height, feature(found[0], t), t.tobytes()))
+                w, h, f, t = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array(f, pa.string()), pa.array(t, pa.binary())], ["key", "width", "height", "feature", "thumbnail"])
+
+    return images.mapInArrow(lean(described), f"key {kind}, width int, height int, feature string, thumbnail binary")
+
+
+def batches_of(sizes: list[int], most: int = LANES * UNIT) -> Iterator[slice]:
+    """Runs of rows of about so many bytes together, longer rows alone."""
+    at = held = 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield slice(at, i)
+            at, held = i, 0
+        held += n
+    if sizes:
+        yield slice(at, len(sizes))
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -495,15 +557,9 @@ def store_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text", keep:
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            at = 0
-            while at < len(texts):  # as many texts at once as fill the lanes
-                end, room = at, LANES * UNIT
-                while end < len(texts) and (room > 0 or end == at):
-                    room -= len(texts[end].as_py() or "")
-                    end += 1
-                rows = rows_of(texts[at:end].to_pylist())
-                yield pa.RecordBatch.from_arrays([ids[at:end], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names)
-                at = end
+            for part in batches_of(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):  # as many texts at once as fill the lanes
+                rows = rows_of(texts[part.start : part.stop].to_pylist())
+                yield pa.RecordBatch.from_arrays([ids[part.start : part.stop], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names)
 
     return docs.mapInArrow(lean(stored), schema)
 

@@ -111,8 +111,30 @@ def test_jpeg_of_several_scans():
 def test_broken_files_give_nulls(spark):
     good = media_jpeg.payloads_to_jpeg([b"x" * 640])[0]
     rows = [(1, good), (2, good[:40]), (3, b""), (4, None), (5, good.replace(b"\xff\xc0", b"\xff\xc2")), (6, good[:-60])]
-    got = {r.key: r.width for r in media_jpeg.describe(spark.createDataFrame(rows, "i long, f binary"), "i", "f").collect()}
-    assert got == {1: 80, 2: None, 3: None, 4: None, 5: None, 6: None}
+    frame_at = good.index(b"\xff\xc0")
+    wide = good[: frame_at + 5] + b"\xff\xff\xff\xff" + good[frame_at + 9 :]  # says 65,535 by 65,535
+    no_sampling = good[: frame_at + 11] + b"\0" + good[frame_at + 12 :]
+    rows += [(7, wide), (8, wide.replace(b"\xff\xdd\0\4\0\1", b"\xff\xdd\0\4\0\0")), (9, no_sampling), (10, good.replace(b"\xff\xdb\0\x43", b"\xff\xee\0\x43")), (11, good.replace(b"\xff\xc4", b"\xff\xee"))]
+    r = random.Random(3)
+    for i in range(300):  # any byte changed anywhere: a result or null, and whole ones beside it stay
+        at = r.randrange(len(good))
+        rows.append((100 + i, good[:at] + bytes([r.randrange(256)]) + good[at + 1 :]))
+    rows.append((500, good))
+    got = {r.key: r for r in media_jpeg.describe(spark.createDataFrame(rows, "i long, f binary").coalesce(1), "i", "f").collect()}
+    assert {k: v.width for k, v in got.items() if k < 100} == {1: 80} | dict.fromkeys(range(2, 12)) and len(got) == len(rows)
+    assert got[500][1:] == got[1][1:] and got[1].thumbnail == b"x" * 10
+    assert media_jpeg.describe(spark.createDataFrame([], "i long, f binary"), "i", "f").count() == 0
+
+
+def test_images_of_any_tables_decode_together():
+    files = media_jpeg.payloads_to_jpeg([bytes(range(64)) * n for n in (1, 3, 70)])
+    alone = [media_jpeg.decode([f])[0] for f in files]
+    for got, want in zip(media_jpeg.decode([files[2], files[0], b"broken", files[1]], strict=False), [alone[2], alone[0], None, alone[1]], strict=True):
+        assert (got is None) == (want is None) and (got is None or (got[1] == want[1]).all())
+    dc = media_jpeg.decode(files, whole=False)
+    assert all((a[1][:, 0] == b[1][:, 0]).all() and a[1].shape[1] == 1 for a, b in zip(dc, alone, strict=True))
+    with pytest.raises(ValueError):
+        media_jpeg.decode([files[0], b"broken"])
 
 
 def brute_components(rows):
@@ -134,8 +156,10 @@ def brute_components(rows):
 
 def test_ngram_join_against_brute_force(spark):
     base = prose(90, 11).split()
-    rows = [(r[0], r[1]) for r in documents() if r[0] != 10]
+    rows = [(r[0], r[1]) for r in documents()]
     r = random.Random(5)
+    long = dict(rows)[10].split()  # a very long text, a near copy, and one that is not quite
+    rows += [(20, " ".join(long[:29_000])), (21, " ".join(long[: len(long) * 3 // 4]))]
     for i in range(60):  # a family around one text: some link to the hub only, some to none
         w = list(base)
         for _ in range(i % 7):
@@ -151,6 +175,7 @@ def test_ngram_join_against_brute_force(spark):
 
 def test_ngram_join_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 100)
     base = prose(60, 21).split()
     rows, r = [], random.Random(9)
     for i in range(24):
