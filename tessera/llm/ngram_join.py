@@ -14,12 +14,14 @@ at most HEAVY of them are kept) last, others by hash; any order gives the same l
 4. Members are compared with the hub, a member whose tokens are the group's most frequent ones. Members linked to it are
    one component already and are not compared with one another, so that a large group of near copies costs its size.
    What is left of the members, and the visiting queries, are compared with all members of the groups they qualify
-   for, in blocks of BLOCK members by BLOCK queries; each block bounds a query by its own token union first and then
-   counts exact overlaps. No pair leaves a block but those that join components.
+   for, in blocks of about BLOCK members or BLOCK_TOKENS tokens, whichever are fewer, by as many queries; each block bounds a
+   query by its own token union first and then counts exact overlaps. No pair leaves a block but those that join components.
 5. Links form components by star contraction.
 
-Memory per task is bounded by a block. A group of near copies that do not link to its hub takes time by the square of
-their number; nothing is dropped or capped.
+Memory per task is bounded by a block (and by the longest text). A group of near copies that do not link to its hub takes time
+by the square of their number; nothing is dropped or capped. Shingles are equal if their 64-bit hashes are, which is
+all that "exact" leaves open. Tokens of more than a small share of the documents are among the frequent ones, so that what is
+counted by token in a window is none of them.
 
 Null and empty texts (no words) have no shingle and are alone. With fewer than WIDTH words the sequence is one
 shingle. Rows of equal doc_id are judged by their texts. Empty tables and other columns do no harm.
@@ -40,7 +42,7 @@ from tessera.llm.common import cut, lean, small, table
 WIDTH, PERCENT = 5, 80
 #: Tokens put last in the order, at most, and how many documents they are in at least.
 HEAVY, OFTEN = 1 << 16, 64
-BLOCK, CHUNK, MEMO = 4096, 1_000_000, 200_000
+BLOCK, BLOCK_TOKENS, CHUNK, MEMO = 1024, 1 << 20, 1_000_000, 200_000
 #: Hubs are broadcast if their sets have so many tokens together at most (32 MB), else joined.
 HUB_TOKENS = 4_000_000
 
@@ -275,8 +277,8 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", marked: bool
     of_live = shared.select("id", "token").join(small(live.select("id", "n", "home")), "id")
     matrix = cut(of_live.groupBy("token", F.col("home").alias("group")).agg(F.count("*").alias("members")))
     seen = of_live.join(matrix, "token").where("group > home or group = home and members > 1").groupBy("id", "home", "group").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    seen = cut(seen.where(F.expr(f"c >= {_BOUND}")).select("id", "home", "group"))
-    visits = seen.where("group <> home").select("id", "group")
+    seen = cut(seen.where(F.expr(f"c >= {_BOUND}")).select("id", "home", "group", "n"))
+    visits = seen.where("group <> home").select("id", "group", "n")
     # whoever has enough in common with no group, its own without itself included, and is in none that is queried, has no link
     needed_ids = seen.select("id").unionByName(live.join(small(visits.select(F.col("group").alias("home")).distinct()), "home", "left_semi").select("id")).distinct()
     live = live.join(small(cut(needed_ids)), "id", "left_semi")
@@ -293,11 +295,12 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", marked: bool
     hubs = F.broadcast(hubs) if (hubs.agg(F.sum("hub_n")).first()[0] or 0) <= HUB_TOKENS else hubs
     overlap = F.size(F.array_intersect("tokens", "hub_tokens"))
     starred = sets.join(hubs, "home").withColumn("o", F.when(F.col("id") == F.col("hub"), F.col("n")).when(F.least("n", "hub_n") * 100 < F.greatest("n", "hub_n") * PERCENT, F.lit(0)).otherwise(overlap))
-    starred = cut(starred.select("id", F.col("home").alias("group"), F.when(F.expr(f"100 * o >= {PERCENT} * (n + hub_n - o)"), F.col("hub")).alias("hub")))
+    starred = cut(starred.select("id", F.col("home").alias("group"), "n", F.when(F.expr(f"100 * o >= {PERCENT} * (n + hub_n - o)"), F.col("hub")).alias("hub")))
 
-    asked = cut(starred.where("hub is null").select("id", "group").unionByName(visits))
-    shape = live.groupBy(F.col("home").alias("group")).agg(F.count("*").alias("m")).join(asked.groupBy("group").agg(F.count("*").alias("q")), "group")
-    shape = small(cut(shape.select("group", F.expr(f"(m + {BLOCK - 1}) div {BLOCK}").alias("mb"), F.expr(f"(q + {BLOCK - 1}) div {BLOCK}").alias("qb"))))
+    asked = cut(starred.where("hub is null").select("id", "group", "n").unionByName(visits))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS))
+    shape = live.groupBy(F.col("home").alias("group")).agg(blocks.alias("mb")).join(asked.groupBy("group").agg(blocks.alias("qb")), "group")
+    shape, asked = small(cut(shape)), asked.select("id", "group")
     nothing = F.lit(None).cast("long").alias("hub")
     members = sets.withColumnRenamed("home", "group").join(shape, "group").join(small(starred.select("id", "hub")), "id", "left")
     members = members.select("group", F.expr("pmod(xxhash64(id), mb)").alias("mblock"), F.explode(F.expr("sequence(0L, qb - 1)")).alias("qblock"), F.lit(False).alias("query"), "id", "n", "hub", "tokens")
