@@ -3,12 +3,12 @@
 A text is cut into sentences (at line ends, and at .!?;: before white space or the end), each normalised to
 lower-case ASCII letters and digits with single spaces. Known licence sentences have identifiers; they may go over
 line ends, but not over blank lines (without a letter or digit) or ends of sentences. Where two fit, the first and longer counts.
-"Licensed under" stands for the usual forms of a notice (NOTICE). The
-identifiers of a text, in order, are matched against ordered rules: a rule fits where its identifiers
+"Licensed under" stands for the usual forms of a notice (NOTICE). Known sentences are looked up in a tree of their words, so that
+a text costs the same however many there are. The identifiers of a text, in order, are matched against ordered rules: a rule fits where its identifiers
 follow one another among the known sentences, and takes them, so that later rules do not see them.
 
 Null and empty texts have no sentences and no licence. Repeated rows are scanned alike; an empty table
-gives no rows; other columns are kept apart from the four that are added (replaced if they exist).
+gives no rows; other columns are kept, whatever their names, but for the four that are added (replaced if they exist).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lower_ascii, table
+from tessera.llm.common import lower_ascii, table, unused
 
 # Normalised licence sentences and their identifiers, as the SQL has them; more are in KNOWN.
 SENTENCES = {
@@ -65,6 +65,9 @@ _NAMED = {
     "apache2": "apache license version 2 0|apache license 2 0|apache license v2 0|apache license v2|apache 2 0 license|apache 2 license|apache 2 0|apache software license version 2 0",
     "bsd": "bsd license|bsd licence|bsd 2 clause license|bsd 3 clause license|2 clause bsd license|3 clause bsd license|new bsd license|simplified bsd license|modified bsd license|bsd style license|bsd 2 clause|bsd 3 clause",
     "isc": "isc license|isc licence|isc",
+    "zlib": "zlib license|zlib libpng license|zlib",
+    "boost": "boost software license version 1 0|boost software license 1 0",
+    "unlicense": "unlicense",
     "mpl2": "mozilla public license version 2 0|mozilla public license 2 0|mozilla public license v2 0|mpl 2 0|mpl version 2 0",
     "cc0": "cc0 1 0|cc0|cc0 1 0 universal",
     "cc-by": "cc by 4 0|cc by 4 0 license|creative commons attribution 4 0 international license|creative commons attribution 4 0 license",
@@ -74,7 +77,7 @@ _NAMED = {
 #: Identifiers after "SPDX-License-Identifier:", normalised.
 _SPDX = {
     "mit": "mit|mit 0|x11", "apache2": "apache 2 0", "bsd": "bsd 2 clause|bsd 3 clause|0bsd|bsd 4 clause", "isc": "isc", "mpl2": "mpl 2 0|mpl 2 0 no copyleft exception", "cc0": "cc0 1 0",
-    "unlicense": "unlicense", "cc-by": "cc by 4 0", "cc-by-sa": "cc by sa 4 0", "cc-by-nc": "cc by nc 4 0",
+    "unlicense": "unlicense", "zlib": "zlib", "boost": "bsl 1 0", "cc-by": "cc by 4 0", "cc-by-sa": "cc by sa 4 0", "cc-by-nc": "cc by nc 4 0",
 }
 _TEXTS = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
@@ -90,6 +93,10 @@ _TEXTS = {
     "this source code form is subject to the terms of the mozilla public license v": "mpl2",
     "mozilla public license version 2 0": "mpl2",
     "this is free and unencumbered software released into the public domain": "unlicense",
+    "this software is provided as is without any express or implied warranty": "zlib-as-is",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
+    "boost software license version 1 0 august 17th 2003": "boost",
 }
 _GNU = (
     ("gpl2", "gnu general public license", "gpl", "2", ", june 1991"), ("gpl3", "gnu general public license", "gpl", "3", ", 29 june 2007"), ("lgpl21", "gnu lesser general public license", "lgpl", "2 1", ", february 1999"),
@@ -119,7 +126,7 @@ KNOWN = _known()
 ALL_RULES = (
     *(rule for short, name, v in (("gpl", "GPL-2.0", "2"), ("gpl", "GPL-3.0", "3"), ("lgpl", "LGPL-2.1", "2.1"), ("lgpl", "LGPL-3.0", "3"), ("agpl", "AGPL-3.0", "3")) for rule in [(name, (f"{short}-terms", f"version-{v}"), True)]),
     *RULES[:-1],
-    ("BSD", ("reserved", "bsd"), False), ("BSD", ("bsd",), False), ("ISC", ("isc-grant",), False), ("ISC", ("isc",), False), ("MPL-2.0", ("mpl2",), False), ("CC0-1.0", ("cc0",), False), ("PUBLIC-DOMAIN", ("unlicense",), False),
+    ("BSD", ("reserved", "bsd"), False), ("BSD", ("bsd",), False), ("ISC", ("isc-grant",), False), ("ISC", ("isc",), False), ("MPL-2.0", ("mpl2",), False), ("CC0-1.0", ("cc0",), False), ("PUBLIC-DOMAIN", ("unlicense",), False), ("ZLIB", ("zlib-grant",), False), ("ZLIB", ("zlib",), False), ("BSL-1.0", ("boost",), False),
     ("LGPL-2.1", ("lgpl21",), True), ("LGPL-3.0", ("lgpl3",), True), ("AGPL-3.0", ("agpl3",), True),
     RULES[-1],
 )
@@ -130,6 +137,22 @@ NOTICE = (
 )
 
 
+def word_tree(sentences: list[str], gap: str, end: str) -> str:
+    """A regular expression of the sentences, branched by words; a longer one is tried before one that it begins with."""
+    tree: dict = {}
+    for s in sentences:
+        at = tree
+        for word in s.split(" "):
+            at = at.setdefault(word, {})
+        at[""] = {}
+
+    def shape(at: dict, first: bool) -> str:
+        ways = [("" if first else gap) + word + shape(below, False) for word, below in sorted(at.items()) if word] + [end] * ("" in at)
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    return shape(tree, True)
+
+
 def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] = KNOWN, rules=ALL_RULES) -> DataFrame:
     """docs with n_sentences, sentence_ids (known ones, in order, joined by |), licenses (sorted, joined by |), restricted."""
     plain = F.translate(lower_ascii(F.coalesce(F.col(text), F.lit(""))), _LINE, " ")
@@ -139,15 +162,16 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] = KNOWN,
     plain = F.regexp_replace(plain, rf"[ {_LINE}]*{_END}[ {_END}{_LINE}]*|[ {_LINE}]*{_LINE} *{_LINE}[ {_LINE}]*", _END)
     plain = F.concat(F.lit(_END), F.trim(F.regexp_replace(plain, rf" *{_LINE} *", _LINE)), F.lit(_END))
     short = {re.sub(rf"^{NOTICE}", "under ", s): i for s, i in sentences.items()}
-    shapes = [NOTICE + s.removeprefix("under ") if s.startswith("under ") else s for s in sorted(short, key=lambda s: (-len(s), s))]
-    shape = rf"(?<=[{_END}{_LINE}])(?:{'|'.join(shapes)})(?=[{_END}{_LINE}])".replace(" ", f"[ {_LINE}]")
+    whole, gap, end = unused(docs, "plain"), f"[ {_LINE}]", f"(?=[{_END}{_LINE}])"
+    notices, others = [s.removeprefix("under ") for s in short if s.startswith("under ")], [s for s in short if not s.startswith("under ")]
+    ways = [NOTICE.replace(" ", gap) + word_tree(notices, gap, end)] * bool(notices) + [word_tree(others, gap, end)] * bool(others)
+    shape = rf"(?<=[{_END}{_LINE}])(?:{'|'.join(ways)})"
     known = F.create_map(*[F.lit(x) for pair in short.items() for x in pair])
-    docs = docs.withColumn("_plain", plain)
-    parts = F.filter(F.split("_plain", f"[{_END}{_LINE}]"), lambda s: F.trim(s) != "")
-    found = F.regexp_extract_all("_plain", F.lit(shape), F.lit(0)) if short else F.array().cast("array<string>")
+    docs = docs.withColumn(whole, plain)
+    found = F.regexp_extract_all(whole, F.lit(shape), F.lit(0)) if short else F.array().cast("array<string>")
     ids = F.transform(found, lambda s: known[F.regexp_replace(F.translate(s, _LINE, " "), f"^{NOTICE}", "under ")])
-    docs = docs.withColumns({"_parts": parts, "_ids": ids})
-    docs = docs.withColumns({"n_sentences": F.size("_parts").cast("long"), "sentence_ids": F.array_join("_ids", "|")}).drop("_plain", "_parts", "_ids")
+    parts = F.filter(F.split(whole, f"[{_END}{_LINE}]"), lambda s: F.trim(s) != "")
+    docs = docs.withColumns({"n_sentences": F.size(parts).cast("long"), "sentence_ids": F.array_join(ids, "|")}).drop(whole)
     # every identifier has bars of its own, so that a rule's can't overlap with a neighbour's
     left = F.when(F.col("sentence_ids") == "", F.lit("")).otherwise(F.concat(F.lit("|"), F.replace(F.col("sentence_ids"), F.lit("|"), F.lit("||")), F.lit("|")))
     names, restricted = [], F.lit(False)

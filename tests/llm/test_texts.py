@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -317,6 +318,90 @@ def test_licences_in_full(spark):
     assert got[7].n_sentences == 3 and got[9].n_sentences == 2 and got[5].n_sentences == 1
 
 
+ZLIB_TEXT = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+GPL_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+UNLICENSE_TEXT = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software"
+APACHE_TEXT = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at'
+
+
+def brute_licences(text):
+    """(number of sentences, identifiers, licences, restricted), by trying every run of lines in a dictionary."""
+    text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").replace("\x02", " ")
+    paragraphs = []
+    for sentence in re.split(r"[.!?;:]+(?:[ \t\n\r\f]|\Z)", text):
+        lines = [" ".join(re.findall("[a-z0-9]+", x)) for x in re.split(r"\r\n?|\n", sentence)]
+        paragraphs.append([[]])
+        for x in lines:
+            if x:
+                paragraphs[-1][-1].append(x)
+            elif paragraphs[-1][-1]:
+                paragraphs[-1].append([])
+    groups = [g for p in paragraphs for g in p if g]
+    notice = re.compile(licenses.NOTICE)
+    known = {}
+    for s, i in licenses.KNOWN.items():
+        m = notice.match(s)
+        known[f"under {s[m.end():]}" if m else s] = i
+    ids, at = [], 0
+    lines = [(g, x) for g, group in enumerate(groups) for x in group]
+    while at < len(lines):
+        for z in range(len(lines), at, -1):
+            run = lines[at:z]
+            joined = ""
+            for j, (g, x) in enumerate(run):
+                joined += ("" if not j else " " if run[j - 1][0] == g else "\x01") + x
+            m = notice.match(joined)
+            found = known.get(f"under {joined[m.end():]}" if m else f"-{joined}" if joined.startswith("under ") else joined)
+            if found:
+                ids.append(found)
+                at = z - 1
+                break
+        at += 1
+    names, strict, left = set(), False, list(ids)
+    for name, needed, restricted in licenses.ALL_RULES:
+        k = 0
+        while k + len(needed) <= len(left):
+            if tuple(left[k : k + len(needed)]) == needed:
+                names.add(name)
+                strict |= restricted
+                left[k : k + len(needed)] = [None]
+            k += 1
+    return len(lines), "|".join(ids), "|".join(sorted(names)), strict
+
+
+def test_licences_against_brute_force(spark):
+    r = random.Random(6)
+    full = [(ZLIB_TEXT, "ZLIB"), (GPL_TEXT, "GPL-3.0"), (UNLICENSE_TEXT, "PUBLIC-DOMAIN"), (APACHE_TEXT, "Apache-2.0"), (MIT_TEXT, "MIT"), (BSD_TEXT, "BSD"), (LGPL_TEXT, "LGPL-2.1")]
+    sentences = [s.replace("\x01", ": ") for s in licenses.KNOWN]
+    texts = [t for t, _ in full]
+    for _ in range(150):
+        words = []
+        for _ in range(r.randrange(1, 7)):
+            s = r.choice([r.choice(sentences), "this file is " + r.choice(sentences), "some prose of no matter", "the", r.choice(texts)])
+            s = s if r.random() < 0.7 else s.upper()
+            words.append("".join(r.choice(["\n", "\r\n", "\n# ", " "]) if c == " " and r.random() < 0.15 else c for c in s) + r.choice([". ", "\n\n", "\n", "; ", " ", ":\n"]))
+        texts.append("".join(words))
+    texts += [None, "", "\n \n", "..."]
+    docs = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(texts)], "doc_id long, text string, plain string, _parts string")
+    found = licenses.scan(docs).collect()
+    got = {x.doc_id: (x.n_sentences, x.sentence_ids, x.licenses, x.restricted) for x in found}
+    assert {(x.plain, x._parts) for x in found} == {("a", "b")}
+    for i, t in enumerate(texts):
+        assert got[i] == brute_licences(t), t
+    assert [got[i][2] for i in range(len(full))] == [name for _, name in full]
+
+
 def test_pseudo_likelihood(spark):
     common = " ".join(["the cat sat on the mat"] * 40)
     rows = [(i, common, "en", "a") for i in range(40)] + [(100, prose(200, 8), "en", "a"), (101, None, None, None), (102, " \n", None, None), (None, "the cat", None, None), (103, "the cat sat on the mat", "en", "a"), (104, " The\tcat sat on  the mat\n", "en", "a")]
