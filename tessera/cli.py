@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evaluate, generate, graph, rules, scoring
 from tessera.plans import resolve, results
-from tessera.plans.tables import cut
+from tessera.plans.tables import clear, cut
 from tessera.sources import files, master, relationships, sinks
 
 
@@ -32,16 +32,11 @@ def _document(path: str | None) -> dict | list | None:
     return yaml.safe_load(text)
 
 
-def _numbered(rows: DataFrame, name: str) -> DataFrame:
-    """With increasing numbers in the order of the file; written once so that they stay."""
-    return cut(rows.withColumn(name, F.monotonically_increasing_id() + 1))
-
-
 def _records(spark: SparkSession, a) -> DataFrame:
     rows = files.read(spark, a.input)
     files.check_fields(rows)
     mapping, pattern, _ = files.load_mapping(_document(a.mapping), rows.columns)
-    records = files.apply_mapping(_numbered(rows, "_row"), mapping, a.input.rstrip("/").rpartition("/")[2], "_row", pattern)
+    records = files.apply_mapping(files.numbered(rows, "_row"), mapping, a.input.rstrip("/").rpartition("/")[2], "_row", pattern)
     files.preflight(records)
     return records
 
@@ -49,13 +44,13 @@ def _records(spark: SparkSession, a) -> DataFrame:
 def _sources(spark: SparkSession, a) -> list[resolve.Source]:
     out = []
     if a.master:
-        rows = _numbered(files.read(spark, a.master), "_ord")
+        rows = files.numbered(files.read(spark, a.master), "_ord")
         m = cut(master.load(rows, "master", "_ord"))
         if bad := master.issues(m).limit(5).collect():
             raise ValueError(f"The master has faults: {[tuple(b) for b in bad]}")
         out.append(resolve.Source("master", m, cut(master.edges(m)), a.trust, frozenset(master.capabilities(rows.columns))))
     if a.relationships:
-        p = cut(relationships.parse(_numbered(files.read(spark, a.relationships), "_row"), _document(a.relationship_mapping), row="_row"))
+        p = cut(relationships.parse(files.numbered(files.read(spark, a.relationships), "_row"), _document(a.relationship_mapping), row="_row"))
         if bad := relationships.validate(p).where("severity = 'error'").limit(5).collect():
             raise ValueError(f"The relationship master has faults: {[tuple(b) for b in bad]}")
         out.append(resolve.Source(relationships.NAME, edges=cut(relationships.edges(p)), trust="authoritative", capabilities=frozenset({"relationship_effective_dates"})))
@@ -64,7 +59,7 @@ def _sources(spark: SparkSession, a) -> list[resolve.Source]:
 
 def preview(spark, a):
     rows = files.read(spark, a.input)
-    return {"columns": [r.asDict() for r in files.profile(rows).collect()], "sample": [r.asDict() for r in rows.limit(a.sample).collect()], "mapping": files.suggest_mapping(rows.columns)}
+    return {"files": [r.asDict() for r in files.facts(spark, a.input).limit(100).collect()], "columns": [r.asDict() for r in files.profile(rows).collect()], "sample": [r.asDict() for r in rows.limit(a.sample).collect()], "mapping": files.suggest_mapping(rows.columns)}
 
 
 def validate(spark, a):
@@ -93,19 +88,23 @@ def migrate(spark, a):
 
 
 def check_relationships(spark, a):
-    p = cut(relationships.parse(_numbered(files.read(spark, a.input), "_row"), _document(a.mapping), row="_row"))
-    found = [r.asDict() for r in relationships.validate(p).orderBy("row", "code").collect()]
-    return {"valid": all(f["severity"] != "error" for f in found), "rows": p.count(), "issues": found}
+    p = cut(relationships.parse(files.numbered(files.read(spark, a.input), "_row"), _document(a.mapping), row="_row"))
+    found = cut(relationships.validate(p))
+    counts = {f"{r.severity}:{r.code}": r["count"] for r in found.groupBy("severity", "code").count().collect()}
+    first = [r.asDict() for r in found.orderBy("row", "code").limit(a.show).collect()]  # the rest: --output
+    if a.output:
+        sinks.write(found, a.output, a.overwrite)
+    return {"valid": not any(k.startswith("error:") for k in counts), "rows": p.count(), "counts": counts, "issues": first}
 
 
 def inspect(spark, a):
-    p = relationships.parse(_numbered(files.read(spark, a.input), "_row"), _document(a.mapping), row="_row")
+    p = relationships.parse(files.numbered(files.read(spark, a.input), "_row"), _document(a.mapping), row="_row")
     edges = graph.ready(relationships.edges(p), "authoritative", True)
     return {"entity": a.entity, "date": a.date, "parents": [r.asDict() for r in graph.inspect(edges, a.entity, a.date).select("to_id", "type", "relationship_id", "valid_from", "valid_to", "trust").collect()]}
 
 
 def make(spark, a):
-    m = cut(master.load(_numbered(files.read(spark, a.input).coalesce(1), "_ord"), "master", "_ord"))
+    m = cut(master.load(files.numbered(files.read(spark, a.input), "_ord"), "master", "_ord"))
     sinks.write(generate.generate(m, a.count, a.seed), a.output, a.overwrite)
     return {"output": a.output}
 
@@ -140,7 +139,7 @@ def parser() -> argparse.ArgumentParser:
             arg("--limit", type=int, default=20), arg("--depth", type=int, default=8), arg("--mapping-version", default="v1"), out, over)
     command("export", export, source, arg("--status", action="append"), out, over)
     command("migrate", migrate, source, out, over)
-    command("relationships", check_relationships, source, mapping)
+    command("relationships", check_relationships, source, mapping, arg("--show", type=int, default=1000), arg("--output"), over)
     command("inspect", inspect, source, mapping, arg("--entity", required=True), arg("--date"))
     command("rules", lambda spark, a: {"valid": True, "rules": len(rules.rules_of(_document(a.input)))}, source)
     command("override", lambda spark, a: rules.append_override(a.log, _document(a.input)), source, arg("--log", required=True))
@@ -153,7 +152,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     a = parser().parse_args(arguments)
     try:
         print(json.dumps(a.run(spark or SparkSession.builder.appName("tessera").getOrCreate(), a), indent=2, default=str))
-    except ValueError as e:
+    except (ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
+    finally:
+        clear()
     return 0

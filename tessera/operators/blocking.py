@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.tables import cut
+
 IDENTIFIERS = ("cik", "lei", "figi", "isin", "cusip", "ticker", "exchange")
 PROBED = ("ticker", "cik", "lei", "figi", "isin", "cusip")
 
@@ -36,8 +38,8 @@ def search(records: DataFrame, blocks: DataFrame, limit: int = 20) -> DataFrame:
     tokens = F.split("name", " ")
     primary = probe("identifier", _keys(*map(F.col, PROBED)), 0).unionByName(probe("domain", _keys(F.col("domain")), 1)).unionByName(probe("name", _keys(F.col("name")), 2))
     first = probe("token", F.when(F.col("name").isNotNull(), F.slice(tokens, 1, 1)), 3)
-    hits = primary.unionByName(first).join(blocks, ["block", "key"]).select("record_id", "ord", "priority", "weak")
-    served = primary.join(blocks, ["block", "key"], "left_semi").select("record_id").distinct()
+    hits = cut(primary.unionByName(first).join(blocks, ["block", "key"]).select("record_id", "ord", "priority", "weak"))
+    served = hits.where("priority < 3").select("record_id").distinct()
     others = probe("token", F.when(F.size(tokens) > 1, F.array_distinct(F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(1))))), 3, 1)
     weak = others.join(served, "record_id", "left_anti").join(blocks, ["block", "key"]).select("record_id", "ord", "priority", "weak")
     best = hits.unionByName(weak).groupBy("record_id", "ord").agg(F.min(F.struct("priority", "weak")).alias("b"))
@@ -45,18 +47,6 @@ def search(records: DataFrame, blocks: DataFrame, limit: int = 20) -> DataFrame:
     return ranked.where(F.col("rank") <= limit)
 
 
-def search_scan(records: DataFrame, master: DataFrame, limit: int = 20) -> DataFrame:
-    """The same without blocking keys, by comparing every record with every row: for tests on small tables only."""
-    m = master.select("ord", F.col("domain").alias("m_domain"), "names", _keys(*map(F.col, IDENTIFIERS)).alias("ids"))
-    r = records.select("record_id", "domain", "name", _keys(*map(F.col, PROBED)).alias("needles"))
-    first = F.split("name", " ")[0]
-    priority = F.when(F.arrays_overlap("needles", "ids"), 0).when(F.col("domain") == F.col("m_domain"), 1).when(F.array_contains("names", F.col("name")), 2)
-    token = F.exists("names", lambda n: F.array_contains(F.split(n, " "), first))
-    pairs = r.crossJoin(m).withColumn("priority", F.coalesce(priority, F.when(token, F.lit(3)))).where("priority is not null")
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("record_id").orderBy("priority", "ord")))
-    return ranked.where(F.col("rank") <= limit).select("record_id", "ord", "priority", "rank")
-
-
 def conflict_probes(records: DataFrame) -> DataFrame:
     """Searches of one signal each, so that signals of one record that point to different entities are seen: the name alone, and
     each strong identifier alone. (owner_id, probe_ord, and the columns of a search); none for records with a single signal."""

@@ -6,25 +6,59 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_held: dict[str, SparkSession] = {}
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder that the cluster shares (spark.checkpoint.dir; our own only where it is unset) and read again. It goes when Python ends."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where the session names none, a temporary folder in local mode, and on a
+    cluster one in the user's home on the cluster's file system; an error if that is the machine's own."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        place = tempfile.mkdtemp(prefix="tessera-")
+        if spark.sparkContext.master.startswith("local"):
+            place = tempfile.mkdtemp(prefix="tessera-")
+        else:
+            files = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.get(spark.sparkContext._jsc.hadoopConfiguration())
+            if files.getUri().getScheme() == "file":
+                raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+            place = f"{files.getHomeDirectory().toString()}/tessera-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", place)
-    path = f"{place.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    return place.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written as a Parquet table to the shared folder and read again: a short lineage that survives lost executors. The table goes with release, clear, or when
+    Python ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _held[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
 
-    def remove():
+
+def release(*tables: DataFrame | None) -> None:
+    """Removes tables that cut made and no plan needs any more."""
+    for t in tables:
+        _remove(getattr(t, "_tessera_path", None))
+
+
+def clear() -> None:
+    """Removes all tables that cut made: when results are written."""
+    for path in list(_held):
+        _remove(path)
+
+
+def _remove(path: str | None) -> None:
+    spark = _held.pop(path, None)
+    if spark:
         try:
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the session has ended; the folder's owner clears it
             pass
 
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+
+atexit.register(clear)

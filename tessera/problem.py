@@ -1,5 +1,6 @@
 """A linkage problem over the test tables: customers are the master, orders the records, with names, domains and identifiers
-that are right, wrong or missing by turns. The raw rows are SQL that both engines read; what is made of them is not shared.
+that are right, wrong or missing by turns. The raw rows are SQL that both engines read; what is made of them is not shared: the tables
+that the SQL for DuckDB looks values up in are its own, below.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ SELECT cast(o.o_orderkey AS string) AS record_id,
 FROM {{orders}} o JOIN {{part}} p ON p.p_partkey = o.o_custkey % 64
 """
 
+#: Names that end with legal suffixes.
+SUFFIXED = """
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Acme ' || {S} WHEN 1 THEN 'Acme ' || upper({S}) || ', ' || {S} || '.' WHEN 2 THEN {S} || ' Acme' ELSE {S} END AS v FROM {customer}
+"""
+
 #: A relationship table with every kind of fault: one row per order, children under parents as in the master, some turned round.
 RELATIONSHIPS = """
 SELECT o_orderkey AS row, CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE 'r' || cast(CASE WHEN o_orderkey % 41 = 0 THEN o_orderkey + 1 ELSE o_orderkey END AS string) END AS relationship_id,
@@ -56,13 +62,53 @@ def duck(text: str) -> str:
     return text.format(**{t: t for t in TABLES})
 
 
-# --- DuckDB's forms of the normalisers, for ASCII text
+def _suffixed() -> str:
+    return SUFFIXED.replace("{S}", f"split_part('{'|'.join(SUFFIXES)}', '|', cast(floor(c_custkey / 4) % {len(SUFFIXES)} + 1 AS int))")
+
+
+# --- DuckDB's forms of the normalisers, for text of ASCII and accented Latin letters
+
+# Fixed values, for the SQL alone: legal suffixes, exchanges, country names, number and street words, subdivisions.
+SUFFIXES = "inc incorporated corp corporation company co llc llp lp ltd limited plc gmbh ag sa sas bv nv pte pty holdings group".split()
+EXCHANGE_CODES = {
+    "NASDAQ": "XNAS", "NASDAQGS": "XNAS", "NASDAQGLOBALSELECT": "XNAS", "NASDAQGM": "XNAS", "NASDAQGLOBALMARKET": "XNAS", "NASDAQCM": "XNAS",
+    "NASDAQCAPITALMARKET": "XNAS", "XNAS": "XNAS", "NYSE": "XNYS", "NEWYORKSTOCKEXCHANGE": "XNYS", "XNYS": "XNYS", "NYSEARCA": "ARCX",
+    "ARCA": "ARCX", "ARCX": "ARCX", "NYSEAMERICAN": "XASE", "AMEX": "XASE", "XASE": "XASE", "LSE": "XLON",
+    "LONDON": "XLON", "XLON": "XLON", "TSX": "XTSE", "XTSE": "XTSE", "TSXV": "XTSX", "XTSX": "XTSX",
+    "EURONEXTPARIS": "XPAR", "XPAR": "XPAR", "EURONEXTAMSTERDAM": "XAMS", "XAMS": "XAMS", "XETRA": "XETR", "XETR": "XETR",
+    "TOKYO": "XTKS", "XTKS": "XTKS", "ASX": "XASX", "XASX": "XASX", "SINGAPORE": "XSES", "XSES": "XSES",
+    "HONGKONG": "XHKG", "XHKG": "XHKG",
+}
+COUNTRY_CODES = {
+    "united states": "US", "usa": "US", "us": "US", "u.s.": "US", "united kingdom": "GB", "uk": "GB", "great britain": "GB", "britain": "GB",
+    "england": "GB", "scotland": "GB", "wales": "GB", "northern ireland": "GB", "canada": "CA", "germany": "DE", "france": "FR", "japan": "JP",
+    "australia": "AU", "netherlands": "NL", "singapore": "SG",
+}
+NUMBER_DIGITS = {
+    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10",
+}
+STREET_WORDS = {
+    "st": "street", "str": "street", "rd": "road", "ave": "avenue", "av": "avenue", "blvd": "boulevard", "dr": "drive", "ln": "lane", "ct": "court",
+    "pkwy": "parkway", "hwy": "highway", "wy": "way", "pl": "place",
+}
+STATE_CODES = {
+    "alabama": "al", "alaska": "ak", "arizona": "az", "arkansas": "ar", "california": "ca", "colorado": "co", "connecticut": "ct",
+    "delaware": "de", "district of columbia": "dc", "florida": "fl", "georgia": "ga", "hawaii": "hi", "idaho": "id", "illinois": "il",
+    "indiana": "in", "iowa": "ia", "kansas": "ks", "kentucky": "ky", "louisiana": "la", "maine": "me", "maryland": "md",
+    "massachusetts": "ma", "michigan": "mi", "minnesota": "mn", "mississippi": "ms", "missouri": "mo", "montana": "mt", "nebraska": "ne",
+    "nevada": "nv", "new hampshire": "nh", "new jersey": "nj", "new mexico": "nm", "new york": "ny", "north carolina": "nc", "north dakota": "nd",
+    "ohio": "oh", "oklahoma": "ok", "oregon": "or", "pennsylvania": "pa", "rhode island": "ri", "south carolina": "sc", "south dakota": "sd",
+    "tennessee": "tn", "texas": "tx", "utah": "ut", "vermont": "vt", "virginia": "va", "washington": "wa", "west virginia": "wv",
+    "wisconsin": "wi", "wyoming": "wy", "alberta": "ab", "british columbia": "bc", "manitoba": "mb", "new brunswick": "nb", "newfoundland and labrador": "nl",
+    "nova scotia": "ns", "ontario": "on", "prince edward island": "pe", "quebec": "qc", "saskatchewan": "sk",
+}
+
+
+SUFFIXED = _suffixed()
 
 
 def name(x: str) -> str:
-    from tessera.functions.normalize import LEGAL_SUFFIXES
-
-    return f"nullif(regexp_replace(array_to_string(regexp_extract_all(replace(lower({x}), '&', ' and '), '[a-z0-9]+'), ' '), '(?:(?:^| )(?:{'|'.join(LEGAL_SUFFIXES)}))+$', ''), '')"
+    return f"nullif(regexp_replace(array_to_string(regexp_extract_all(replace(lower(replace(strip_accents({x}), 'ß', 'ss')), '&', ' and '), '[a-z0-9]+'), ' '), '(?:(?:^| )(?:{'|'.join(SUFFIXES)}))+$', ''), '')"
 
 
 def domain(x: str) -> str:
@@ -92,16 +138,11 @@ def _lookup(values: dict, key: str) -> str:
 
 
 def exchange(x: str) -> str:
-    from tessera.functions.normalize import EXCHANGES
-
-    codes = {n: code for code, names in EXCHANGES.items() for n in (*names.split(), code)}
-    return f"coalesce({_lookup(codes, compact(x))}, {compact(x)})"
+    return f"coalesce({_lookup(EXCHANGE_CODES, compact(x))}, {compact(x)})"
 
 
 def country(x: str, codes: tuple[str, ...]) -> str:
-    from tessera.functions.normalize import COUNTRIES
-
-    return f"coalesce({_lookup(COUNTRIES, f'lower(trim({x}))')}, CASE WHEN upper(trim({x})) IN ({', '.join(f"'{c}'" for c in codes)}) THEN upper(trim({x})) END)"
+    return f"coalesce({_lookup(COUNTRY_CODES, f'lower(trim({x}))')}, CASE WHEN upper(trim({x})) IN ({', '.join(f"'{c}'" for c in codes)}) THEN upper(trim({x})) END)"
 
 
 #: The master and the records as candidates' columns, in DuckDB.

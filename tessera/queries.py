@@ -47,10 +47,16 @@ def _table(spark, sf_dir, name):
 # --- normalisers
 
 
-@query(rf"SELECT doc_id, md5(coalesce({P.name("regexp_replace(text, '[^ -~]', '', 'g')")}, '')) AS name FROM documents")
+@query(rf"SELECT doc_id, md5(coalesce({P.name("text")}, '')) AS name FROM documents")
 def norm_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ascii_ = F.regexp_replace("text", "[^ -~]", "")
-    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce(N.normalize_name(ascii_), F.lit("")).cast("binary")).alias("name"))
+    """Of whole texts, accents included."""
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce(N.normalize_name(F.col("text")), F.lit("")).cast("binary")).alias("name"))
+
+
+@query(f"SELECT c_custkey, {P.name('v')} AS name FROM ({P.duck(P.SUFFIXED)})")
+def norm_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that end with every suffix there is, alone, twice, and inside."""
+    return P.raw(spark, sf_dir, P.SUFFIXED).select("c_custkey", N.normalize_name(F.col("v")).alias("name"))
 
 
 @query(f"SELECT page_id, {P.domain('url')} AS domain FROM pages")
@@ -58,20 +64,19 @@ def norm_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", N.normalize_domain(F.col("url")).alias("domain"))
 
 
-_PLACES = """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'One' WHEN 1 THEN cast(c_custkey AS string) ELSE 'No. ' || cast(c_custkey AS string) END || ' ' || c_mktsegment || CASE c_custkey % 5 WHEN 0 THEN ' St.' WHEN 1 THEN ' AVE' WHEN 2 THEN ' blvd' ELSE ' Wy' END AS street,
-  CASE c_custkey % 4 WHEN 0 THEN 'New  York' WHEN 1 THEN 'washington' WHEN 2 THEN ' ONTARIO' ELSE '!!' END AS region, CASE c_custkey % 3 WHEN 0 THEN 'ab-' || cast(c_custkey AS string) WHEN 1 THEN '  ' ELSE cast(c_custkey AS string) || ' xy' END AS postal,
-  CASE c_custkey % 6 WHEN 0 THEN 'N/A' WHEN 1 THEN ' none ' WHEN 2 THEN cast(c_custkey AS string) WHEN 3 THEN '12345678901' WHEN 4 THEN 'a.b-' || cast(c_custkey AS string) ELSE 'NASDAQ GS' END AS id,
-  CASE c_custkey % 7 WHEN 0 THEN 'United States' WHEN 1 THEN 'u.s.' WHEN 2 THEN 'fr' WHEN 3 THEN 'zz' WHEN 4 THEN 'Scotland' WHEN 5 THEN '' ELSE 'JP' END AS country FROM {customer}"""
+_pick = lambda values, step=1: f"split_part('{'|'.join(values)}', '|', cast(floor(c_custkey / {step}) % {len(values)} + 1 AS int))"
+_PLACES = f"""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN {_pick([*P.NUMBER_DIGITS, "Eleven"], 4)} WHEN 1 THEN cast(c_custkey AS string) ELSE 'No. ' || cast(c_custkey AS string) END || ' ' || c_mktsegment || ' ' || upper({_pick([*P.STREET_WORDS, "quay"])}) || CASE c_custkey % 3 WHEN 0 THEN '.' ELSE '' END AS street,
+  CASE c_custkey % 5 WHEN 0 THEN 'New  York' WHEN 1 THEN '!!' WHEN 2 THEN ' Bavaria' ELSE upper({_pick(P.STATE_CODES)}) END AS region, CASE c_custkey % 3 WHEN 0 THEN 'ab-' || cast(c_custkey AS string) WHEN 1 THEN '  ' ELSE cast(c_custkey AS string) || ' xy' END AS postal,
+  CASE c_custkey % 6 WHEN 0 THEN {_pick(["N/A", "na", "-", "NULL", "unknown", "nulls"], 6)} WHEN 1 THEN ' none ' WHEN 2 THEN cast(c_custkey AS string) WHEN 3 THEN '12345678901' WHEN 4 THEN 'a.b-' || cast(c_custkey AS string) ELSE lower({_pick(P.EXCHANGE_CODES, 6)}) || ' .' END AS id,
+  CASE c_custkey % 4 WHEN 0 THEN 'fr' WHEN 1 THEN 'zz' WHEN 2 THEN 'JP' ELSE upper({_pick([*P.COUNTRY_CODES, ""], 4)}) END AS country FROM {{customer}}"""
 _D = P.duck(_PLACES)
 _TOKENS = "regexp_extract_all(lower({x}), '[a-z0-9]+')"
 _SUB = f"array_to_string({_TOKENS.format(x='region')}, ' ')"
-_STREETS = {s: full for full, names in N.STREETS.items() for s in names.split()}
-_NUMBERS = {w: str(i) for i, w in enumerate(N.NUMBER_WORDS)}
 
 
 @query(
-    f"SELECT c_custkey, nullif(array_to_string(list_transform({_TOKENS.format(x='street')}, lambda w, i: coalesce(CASE WHEN i = 1 THEN {P._lookup(_NUMBERS, 'w')} END, {P._lookup(_STREETS, 'w')}, w)), ' '), '') AS address, {_SUB} AS locality, "
-    f"coalesce({P._lookup(N.SUBDIVISIONS, _SUB)}, nullif({_SUB}, '')) AS subdivision, {P.compact('postal')} AS postal FROM ({_D})"
+    f"SELECT c_custkey, nullif(array_to_string(list_transform({_TOKENS.format(x='street')}, lambda w, i: coalesce(CASE WHEN i = 1 THEN {P._lookup(P.NUMBER_DIGITS, 'w')} END, {P._lookup(P.STREET_WORDS, 'w')}, w)), ' '), '') AS address, {_SUB} AS locality, "
+    f"coalesce({P._lookup(P.STATE_CODES, _SUB)}, nullif({_SUB}, '')) AS subdivision, {P.compact('postal')} AS postal FROM ({_D})"
 )
 def norm_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
@@ -169,7 +174,7 @@ def name_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of each part's name to the next one's: a Python function, which tests hold against difflib."""
+    """Similarity of each part's name to the next one's where it may reach 0.75, below which nothing looks at it, and 0 elsewhere: a Python function, which tests hold against difflib."""
     p = _table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" "), "p_brand").alias("name"))
     q = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("name").alias("other"))
     return with_similarity(p.join(q, "p_partkey"), "name", "other").select("p_partkey", F.round("similarity", 6).alias("similarity"))

@@ -106,14 +106,18 @@ def sec_submissions(answers: DataFrame) -> DataFrame:
     )
 
 
+#: Letters that names which contain one another are joined on.
+GRAM = 3
+
+
 def sec_name_matches(records: DataFrame, index: DataFrame) -> DataFrame:
     """(record_id, internal_entity_id, kind, overlap): by ticker (0), equal name (1), or one name inside the other (2), ranked by shared words.
-    A contained name shares its first GRAM letters with some place of the other, which is what is joined on; no record meets every row."""
-    gram = 3
+    A contained name shares its first letters, GRAM or as many as it has, with some place of the other, which is what is joined on; no record meets every row."""
     r, x = records.select("record_id", F.col("name").alias("r_name"), F.col("ticker").alias("r_ticker")), index.select("internal_entity_id", N.normalize_name(F.col("canonical_name")).alias("x_name"), N.normalize_identifier(F.col("ticker")).alias("x_ticker"))
     out = r.join(x, r.r_ticker == x.x_ticker).select("record_id", "internal_entity_id", F.lit(0).alias("kind"), F.lit(1.0).alias("overlap"))
-    head = lambda n: F.substring(n, 1, gram)
-    grams = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(n) - gram + 1, F.lit(1))), lambda i: F.substring(F.col(n), i, F.lit(gram))))
+    head = lambda n: F.substring(n, 1, GRAM)
+    of = lambda n, k: F.when(F.length(n) >= k, F.transform(F.sequence(F.lit(1), F.length(n) - k + 1), lambda i: F.substring(F.col(n), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    grams = lambda n: F.array_distinct(F.concat(*[of(n, k) for k in range(1, GRAM + 1)]))
     inside = r.withColumn("g", head("r_name")).join(x.withColumn("g", F.explode(grams("x_name"))), "g").where(F.contains("x_name", F.col("r_name")))
     around = r.withColumn("g", F.explode(grams("r_name"))).join(x.withColumn("g", head("x_name")), "g").where(F.contains("r_name", F.col("x_name")))
     found = inside.drop("g").unionByName(around.drop("g"))
