@@ -2,47 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.tables import cut as cut
+from tessera.plans.tables import release as release
+
 #: A side of a join is broadcast only after its rows were counted and are no more than this.
 BROADCAST_ROWS = 100_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may have ended first; the folder's owner clears it then
-        pass
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again: a short lineage that
-    survives lost executors. The table goes when Python ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows (counted), else as it is."""
     return F.broadcast(df) if df.count() <= rows else df

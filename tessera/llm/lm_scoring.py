@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, lean, table
+from tessera.llm.common import cut, lean, release, table
 
 CLASSES, HIDDEN, SIDE, OTHERS = 32, 24, 2, 64
 VOCABULARY = CLASSES * CLASSES
@@ -450,8 +450,10 @@ def train(encoded: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     for _ in range(rounds):
         copies, n = cut(_copies(rows, w)), shards
         while n > 1:
-            copies, n = cut(copies.groupBy("slice", F.expr(f"part div {FAN}").alias("g")).applyInArrow(_average, _COPY)), -(-n // FAN)
+            before, copies, n = copies, cut(copies.groupBy("slice", F.expr(f"part div {FAN}").alias("g")).applyInArrow(_average, _COPY)), -(-n // FAN)
+            release(before)
         w = _unflat(np.concatenate(copies.select("slice", "v").toArrow().sort_by("slice")["v"].to_numpy()))  # SLICES rows, the network
+        release(copies)
     return w
 
 

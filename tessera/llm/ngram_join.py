@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, lean, small, table
+from tessera.llm.common import cut, lean, release, small, table
 
 WIDTH, PERCENT = 5, 80
 #: Tokens put last in the order, at most, and how many documents they are in at least.
@@ -249,7 +249,8 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         first = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = cut(large.join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(first.select("u", F.col("m").alias("v"))).distinct())
+        before, e = e, cut(large.join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(first.select("u", F.col("m").alias("v"))).distinct())
+        release(before)
 
 
 def mark_of(text: Column) -> Column:
