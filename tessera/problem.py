@@ -184,3 +184,70 @@ confident AS (SELECT *, round(CASE WHEN CASE WHEN exact THEN 1.0 ELSE sim END <
 ranked AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY confidence DESC, rank_in) AS place FROM (SELECT c.*, f.rank AS rank_in FROM confident c JOIN found f USING (record_id, ord))),
 decided AS (SELECT *, ((rc <> cik) IS TRUE OR (rl <> lei) IS TRUE OR scope = 'invalid') AS conflict,
     CASE WHEN ((rc <> cik) IS TRUE OR (rl <> lei) IS TRUE OR scope = 'invalid') THEN 'review_required' WHEN pathway IN ('exact_cik', 'exact_lei', 'exact_name_and_domain') AND confidence >= 0.98 THEN 'matched' WHEN confidence >= 0.80 THEN 'review_required' ELSE 'unmatched' END AS status FROM ranked)"""
+
+
+# --- a whole resolution by exact keys, which SQL can follow to its end
+
+#: The master with dates for listings and relationships too.
+DATED_MASTER = f"SELECT x.*, CASE WHEN ord % 5 <> 0 THEN entity_valid_from END AS security_valid_from, CASE WHEN ord % 2 = 0 THEN entity_valid_from END AS relationship_valid_from FROM ({MASTER}) x"
+#: Records without names: keys of one entity, of two, or of none.
+KEYED = """
+SELECT 'rec:' || cast(c_custkey AS string) AS record_id, CASE WHEN c_custkey % 4 = 0 THEN cast(c_custkey + CASE WHEN c_custkey % 8 = 0 THEN 1 ELSE 2 END AS string) WHEN c_custkey % 97 = 1 THEN '99999999' END AS cik,
+  CASE WHEN c_custkey % 9 = 0 AND c_custkey % 2 = 1 THEN 'lei-' || cast(c_custkey AS string) END AS lei, CASE WHEN c_custkey % 30 = 0 THEN 'FIGI' || cast(c_custkey AS string) WHEN c_custkey % 42 = 6 THEN 'FIGI' || cast(c_custkey + 6 AS string) END AS figi,
+  CASE WHEN c_custkey % 6 = 3 THEN 'T' || cast(c_custkey AS string) END AS ticker, CASE WHEN c_custkey % 12 = 3 THEN CASE WHEN c_custkey % 24 = 3 THEN 'NYSE' ELSE 'LSE' END END AS exchange,
+  CASE WHEN c_custkey % 3 = 0 THEN 'c' || cast(c_custkey AS string) || '.com' WHEN c_custkey % 5 = 1 THEN 'www.c' || cast(c_custkey - 1 AS string) || '.com' END AS domain,
+  CASE c_nationkey % 5 WHEN 0 THEN 'DE' WHEN 1 THEN 'US' WHEN 2 THEN 'uk' END AS country, date_add(DATE '1993-01-01', cast(c_custkey * 7 % 1900 AS int)) AS observation_date
+FROM {customer}
+"""
+RESOLVED = f"""WITH RECURSIVE m AS (SELECT ord, internal_entity_id AS entity_id, {name("canonical_name")} AS cname, entity_type, {identifier("cik", "cik")} AS cik, {identifier("lei")} AS lei, {identifier("figi")} AS figi, {identifier("ticker")} AS ticker,
+    {identifier("exchange", "exchange")} AS exchange, {domain("domain")} AS domain, {country("country", ("DE", "US", "GB"))} AS country, parent_entity_id AS parent_id, CAST(entity_valid_from AS DATE) AS vf, CAST(entity_valid_to AS DATE) AS vt, entity_status AS vs,
+    CAST(security_valid_from AS DATE) AS sf, CAST(relationship_valid_from AS DATE) AS rf, internal_security_id AS sid FROM ({duck(DATED_MASTER)})),
+r AS (SELECT record_id, {identifier("cik", "cik")} AS cik, {identifier("lei")} AS lei, {identifier("figi")} AS figi, {identifier("ticker")} AS ticker, {identifier("exchange", "exchange")} AS exchange, {domain("domain")} AS domain,
+    {country("country", ("DE", "US"))} AS country, observation_date AS day FROM ({duck(KEYED).replace("date_add(DATE '1993-01-01', cast(c_custkey * 7 % 1900 AS int))", "DATE '1993-01-01' + (c_custkey * 7 % 1900)::INT")})),
+hits AS (SELECT record_id, ord, 0 AS p FROM r JOIN m ON r.cik = m.cik UNION ALL SELECT record_id, ord, 0 FROM r JOIN m ON r.lei = m.lei UNION ALL SELECT record_id, ord, 0 FROM r JOIN m ON r.figi = m.figi
+    UNION ALL SELECT record_id, ord, 0 FROM r JOIN m ON r.ticker = m.ticker UNION ALL SELECT record_id, ord, 1 FROM r JOIN m ON r.domain = m.domain),
+c AS (SELECT record_id, ord, row_number() OVER (PARTITION BY record_id ORDER BY min(p), ord) AS pos FROM hits GROUP BY record_id, ord),
+p0 AS (SELECT c.*, m.entity_id, m.cname, m.entity_type, m.sid, r.day, r.figi AS r_figi, r.ticker AS r_ticker, r.exchange AS r_exchange, r.cik IS NULL AND r.lei IS NULL AND r.domain IS NULL AS bare,
+    coalesce(r.cik = m.cik, false) AS cik_same, coalesce(r.lei = m.lei, false) AS lei_same, coalesce(r.cik <> m.cik, false) OR coalesce(r.lei <> m.lei, false) AS differs, coalesce(r.domain = m.domain, false) AS site,
+    CASE WHEN r.cik = m.cik THEN 100 WHEN r.cik <> m.cik THEN -100 ELSE 0 END + CASE WHEN r.lei = m.lei THEN 100 WHEN r.lei <> m.lei THEN -100 ELSE 0 END + CASE WHEN r.country = m.country THEN 10 WHEN r.country <> m.country THEN -15 ELSE 0 END AS keyed,
+    coalesce(r.figi = m.figi, false) AS figi_same, coalesce(r.figi <> m.figi, false) AS figi_differs, coalesce(r.ticker = m.ticker, false) AS traded, coalesce(r.exchange = m.exchange, false) AS there,
+    CASE WHEN vf IS NULL AND vt IS NULL OR upper(vs) = 'INACTIVE' AND vt IS NULL THEN 'not_verified' WHEN (vf IS NULL OR day >= vf) AND (vt IS NULL OR day <= vt) THEN 'verified' ELSE 'invalid' END AS scope,
+    CASE WHEN sf IS NULL THEN 'not_verified' WHEN day >= sf THEN 'verified' ELSE 'invalid' END AS s_scope FROM c JOIN m USING (ord) JOIN r USING (record_id)),
+p1 AS (SELECT *, greatest(0.0, least(1.0, (keyed + CASE WHEN site THEN 45 ELSE 0 END + CASE scope WHEN 'verified' THEN 15 WHEN 'invalid' THEN -40 ELSE 0 END) / 100.0)) AS raw,
+    CASE WHEN scope = 'invalid' THEN 0.0 WHEN (cik_same OR lei_same) AND NOT differs THEN 0.99 WHEN site THEN 0.80 ELSE 0.0 END AS least_ FROM p0),
+p2 AS (SELECT *, round(CASE WHEN bare THEN least(greatest(raw, least_), 0.89) ELSE greatest(raw, least_) END, 4)::DOUBLE AS conf0 FROM p1),
+listed AS (SELECT *, figi_differs OR s_scope = 'invalid' AS unclean, CASE WHEN figi_same THEN 100 WHEN figi_differs THEN -100 ELSE 0 END + CASE WHEN traded AND there THEN 80 WHEN traded THEN 40 ELSE 0 END + CASE s_scope WHEN 'verified' THEN 10 WHEN 'invalid' THEN -60 ELSE 0 END AS points,
+    CASE WHEN figi_same THEN 'exact_figi' WHEN traded AND there THEN 'ticker_and_exchange' WHEN traded THEN 'ticker_only' ELSE 'unknown' END AS s_path FROM p2 WHERE sid IS NOT NULL),
+first0 AS (SELECT *, greatest(0.0, least(1.0, points / 100.0)) AS s_raw FROM listed),
+first1 AS (SELECT *, round(CASE WHEN figi_same AND NOT unclean THEN greatest(s_raw, 0.99) WHEN traded AND r_exchange IS NULL THEN least(s_raw, 0.79) ELSE s_raw END, 4)::DOUBLE AS s_conf FROM first0),
+first2 AS (SELECT *, row_number() OVER w AS place, lead(s_conf) OVER w AS next_conf, lead(entity_id) OVER w AS next_issuer FROM first1 WINDOW w AS (PARTITION BY record_id ORDER BY s_conf DESC, pos)),
+lift AS (SELECT record_id, entity_id, s_path AS lift_path FROM first2 WHERE place = 1 AND (figi_same OR traded AND there) AND NOT (coalesce(next_conf >= s_conf - 0.02::DOUBLE, false) AND next_issuer <> entity_id)),
+q0 AS (SELECT p2.*, CASE WHEN lift_path IS NOT NULL THEN greatest(conf0, 0.99::DOUBLE) ELSE conf0 END AS conf,
+    CASE WHEN cik_same THEN 'exact_cik' WHEN lei_same THEN 'exact_lei' WHEN lift_path IN ('exact_figi', 'ticker_and_exchange') THEN lift_path WHEN site THEN 'exact_domain' ELSE 'unknown' END AS path FROM p2 LEFT JOIN lift USING (record_id, entity_id)),
+q1 AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY conf DESC, pos) AS place FROM q0),
+strong AS (SELECT record_id, count(DISTINCT coalesce(cname, entity_id)) > 1 AS crossed FROM p2 WHERE cik_same OR lei_same OR figi_same AND sid IS NOT NULL GROUP BY record_id),
+b0 AS (SELECT q1.*, coalesce(crossed, false) AS crossed FROM q1 LEFT JOIN strong USING (record_id) WHERE place = 1),
+b1 AS (SELECT *, CASE WHEN crossed OR scope = 'invalid' OR differs THEN 'review_required' WHEN path IN ('exact_cik', 'exact_lei', 'exact_figi', 'ticker_and_exchange') AND conf >= 0.98 THEN 'matched' WHEN conf >= 0.80 THEN 'review_required' ELSE 'unmatched' END AS e_status FROM b0),
+up AS (SELECT record_id, day, ord AS at, 0 AS hop, NULL::VARCHAR AS to_id, NULL::VARCHAR AS edge FROM b1 WHERE e_status <> 'unmatched'
+    UNION ALL SELECT record_id, day, n.ord, hop + 1, m.parent_id, CASE WHEN m.rf IS NULL THEN 'not_verified' ELSE 'verified' END FROM up JOIN m ON m.ord = up.at JOIN m n ON n.entity_id = m.parent_id WHERE m.rf IS NULL OR up.day >= m.rf),
+chain AS (SELECT record_id, max(hop) AS hops, arg_max(to_id, hop) AS top, bool_and(edge = 'verified') AS every_, bool_or(edge = 'verified') AS some_ FROM up GROUP BY record_id),
+b2 AS (SELECT b1.*, hops, CASE WHEN hops > 0 THEN top END AS parent_id, CASE WHEN e_status = 'unmatched' THEN 'unknown' WHEN hops > 0 THEN 'candidate' WHEN b1.entity_type = 'issuer' THEN 'not_applicable' ELSE 'unknown' END AS p_status,
+    CASE WHEN e_status = 'unmatched' THEN 'not_applicable' WHEN hops > 0 THEN CASE WHEN every_ THEN 'verified' WHEN some_ THEN 'partial' ELSE 'not_verified' END WHEN m.parent_id IS NOT NULL THEN 'invalid' ELSE 'not_applicable' END AS r_scope
+    FROM b1 JOIN m USING (ord) LEFT JOIN chain USING (record_id)),
+s0 AS (SELECT f.*, b1.entity_id = f.entity_id AND b1.e_status <> 'unmatched' AS linked FROM listed f JOIN b1 USING (record_id)),
+s1 AS (SELECT *, greatest(0.0, least(1.0, (points + CASE WHEN linked THEN 20 ELSE 0 END) / 100.0)) AS s_raw FROM s0),
+s2 AS (SELECT *, round(CASE WHEN (figi_same OR traded AND there AND linked) AND NOT unclean THEN greatest(s_raw, 0.99) WHEN traded AND r_exchange IS NULL THEN least(s_raw, 0.79) ELSE s_raw END, 4)::DOUBLE AS s_conf FROM s1),
+s3 AS (SELECT *, row_number() OVER w AS s_place, lead(s_conf) OVER w AS next_conf, lead(sid) OVER w AS next_sid FROM s2 WINDOW w AS (PARTITION BY record_id ORDER BY s_conf DESC, pos)),
+s4 AS (SELECT record_id, sid AS best_sid, s_path, s_conf, s_scope AS best_scope, unclean, coalesce(next_conf >= s_conf - 0.02::DOUBLE AND next_sid <> sid, false) AS close_ FROM s3 WHERE s_place = 1),
+a0 AS (SELECT r.record_id, b2.* EXCLUDE (record_id, sid, s_scope), s4.* EXCLUDE (record_id), coalesce(r.ticker, r.figi) IS NOT NULL AS asked, coalesce(e_status, 'unmatched') AS es, coalesce(e_status, 'unmatched') <> 'unmatched' AS chosen FROM r LEFT JOIN b2 USING (record_id) LEFT JOIN s4 USING (record_id)),
+a1 AS (SELECT *, CASE WHEN NOT asked THEN 'not_applicable' WHEN best_sid IS NULL THEN 'unmatched' WHEN unclean OR close_ THEN 'review_required' WHEN s_path = 'exact_figi' AND s_conf >= 0.98 OR s_path = 'ticker_and_exchange' AND s_conf >= 0.98 AND best_scope = 'verified' THEN 'matched'
+    WHEN s_conf >= 0.80 OR s_path = 'ticker_only' OR s_path = 'ticker_and_exchange' AND best_scope <> 'verified' THEN 'review_required' ELSE 'unmatched' END AS ss, CASE WHEN asked AND best_sid IS NOT NULL THEN best_scope ELSE 'not_applicable' END AS sx, coalesce(r_scope, 'not_applicable') AS rx, coalesce(scope, 'not_verified') AS ex FROM a0),
+a2 AS (SELECT *, CASE WHEN NOT chosen THEN 'not_verified' WHEN 'invalid' IN (ex, sx, rx) THEN 'invalid' WHEN ex = 'verified' AND sx IN ('verified', 'not_applicable') AND rx IN ('verified', 'not_applicable') THEN 'verified' WHEN 'verified' IN (ex, sx, rx) THEN 'partial' ELSE 'not_verified' END AS ox,
+    CASE WHEN es = 'matched' THEN 'verified' WHEN es = 'review_required' AND crossed THEN 'ambiguous' WHEN es = 'review_required' THEN 'candidate' ELSE 'unknown' END AS e, coalesce(p_status, 'unknown') AS p,
+    CASE WHEN ss = 'not_applicable' AND entity_type = 'issuer' AND chosen THEN 'unknown' WHEN ss = 'matched' THEN 'verified' WHEN ss = 'review_required' AND close_ THEN 'ambiguous' WHEN ss = 'review_required' THEN 'candidate' WHEN ss = 'not_applicable' THEN 'not_applicable' ELSE 'unknown' END AS s FROM a1),
+final AS (SELECT record_id, e AS entity_status, CASE WHEN e IN ('verified', 'candidate') THEN entity_id END AS entity_id, coalesce(conf, 0) AS entity_match_score, coalesce(path, 'unknown') AS entity_match_pathway, p AS parent_status, CASE WHEN p = 'candidate' THEN parent_id END AS parent_id,
+    s AS security_status, CASE WHEN s IN ('verified', 'candidate') THEN best_sid END AS security_id, {{t}},
+    CASE WHEN ox = 'invalid' THEN 'temporal_verification_required' WHEN e = 'unknown' THEN 'unmatched' WHEN 'ambiguous' IN (e, s) THEN 'ambiguous' WHEN e <> 'verified' THEN 'review_required' WHEN p = 'candidate' THEN 'entity_matched_parent_candidate' WHEN s = 'candidate' THEN 'review_required'
+      WHEN s = 'verified' THEN 'entity_and_security_matched' WHEN s = 'not_applicable' THEN 'private_entity' ELSE 'entity_matched_security_unknown' END AS final_decision FROM a2)""".replace(
+    "{t}", ", ".join(f"CASE {c} WHEN 'verified' THEN 'verified' WHEN 'invalid' THEN 'contradicted' WHEN 'not_applicable' THEN 'not_applicable' ELSE 'unknown' END AS {n}" for c, n in (("ex", "entity_temporal_status"), ("rx", "relationship_temporal_status"), ("sx", "security_temporal_status"), ("ox", "temporal_status")))
+)

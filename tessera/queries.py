@@ -546,6 +546,27 @@ def resolve_decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.v2(_resolved(spark, sf_dir)).groupBy("final_decision").agg(F.count("*").alias("records"))
 
 
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records without names, by exact keys alone, resolved to the end."""
+    raw = cut(P.raw(spark, sf_dir, P.DATED_MASTER))
+    m = cut(master.load(raw, "master"))
+    sources = [plan.Source("master", m, cut(master.edges(m)), "supporting", frozenset(master.capabilities(raw.columns)))]
+    return results.v2(plan.resolve(P.raw(spark, sf_dir, P.KEYED), sources))
+
+
+@query(P.RESOLVED + " SELECT * FROM final")
+def resolve_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.flat(_keyed(spark, sf_dir)).select(
+        "record_id", "entity_status", "entity_id", "entity_match_score", "entity_match_pathway", "parent_status", "parent_id", "security_status", "security_id", "entity_temporal_status", "relationship_temporal_status", "security_temporal_status", "temporal_status", "final_decision",
+    )
+
+
+@query(P.RESOLVED + " SELECT final_decision, entity_match_pathway AS pathway, count(*) AS records FROM final GROUP BY 1, 2")
+def resolve_by_keys_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v2 = _keyed(spark, sf_dir)
+    return v2.groupBy("final_decision", F.col("entity.match_pathway").alias("pathway")).agg(F.count("*").alias("records"))
+
+
 @query()
 def generated_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.generate(cut(_master(spark, sf_dir)), 4000)
