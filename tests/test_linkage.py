@@ -295,6 +295,26 @@ def test_sources_that_fail_or_may_not_claim(spark, entities):
     assert {r.final_decision for r in got} == {"provider_error"}
 
 
+def test_one_entity_of_two_sources_has_one_node(spark, entities):
+    """A second source knows e3 by its LEI under another id, with a parent; a third fails; a fourth says why a parent is missing."""
+    rows = [(1, "x:3", None, "Globex Corporation", "issuer", None, None, None, None, "LEI3", "globex.com", "DE", None, "x:top", None, None), (2, "x:top", None, "Globex Top", "legal_entity", None, None, None, None, "LEI9", None, None, None, None, None, None)]
+    other = master.load(spark.createDataFrame(rows, MASTER), "x")
+    e = graph.identities(entities.select("provider", "entity_id", "lei", "cik", F.lit(2).alias("rank")).unionByName(other.select("provider", "entity_id", "lei", "cik", F.lit(3).alias("rank"))))
+    assert {(r.provider, r.entity_id): r.node for r in e.where("provider = 'x'").collect()} == {("x", "x:3"): "e3", ("x", "x:top"): "x:top"}
+    chain = spark.createDataFrame([(p, f"{p}{i}", f"L{i}" if i else None, f"C{i}", 1) for i in range(3) for p in "abc"] + [("d", "d", "L1", "C2", 1)], "provider string, entity_id string, lei string, cik string, rank int")
+    assert {(r.node, r.entity_id) for r in graph.identities(chain).collect()} == {("a0", f"{p}0") for p in "abc"} | {("a1", f"{p}{i}") for p in "abc" for i in (1, 2)} | {("a1", "d")}
+    missing = spark.createDataFrame([("e1", "direct", "NO_LEI", "NATURAL_PERSONS")], "entity_id string, level string, category string, reason string")
+    good = plan.Source.open("master", lambda: {"entities": entities, "edges": master.edges(entities), "exceptions": missing}, "authoritative", frozenset({"entity_lookup"}))
+    bad = plan.Source.open("down", lambda: {"entities": entities.select(F.raise_error(F.lit("no answer")).alias("x"))})
+    sources = [good, plan.Source.open("x", lambda: {"entities": other, "edges": master.edges(other)}, "supporting", frozenset({"entity_lookup"})), bad]
+    assert [(r.name, r.healthy, r.entities) for r in plan.source_health(spark, sources).collect()] == [("master", True, 5), ("x", True, 2), ("down", False, None)] and "no answer" in bad.error
+    rows = spark.createDataFrame([("a", "Globex", "125", "LEI3"), ("b", "Acme Widgets", "123", None)], "record_id string, entity_name string, cik string, lei string")
+    got = {r.record_id: r for r in plan.resolve(rows, sources).collect()}
+    assert (got["a"].entity_id, got["a"].parent_id, got["a"].parent_status) == ("e3", "x:top", "candidate")
+    assert got["b"].relationship_status == "not_reported" and {"relationship_reporting_exception", "relationship_resolution_error"} <= {x.type for x in got["b"].parent_evidence}
+    assert "provider_disagreement" in {x.type for x in got["b"].evidence}
+
+
 def test_old_rows_migrate_with_care(spark):
     e = lambda t, d: (t, None, None, 1.0, None, None, d)
     rows = [("a", "matched", ("e", "E"), ("p", "P"), "s", [e("security_identifier_match", "figi")]), ("b", "matched", ("e", "E"), (None, None), "s", [e("name_similarity", None)]), ("c", "unmatched", (None, None), (None, None), None, [])]
