@@ -266,17 +266,18 @@ class Labeller:
                 shares.append(float(by[i][top] / every[i]))
         return names, shares
 
-    def spans(self, text: str) -> list[tuple[str, str]]:
-        """(language, words) of each stretch of one language."""
-        words = text.split()
+    def spans(self, text: str) -> list[tuple[str, int, int]]:
+        """(language, start, end) of each stretch of words of one language, in characters of the text."""
+        out: list[tuple[str, int, int]] = []
+        if not self.model.languages:
+            return out
         _, _, _, path = self.paths([text])
-        out: list[tuple[str, str]] = []
-        for w, p in zip(words, path, strict=True):
+        for word, p in zip(re.finditer(r"\S+", text), path, strict=True):
             name = self.model.languages[p]
             if out and out[-1][0] == name:
-                out[-1] = name, f"{out[-1][1]} {w}"
+                out[-1] = name, out[-1][1], word.end()
             else:
-                out.append((name, w))
+                out.append((name, word.start(), word.end()))
         return out
 
 
@@ -310,6 +311,21 @@ def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float =
     return docs.mapInArrow(lean(labelled), StructType([*schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
+def spans(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text", penalty: float = PENALTY) -> DataFrame:
+    """(doc_id, spans): the stretches of one language of each text, lang, start and end in characters; none for null texts and texts without words."""
+    docs = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    item = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(model, penalty)
+        for batch in batches:
+            found = [[dict(zip(("lang", "start", "end"), s, strict=True)) for s in labeller.spans(t.as_py() or "")] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, item)], ["doc_id", "spans"])
+
+    return docs.mapInArrow(lean(labelled), f"doc_id {kind}, spans array<struct<lang:string,start:int,end:int>>")
+
+
 def held_out(doc: str = "doc_id") -> Column:
     """A null doc_id is neither held out nor learned from."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import language_id, licenses, lm_scoring, media_jpeg, ngram_join, token_counts
 from tests.llm.helpers import SCHEMA, documents, frame, prose
@@ -228,6 +229,8 @@ def test_language_id_held_out_and_edges(spark):
             assert (r.lang_pred, r.score) == ("und", 0)
         if r.doc_id == 1003:
             assert (r.lang_pred in LANGUAGES, r.score) == (True, 0)
+    own = docs.withColumns({"lang_pred": F.lit("x"), "score": F.lit(7), "held_out": F.lit("y")})  # replaced, as the docstring says
+    assert sorted(map(str, language_id.identify(own).select("doc_id", "lang_pred", "score", "held_out").collect())) == sorted(str(r) for r in language_id.identify(docs).select("doc_id", "lang_pred", "score", "held_out").collect())
     assert {r.lang_pred for r in language_id.identify(docs.where("doc_id >= 1000 and lang is null")).collect()} == {"und"}
     assert language_id.identify(frame(spark, [])).count() == 0
 
@@ -246,11 +249,17 @@ def test_viterbi_is_the_best_path():
 
 def test_spans_of_mixed_text(spark):
     docs = spark.createDataFrame(labelled(), "doc_id long, text string, lang string, source string")
-    from pyspark.sql import functions as F
-
     model = language_id.learn(docs, F.lit(True), "doc_id", "text", "lang")
-    spans = language_id.Labeller(model, 4.0).spans("the of and that with the die der nicht und keit der это и не")
-    assert [s[0] for s in spans] == ["en", "de", "ru"]
+    text = " the of and that with the\ndie der nicht und keit der \x1f это и не "
+    long = " ".join(["the of and that with"] * 6000 + ["die der nicht und keit"] * 6000)
+    rows = [(1, text), (2, None), (3, "  "), (None, "12 34"), (4, long), (4, long)]
+    got = {}
+    for r in language_id.spans(spark.createDataFrame(rows, "doc_id long, text string"), model, penalty=4.0).collect():
+        got.setdefault(r.doc_id, []).append([(s.lang, s.start, s.end) for s in r.spans])
+    assert [(lang, text[a:z]) for lang, a, z in got[1][0]] == [("en", "the of and that with the"), ("de", "die der nicht und keit der"), ("ru", "это и не")]
+    assert got[2] == [[]] and got[3] == [[]] and len(got[None][0]) == 1
+    at = long.index("die")
+    assert got[4] == [[("en", 0, at - 1), ("de", at, len(long))]] * 2
 
 
 def test_licences(spark):
