@@ -1,6 +1,7 @@
 import datetime
 import hashlib
 import json
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -185,6 +186,27 @@ def test_rule_documents():
         rules.check_override({"pattern": {"cik": "1"}, "action": "match"})
 
 
+def test_many_rules_decide_as_few_do(spark):
+    """The join gives what the compiled plan gives, for every clause, nulls and dates."""
+    r = random.Random(8)
+    names, sites, ids = ["Acme Inc", "ACME", "Globex & Co", "Nobody"], ["acme.com", "www.acme.com/x", "globex.com"], ["1", "2", None]
+    clauses = [
+        lambda: ("entity_name", {"exact": r.choice(names)}), lambda: ("entity_name", {"normalized_exact": r.choice(names)}), lambda: ("brand_name", {"normalized_exact_any": r.sample(names, 2)}), lambda: ("domain", {"domain": r.choice(sites)}), lambda: ("country", {"country": r.choice(["Germany", "us"])}),
+        lambda: ("country", {"exact_any": ["DE", "US"]}), lambda: ("cik", {"exact": r.choice(ids)}), lambda: ("cik", r.choice(ids)), lambda: ("city", {"exact": None}), lambda: ("entity_name", {"exact": "Acme Inc", "normalized_exact": "acme"}),
+    ]
+    many = []
+    for i in range(90):
+        conditions = dict(r.choice(clauses)() for _ in range(r.choice([1, 1, 2, 3])))
+        many.append({"id": str(i), "priority": r.randrange(1000), "conditions": conditions if i != 40 else {}, "result": {"entity": {"entity_id": str(i)}}, "action": "match"} | ({"valid_from": "2020-01-01"} if i % 3 == 0 or i == 40 else {}) | ({"valid_to": "2021-01-01"} if i % 5 == 0 else {}))
+    own = rules.rules_of(many)
+    rows = [(str(i), r.choice([*names, None]), r.choice([*sites, None]), r.choice(ids), r.choice(["DE", "USA", None]), r.choice(["2019-06-01", "2020-06-01", None])) for i in range(150)]
+    records = plan.prepare(spark.createDataFrame(rows, "record_id string, entity_name string, domain string, cik string, country string, observation_date string"))
+    a, b = ({x.record_id: x.rule for x in rules.decided(records, own, few).collect()} for few in (10**6, 0))
+    assert a == b and len({*a.values()}) > 5
+    with pytest.raises(ValueError):
+        rules.decided(records, rules.rules_of([{"id": "x", "conditions": {"cik": {"like": "1"}}, "result": {}}]), 0)
+
+
 def test_override_log(tmp_path):
     path = str(tmp_path / "o.jsonl")
     rules.append_override(path, {"pattern": {"cik": "1"}, "action": "unmatched", "reviewer": "a", "reason": "old"})
