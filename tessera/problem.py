@@ -231,14 +231,14 @@ b1 AS (SELECT *, CASE WHEN crossed OR scope = 'invalid' OR differs THEN 'review_
 up AS (SELECT record_id, day, ord AS at, 0 AS hop, NULL::VARCHAR AS to_id, NULL::VARCHAR AS edge FROM b1 WHERE e_status <> 'unmatched'
     UNION ALL SELECT record_id, day, n.ord, hop + 1, m.parent_id, CASE WHEN m.rf IS NULL THEN 'not_verified' ELSE 'verified' END FROM up JOIN m ON m.ord = up.at JOIN m n ON n.entity_id = m.parent_id WHERE m.rf IS NULL OR up.day >= m.rf),
 chain AS (SELECT record_id, max(hop) AS hops, arg_max(to_id, hop) AS top, bool_and(edge = 'verified') AS every_, bool_or(edge = 'verified') AS some_ FROM up GROUP BY record_id),
-b2 AS (SELECT b1.*, hops, CASE WHEN hops > 0 THEN top END AS parent_id, CASE WHEN e_status = 'unmatched' THEN 'unknown' WHEN hops > 0 THEN 'candidate' WHEN b1.entity_type = 'issuer' THEN 'not_applicable' ELSE 'unknown' END AS p_status,
+b2 AS (SELECT b1.*, hops, m.parent_id IS NOT NULL AS has_edge, CASE WHEN hops > 0 THEN top END AS parent_id, CASE WHEN e_status = 'unmatched' THEN 'unknown' WHEN hops > 0 THEN 'candidate' WHEN b1.entity_type = 'issuer' THEN 'not_applicable' ELSE 'unknown' END AS p_status,
     CASE WHEN e_status = 'unmatched' THEN 'not_applicable' WHEN hops > 0 THEN CASE WHEN every_ THEN 'verified' WHEN some_ THEN 'partial' ELSE 'not_verified' END WHEN m.parent_id IS NOT NULL THEN 'invalid' ELSE 'not_applicable' END AS r_scope
     FROM b1 JOIN m USING (ord) LEFT JOIN chain USING (record_id)),
 s0 AS (SELECT f.*, b1.entity_id = f.entity_id AND b1.e_status <> 'unmatched' AS linked FROM listed f JOIN b1 USING (record_id)),
 s1 AS (SELECT *, greatest(0.0, least(1.0, (points + CASE WHEN linked THEN 20 ELSE 0 END) / 100.0)) AS s_raw FROM s0),
 s2 AS (SELECT *, round(CASE WHEN (figi_same OR traded AND there AND linked) AND NOT unclean THEN greatest(s_raw, 0.99) WHEN traded AND r_exchange IS NULL THEN least(s_raw, 0.79) ELSE s_raw END, 4)::DOUBLE AS s_conf FROM s1),
 s3 AS (SELECT *, row_number() OVER w AS s_place, lead(s_conf) OVER w AS next_conf, lead(sid) OVER w AS next_sid FROM s2 WINDOW w AS (PARTITION BY record_id ORDER BY s_conf DESC, pos)),
-s4 AS (SELECT record_id, sid AS best_sid, s_path, s_conf, s_scope AS best_scope, unclean, coalesce(next_conf >= s_conf - 0.02::DOUBLE AND next_sid <> sid, false) AS close_ FROM s3 WHERE s_place = 1),
+s4 AS (SELECT record_id, sid AS best_sid, figi_differs AS figi_off, s_path, s_conf, s_scope AS best_scope, unclean, coalesce(next_conf >= s_conf - 0.02::DOUBLE AND next_sid <> sid, false) AS close_ FROM s3 WHERE s_place = 1),
 a0 AS (SELECT r.record_id, b2.* EXCLUDE (record_id, sid, s_scope), s4.* EXCLUDE (record_id), coalesce(r.ticker, r.figi) IS NOT NULL AS asked, coalesce(e_status, 'unmatched') AS es, coalesce(e_status, 'unmatched') <> 'unmatched' AS chosen FROM r LEFT JOIN b2 USING (record_id) LEFT JOIN s4 USING (record_id)),
 a1 AS (SELECT *, CASE WHEN NOT asked THEN 'not_applicable' WHEN best_sid IS NULL THEN 'unmatched' WHEN unclean OR close_ THEN 'review_required' WHEN s_path = 'exact_figi' AND s_conf >= 0.98 OR s_path = 'ticker_and_exchange' AND s_conf >= 0.98 AND best_scope = 'verified' THEN 'matched'
     WHEN s_conf >= 0.80 OR s_path = 'ticker_only' OR s_path = 'ticker_and_exchange' AND best_scope <> 'verified' THEN 'review_required' ELSE 'unmatched' END AS ss, CASE WHEN asked AND best_sid IS NOT NULL THEN best_scope ELSE 'not_applicable' END AS sx, coalesce(r_scope, 'not_applicable') AS rx, coalesce(scope, 'not_verified') AS ex FROM a0),
@@ -247,6 +247,7 @@ a2 AS (SELECT *, CASE WHEN NOT chosen THEN 'not_verified' WHEN 'invalid' IN (ex,
     CASE WHEN ss = 'not_applicable' AND entity_type = 'issuer' AND chosen THEN 'unknown' WHEN ss = 'matched' THEN 'verified' WHEN ss = 'review_required' AND close_ THEN 'ambiguous' WHEN ss = 'review_required' THEN 'candidate' WHEN ss = 'not_applicable' THEN 'not_applicable' ELSE 'unknown' END AS s FROM a1),
 final AS (SELECT record_id, e AS entity_status, CASE WHEN e IN ('verified', 'candidate') THEN entity_id END AS entity_id, coalesce(conf, 0) AS entity_match_score, coalesce(path, 'unknown') AS entity_match_pathway, p AS parent_status, CASE WHEN p = 'candidate' THEN parent_id END AS parent_id,
     s AS security_status, CASE WHEN s IN ('verified', 'candidate') THEN best_sid END AS security_id, {{t}},
+    CASE WHEN NOT chosen THEN 'not_resolved' WHEN has_edge THEN 'resolved' ELSE 'not_available' END AS relationship_status, coalesce(crossed, false) AS crossed, asked AND coalesce(figi_off, false) AS figi_off,
     CASE WHEN ox = 'invalid' THEN 'temporal_verification_required' WHEN e = 'unknown' THEN 'unmatched' WHEN 'ambiguous' IN (e, s) THEN 'ambiguous' WHEN e <> 'verified' THEN 'review_required' WHEN p = 'candidate' THEN 'entity_matched_parent_candidate' WHEN s = 'candidate' THEN 'review_required'
       WHEN s = 'verified' THEN 'entity_and_security_matched' WHEN s = 'not_applicable' THEN 'private_entity' ELSE 'entity_matched_security_unknown' END AS final_decision FROM a2)""".replace(
     "{t}", ", ".join(f"CASE {c} WHEN 'verified' THEN 'verified' WHEN 'invalid' THEN 'contradicted' WHEN 'not_applicable' THEN 'not_applicable' ELSE 'unknown' END AS {n}" for c, n in (("ex", "entity_temporal_status"), ("rx", "relationship_temporal_status"), ("sx", "security_temporal_status"), ("ox", "temporal_status")))

@@ -554,7 +554,7 @@ def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.v2(plan.resolve(P.raw(spark, sf_dir, P.KEYED), sources))
 
 
-@query(P.RESOLVED + " SELECT * FROM final")
+@query(P.RESOLVED + " SELECT * EXCLUDE (relationship_status, crossed, figi_off) FROM final")
 def resolve_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.flat(_keyed(spark, sf_dir)).select(
         "record_id", "entity_status", "entity_id", "entity_match_score", "entity_match_pathway", "parent_status", "parent_id", "security_status", "security_id", "entity_temporal_status", "relationship_temporal_status", "security_temporal_status", "temporal_status", "final_decision",
@@ -567,6 +567,14 @@ def resolve_by_keys_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v2.groupBy("final_decision", F.col("entity.match_pathway").alias("pathway")).agg(F.count("*").alias("records"))
 
 
+_METRICS = ("final_decision", "entity_status", "parent_status", "security_status", "relationship_status", "temporal_status")
+
+
+@query(P.RESOLVED + " SELECT metric, value, count(*) AS records FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS value FROM final" for m in _METRICS) + " UNION ALL SELECT 'conflict', 'identifier_conflict' FROM final WHERE crossed UNION ALL SELECT 'conflict', 'security_identifier_conflict' FROM final WHERE figi_off) GROUP BY 1, 2")
+def job_metrics_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.job_metrics(_keyed(spark, sf_dir))
+
+
 @query()
 def generated_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.generate(cut(_master(spark, sf_dir)), 4000)

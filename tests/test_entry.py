@@ -18,7 +18,7 @@ def test_names():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["norm_places", "norm_identifiers", "profile_records", "block_candidates", "entity_scores", "final_decision_counts", "period_scopes", "relationship_cycles", "parent_paths", "eval_by_pathway"])
+@pytest.mark.parametrize("name", ["norm_name", "norm_suffixes", "norm_places", "norm_identifiers", "resolve_by_keys", "profile_records", "block_candidates", "entity_scores", "final_decision_counts", "period_scopes", "relationship_cycles", "parent_paths", "eval_by_pathway"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for t in ("nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "pages", "events"):
