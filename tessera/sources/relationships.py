@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import normalize as N
 from tessera.functions.temporal import PERIODS, overlap
-from tessera.plans.tables import cut
+from tessera.plans.tables import cut, release
 
 # Relationship types, those of which a child has one at a time, and those that make cycles.
 EXCLUSIVE = ("subsidiary_of", "owned_by", "brand_of", "division_of")
@@ -92,27 +92,56 @@ def overlaps(rows: DataFrame) -> DataFrame:
     return pairs.select("code", both.alias("b")).select("b.row", "code", F.lit(None).cast("string").alias("field"), "b.other")
 
 
+def _ends(steps: DataFrame, nodes: int) -> DataFrame:
+    """(v, end) from (v, to), one step for each v: where it leads when no step goes on, null if it goes round for ever. Steps are doubled."""
+    now = cut(steps.select("v", F.col("to").alias("end")))
+    length = 1
+    while length <= nodes:
+        onward = now.select(F.col("v").alias("end"), F.col("end").alias("next"))
+        before, now = now, cut(now.join(onward, "end", "left").select("v", F.coalesce("next", "end").alias("end")))
+        release(before)
+        length *= 2
+        if now.join(steps.select(F.col("v").alias("end")), "end", "left_semi").isEmpty():
+            break
+    return now.join(steps.select(F.col("v").alias("w")), F.col("end") == F.col("w"), "left").select("v", F.when(F.col("w").isNull(), F.col("end")).alias("end"))
+
+
 def cycles(rows: DataFrame) -> DataFrame:
-    """Every row on a cycle. Edges that cannot be on one are peeled off first; what is left is closed transitively."""
+    """Every row on a cycle. Edges that cannot be on one are peeled off first; runs of entities with one child and one parent become one edge, however long they
+    are, and rings of them are cycles; what is left, where lines meet, is closed transitively."""
     e = cut(rows.where(F.col("relationship_type").isin(*CYCLIC)).select("row", F.col("child_entity_id").alias("c"), F.col("parent_entity_id").alias("p")))
     n = e.count()
     while n:
         up, down = e.select(F.col("p").alias("c")).distinct(), e.select(F.col("c").alias("p")).distinct()
-        left = cut(e.join(up, "c", "left_semi").join(down, "p", "left_semi"))
-        now = left.count()
+        before, e = e, cut(e.join(up, "c", "left_semi").join(down, "p", "left_semi"))
+        release(before)
+        now = e.count()
         if now == n:
             break
-        e, n = left, now
-    pairs = cut(e.select("c", "p").distinct())
-    step, n = pairs, pairs.count()
+        n = now
+    code = lambda found: found.select("row", F.lit("parent_cycle").alias("code"), F.lit(None).cast("string").alias("field"))
+    if not n:
+        return code(e)
+    both = cut(e.select("c", "p").distinct())
+    single = lambda own, other: both.groupBy(F.col(own).alias("v")).agg(F.count("*").alias("n"), F.min(other).alias("to")).where("n = 1").select("v", "to")
+    ahead, back = single("c", "p"), single("p", "c")
+    ahead, back = cut(ahead.join(back.select("v"), "v", "left_semi")), cut(back.join(ahead.select("v"), "v", "left_semi"))
+    most = ahead.count()
+    to, start = (_ends(x, most).select("v", F.col("end").alias(name), F.lit(True).alias(f"in_{name}")) for x, name in ((ahead, "t"), (back, "s")))
+    # each edge as one between places where lines meet; null ends are of rings
+    e = e.join(to, F.col("p") == to["v"], "left").drop("v").join(start, F.col("c") == start["v"], "left").drop("v")
+    e = cut(e.select("row", F.when(F.col("in_s"), F.col("s")).otherwise(F.col("c")).alias("c"), F.when(F.col("in_t"), F.col("t")).otherwise(F.col("p")).alias("p")))
+    pairs = cut(e.dropna().select("c", "p").distinct())
+    n = pairs.count()
     while n:
-        wider = cut(pairs.union(pairs.select("c", F.col("p").alias("via")).join(step.select(F.col("c").alias("via"), "p"), "via").select("c", "p")).distinct())
-        now = wider.count()
+        before, pairs = pairs, cut(pairs.union(pairs.select("c", F.col("p").alias("via")).join(pairs.select(F.col("c").alias("via"), "p"), "via").select("c", "p")).distinct())
+        release(before)
+        now = pairs.count()
         if now == n:
             break
-        pairs, step, n = wider, wider, now
-    back = pairs.select(F.col("c").alias("p"), F.col("p").alias("c"))
-    return e.join(back, ["c", "p"], "left_semi").select("row", F.lit("parent_cycle").alias("code"), F.lit(None).cast("string").alias("field"))
+        n = now
+    again = pairs.select(F.col("c").alias("p"), F.col("p").alias("c"))
+    return code(e.where("c is null or p is null").select("row").unionByName(e.where("c = p").select("row")).unionByName(e.where("c <> p").join(again, ["c", "p"], "left_semi").select("row")))
 
 
 def unknown_references(rows: DataFrame, entities: DataFrame) -> DataFrame:

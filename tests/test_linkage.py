@@ -362,6 +362,26 @@ def test_acquisition(spark):
     assert short.chain.ids == ["brand", "new"] and short.relationship_status == "partial"
 
 
+def test_cycles_against_brute_force(spark):
+    """Long rings, rings that lines lead to and from, meeting rings, and random graphs."""
+    r = random.Random(12)
+    graphs = [[(i, (i + 1) % 90) for i in range(90)] + [(100 + i, 101 + i) for i in range(30)] + [(130, 0), (5, 200), (200, 201)], [(0, 0), (1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 3), (5, 5)]]
+    graphs += [[(r.randrange(n), r.randrange(n)) for _ in range(m)] for n, m in ((6, 8), (12, 14), (25, 30), (30, 33))]
+    rows, want = [], set()
+    for g, edges in enumerate(graphs):
+        reach = {v: {p for c, p in edges if c == v} for v in {x for e in edges for x in e}}
+        for k in list(reach):
+            for v in reach:
+                if k in reach[v]:
+                    reach[v] = reach[v] | reach[k]
+        for c, p in edges:
+            if c in reach[p]:
+                want.add(len(rows))
+            rows.append((len(rows), str(len(rows)), f"{g}:{c}", f"{g}:{p}", "owned_by"))
+    df = spark.createDataFrame(rows, "row long, relationship_id string, child_entity_id string, parent_entity_id string, relationship_type string")
+    assert sorted(x.row for x in relationships.cycles(relationships.usable(relationships.parse(df))).collect()) == sorted(want)
+
+
 def test_bad_relationships(spark):
     rows = [(1, None, "a", "b", "owned_by", "x", None, "1"), (2, "r", "a", "a", "none", None, None, "101"), (3, "s", "a", "b", "minority_owned_by", None, None, "60"), (4, "t", "a", "c", "owned_by", None, None, None), (5, "t", "a", "d", "owned_by", None, None, None)]
     p = relationships.parse(spark.createDataFrame(rows, "row long, relationship_id string, child_entity_id string, parent_entity_id string, relationship_type string, valid_from string, valid_to string, ownership_percentage string"))
