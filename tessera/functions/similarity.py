@@ -19,8 +19,8 @@ FLOOR = 0.75
 
 
 def similarity(left: str | None, right: str | None) -> float:
-    if not left or not right:
-        return 0.0
+    if not left or not right or left == right:
+        return float(bool(left) and left == right)
     a, b = set(left.split()), set(right.split())
     shared = len(a & b) / len(a | b) if a | b else 0.0
     ordered = SequenceMatcher(None, " ".join(sorted(a)), " ".join(sorted(b))).ratio()

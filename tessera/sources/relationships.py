@@ -106,7 +106,23 @@ def _ends(steps: DataFrame, nodes: int) -> DataFrame:
     return now.join(steps.select(F.col("v").alias("w")), F.col("end") == F.col("w"), "left").select("v", F.when(F.col("w").isNull(), F.col("end")).alias("end"))
 
 
-def cycles(rows: DataFrame) -> DataFrame:
+def _met(e: DataFrame) -> DataFrame:
+    """Each edge (row, c, p) as one between places where lines meet; null ends are of rings."""
+    both = cut(e.select("c", "p").distinct())
+    single = lambda own, other: both.groupBy(F.col(own).alias("v")).agg(F.count("*").alias("n"), F.min(other).alias("to")).where("n = 1").select("v", "to")
+    ahead, back = single("c", "p"), single("p", "c")
+    ahead, back = cut(ahead.join(back.select("v"), "v", "left_semi")), cut(back.join(ahead.select("v"), "v", "left_semi"))
+    most = ahead.count()
+    to, start = (_ends(x, most).select("v", F.col("end").alias(name), F.lit(True).alias(f"in_{name}")) for x, name in ((ahead, "t"), (back, "s")))
+    e = e.join(to, F.col("p") == to["v"], "left").drop("v").join(start, F.col("c") == start["v"], "left").drop("v")
+    return cut(e.select("row", F.when(F.col("in_s"), F.col("s")).otherwise(F.col("c")).alias("c"), F.when(F.col("in_t"), F.col("t")).otherwise(F.col("p")).alias("p")))
+
+
+#: Edges that are closed transitively as they are.
+DIRECT = 500
+
+
+def cycles(rows: DataFrame, direct: int = DIRECT) -> DataFrame:
     """Every row on a cycle. Edges that cannot be on one are peeled off first; runs of entities with one child and one parent become one edge, however long they
     are, and rings of them are cycles; what is left, where lines meet, is closed transitively."""
     e = cut(rows.where(F.col("relationship_type").isin(*CYCLIC)).select("row", F.col("child_entity_id").alias("c"), F.col("parent_entity_id").alias("p")))
@@ -122,15 +138,8 @@ def cycles(rows: DataFrame) -> DataFrame:
     code = lambda found: found.select("row", F.lit("parent_cycle").alias("code"), F.lit(None).cast("string").alias("field"))
     if not n:
         return code(e)
-    both = cut(e.select("c", "p").distinct())
-    single = lambda own, other: both.groupBy(F.col(own).alias("v")).agg(F.count("*").alias("n"), F.min(other).alias("to")).where("n = 1").select("v", "to")
-    ahead, back = single("c", "p"), single("p", "c")
-    ahead, back = cut(ahead.join(back.select("v"), "v", "left_semi")), cut(back.join(ahead.select("v"), "v", "left_semi"))
-    most = ahead.count()
-    to, start = (_ends(x, most).select("v", F.col("end").alias(name), F.lit(True).alias(f"in_{name}")) for x, name in ((ahead, "t"), (back, "s")))
-    # each edge as one between places where lines meet; null ends are of rings
-    e = e.join(to, F.col("p") == to["v"], "left").drop("v").join(start, F.col("c") == start["v"], "left").drop("v")
-    e = cut(e.select("row", F.when(F.col("in_s"), F.col("s")).otherwise(F.col("c")).alias("c"), F.when(F.col("in_t"), F.col("t")).otherwise(F.col("p")).alias("p")))
+    if n > direct:
+        e = _met(e)
     pairs = cut(e.dropna().select("c", "p").distinct())
     n = pairs.count()
     while n:

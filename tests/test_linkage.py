@@ -379,7 +379,8 @@ def test_cycles_against_brute_force(spark):
                 want.add(len(rows))
             rows.append((len(rows), str(len(rows)), f"{g}:{c}", f"{g}:{p}", "owned_by"))
     df = spark.createDataFrame(rows, "row long, relationship_id string, child_entity_id string, parent_entity_id string, relationship_type string")
-    assert sorted(x.row for x in relationships.cycles(relationships.usable(relationships.parse(df))).collect()) == sorted(want)
+    for direct in (0, 10**6):
+        assert sorted(x.row for x in relationships.cycles(relationships.usable(relationships.parse(df)), direct).collect()) == sorted(want)
 
 
 def test_bad_relationships(spark):
