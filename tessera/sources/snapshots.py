@@ -110,20 +110,35 @@ def sec_submissions(answers: DataFrame) -> DataFrame:
 GRAM = 3
 
 
+def _pieces(name: str, k: int) -> Column:
+    places = F.sequence(F.lit(1), F.length(name) - k + 1)
+    return F.when(F.length(name) >= k, F.transform(places, lambda i: F.substring(F.col(name), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+
+def containment(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(i, o): names of inner that stand inside names of outer. An inner name is joined on the one of its pieces of GRAM letters (or itself, if it has fewer) that
+    fewest outer names have; one with a piece that none has is nowhere."""
+    i, o = (x.select(F.col(x.columns[0]).alias(n)).where(F.col(n) != "").distinct() for x, n in ((inner, "i"), (outer, "o")))
+    held = o.select("o", F.explode(F.array_distinct(F.concat(*[_pieces("o", k) for k in range(1, GRAM + 1)]))).alias("g"))
+    own = F.array_distinct(F.when(F.length("i") >= GRAM, _pieces("i", GRAM)).otherwise(F.array("i")))
+    asked = i.select("i", F.explode(own).alias("g"), F.size(own).alias("size"))
+    often = held.groupBy("g").agg(F.count("*").alias("n"))
+    rarest = asked.join(often, "g").groupBy("i", "size").agg(F.count("*").alias("found"), F.min_by("g", F.struct("n", "g")).alias("g")).where("found = size").select("i", "g")
+    return rarest.join(held, "g").where(F.contains("o", F.col("i"))).select("i", "o")
+
+
 def sec_name_matches(records: DataFrame, index: DataFrame) -> DataFrame:
-    """(record_id, internal_entity_id, kind, overlap): by ticker (0), equal name (1), or one name inside the other (2), ranked by shared words.
-    A contained name shares its first letters, GRAM or as many as it has, with some place of the other, which is what is joined on; no record meets every row."""
+    """(record_id, internal_entity_id, kind, overlap): by ticker (0), equal name (1), or one name inside the other (2), ranked by shared words."""
     r, x = records.select("record_id", F.col("name").alias("r_name"), F.col("ticker").alias("r_ticker")), index.select("internal_entity_id", N.normalize_name(F.col("canonical_name")).alias("x_name"), N.normalize_identifier(F.col("ticker")).alias("x_ticker"))
     out = r.join(x, r.r_ticker == x.x_ticker).select("record_id", "internal_entity_id", F.lit(0).alias("kind"), F.lit(1.0).alias("overlap"))
-    head = lambda n: F.substring(n, 1, GRAM)
-    of = lambda n, k: F.when(F.length(n) >= k, F.transform(F.sequence(F.lit(1), F.length(n) - k + 1), lambda i: F.substring(F.col(n), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    grams = lambda n: F.array_distinct(F.concat(*[of(n, k) for k in range(1, GRAM + 1)]))
-    inside = r.withColumn("g", head("r_name")).join(x.withColumn("g", F.explode(grams("x_name"))), "g").where(F.contains("x_name", F.col("r_name")))
-    around = r.withColumn("g", F.explode(grams("r_name"))).join(x.withColumn("g", head("x_name")), "g").where(F.contains("r_name", F.col("x_name")))
-    found = inside.drop("g").unionByName(around.drop("g"))
+    inside = containment(r.select("r_name"), x.select("x_name")).select(F.col("i").alias("r_name"), F.col("o").alias("x_name"))
+    around = containment(x.select("x_name"), r.select("r_name")).select(F.col("o").alias("r_name"), F.col("i").alias("x_name"))
+    pairs = inside.unionByName(around).distinct()
     a, b = F.array_distinct(F.split("r_name", " ")), F.array_distinct(F.split("x_name", " "))
     share = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
-    found = found.select("record_id", "internal_entity_id", F.when(F.col("r_name") == F.col("x_name"), 1).otherwise(2).alias("kind"), F.when(F.col("r_name") == F.col("x_name"), 1.0).otherwise(share).alias("overlap"))
+    same = F.col("r_name") == F.col("x_name")
+    pairs = pairs.withColumns({"kind": F.when(same, 1).otherwise(2), "overlap": F.when(same, 1.0).otherwise(share)})
+    found = r.join(pairs, "r_name").join(x, "x_name").select("record_id", "internal_entity_id", "kind", "overlap")
     return out.unionByName(found).groupBy("record_id", "internal_entity_id").agg(F.min("kind").alias("kind"), F.max_by("overlap", -F.col("kind")).alias("overlap"))
 
 

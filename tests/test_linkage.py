@@ -514,6 +514,15 @@ def test_snapshots(spark):
     assert (f.internal_entity_id, f.figi, f.isin) == ("openfigi:SC", "BBG1", "US1")
 
 
+def test_names_inside_others(spark):
+    r = random.Random(9)
+    words = ["ge", "x", "capital", "bridge", "cap", "the", "com", "comma", "y"]
+    a, b = ([" ".join(r.sample(words, r.choice([1, 1, 2, 3]))) for _ in range(60)] for _ in range(2))
+    frame = lambda names: spark.createDataFrame([(n,) for n in [*names, None, ""]], "n string")
+    got = sorted((x.i, x.o) for x in snapshots.containment(frame(a), frame(b)).collect())
+    assert got == sorted({(i, o) for i in a for o in b if i in o}) and len(got) > 50
+
+
 def test_generated_cases(spark, entities):
     g = generate.generate(entities, 88, seed=3).collect()
     again = generate.generate(entities, 88, seed=3).collect()
