@@ -50,8 +50,24 @@ def one_period(kind: Column, start: Column, end: Column, status: Column, provide
     return F.when(when, made).otherwise(F.array()).cast(PERIODS)
 
 
+#: What a listing says of itself, by the column that it stands for; other names of it.
+_LISTING = {"internal_security_id": ("internal_security_id", "securityId"), **{f: (f,) for f in ("figi", "isin", "cusip", "ticker", "exchange", "share_class")}}
+
+
+def listed_rows(rows: DataFrame, order: str = "ord") -> DataFrame:
+    """A row for each of an entity's ``listings`` (an array of objects, or its JSON), whose values count before the row's own; rows without any stay. Orders keep
+    their order: each becomes 2 ** 20 times itself, and the place of the listing."""
+    kind = f"array<struct<{','.join(f'{n}:string' for names in _LISTING.values() for n in names)}>>"
+    given = F.col("listings") if rows.schema["listings"].dataType.simpleString() == "string" else F.to_json("listings")
+    rows = rows.withColumn("listings", F.from_json(given, kind)).select("*", F.posexplode_outer("listings").alias("_place", "_listing")).drop("listings")
+    rows = rows.withColumn(order, F.col(order).cast("bigint") * (1 << 20) + F.coalesce("_place", F.lit(0)))
+    own = {c: F.coalesce(*[F.col(f"_listing.{n}") for n in names], F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")) for c, names in _LISTING.items()}
+    return rows.withColumns(own).drop("_place", "_listing")
+
+
 def load(rows: DataFrame, provider: str = "master", order: str = "ord") -> DataFrame:
-    """Entities, one per row of the master, in the schema that resolution works with. order: a column with the load order."""
+    """Entities, one per row of the master, or per listing of its rows, in the schema that resolution works with. order: a column with the load order."""
+    rows = listed_rows(rows, order) if "listings" in rows.columns else rows
     have = set(rows.columns)
     # text first, so that what is made of a column does not repeat how it was read
     rows = rows.select(F.col(order).cast("bigint").alias("_ord"), *(F.when(F.col(n).cast("string") != "", F.col(n).cast("string")).alias(n) for n in COLUMNS if n in have))

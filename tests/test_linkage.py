@@ -218,6 +218,23 @@ def test_override_log(tmp_path):
         rules.read_overrides(str(tmp_path / "bad.jsonl"))
 
 
+def test_a_log_that_machines_share(spark, tmp_path):
+    folder, item = str(tmp_path / "log"), {"pattern": {"cik": "1"}, "action": "unmatched", "reviewer": "a"}
+    for when, reason in (("2024-01-02T00:00:00", "new"), ("2024-01-01T00:00:00", "old")):
+        rules.add_override(spark, folder, {**item, "reason": reason, "created_at": when})
+    assert [o["reason"] for o in rules.shared_overrides(spark, folder)] == ["old", "new"] and rules.overrides_of(rules.shared_overrides(spark, folder))[0].reason == "new"
+
+
+def test_listings_become_rows(spark):
+    kind = "array<struct<ticker:string,exchange:string,securityId:string>>"
+    rows = [(1, "e1", "Example Corp", "EX", [("EXA", "NYSE", "s:a"), ("EXB", "NASDAQ", None)]), (2, "e2", "Plain", "PL", None), (3, "e3", "None", None, [])]
+    df = spark.createDataFrame(rows, f"ord long, internal_entity_id string, canonical_name string, ticker string, listings {kind}")
+    for given in (df, df.withColumn("listings", F.to_json("listings"))):
+        m = master.load(given, "m")
+        assert sorted((r.ord >> 20, r.ord % 2**20, r.ticker or "", r.exchange or "", r.listed) for r in m.collect()) == [(1, 0, "EXA", "XNYS", True), (1, 1, "EXB", "XNAS", True), (2, 0, "PL", "", True), (3, 0, "", "", False)]
+        assert {r.security_id for r in master.securities(m).where("issuer_id = 'e1'").collect()} > {"s:a"}
+
+
 # --- reconciliation
 
 
