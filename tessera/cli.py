@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,7 +71,7 @@ def run(spark, a):
     policies, temporal = scoring.policies_from(_document(a.policies))
     temporal |= {"require_verified_for_auto_match": True} if a.strict else {}
     settings = resolve.Settings(scoring.Config(max_candidates=a.limit, mapping_version=a.mapping_version, relationship_max_depth=a.depth), policies, resolve.Temporal(**temporal))
-    forced = rules.overrides_of(rules.read_overrides(a.overrides)) if a.overrides else []
+    forced = rules.overrides_of(rules.read_overrides(a.overrides) if os.path.isfile(a.overrides) else rules.shared_overrides(spark, a.overrides)) if a.overrides else []
     forced += rules.rules_of(_document(a.rules)) if a.rules else []
     out = cut(results.v2(resolve.resolve(_records(spark, a), _sources(spark, a), settings, forced), a.mapping_version))
     sinks.write(out, a.output, a.overwrite)
@@ -142,7 +143,7 @@ def parser() -> argparse.ArgumentParser:
     command("relationships", check_relationships, source, mapping, arg("--show", type=int, default=1000), arg("--output"), over)
     command("inspect", inspect, source, mapping, arg("--entity", required=True), arg("--date"))
     command("rules", lambda spark, a: {"valid": True, "rules": len(rules.rules_of(_document(a.input)))}, source)
-    command("override", lambda spark, a: rules.append_override(a.log, _document(a.input)), source, arg("--log", required=True))
+    command("override", lambda spark, a: rules.add_override(spark, a.log, _document(a.input)) if a.shared else rules.append_override(a.log, _document(a.input)), source, arg("--log", required=True), arg("--shared", action="store_true"))
     command("generate", make, source, arg("--count", type=int, default=1000), arg("--seed", type=int, default=1), out, over)
     command("evaluate", judge, source, arg("--truth", required=True), arg("--html"))
     return p

@@ -575,9 +575,9 @@ def job_metrics_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.job_metrics(_keyed(spark, sf_dir))
 
 
-@query()
+@query(P.GENERATED)
 def generated_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.generate(cut(_master(spark, sf_dir)), 4000)
+    return generate.generate(cut(_master(spark, sf_dir)), 4000).withColumn("observation_date", F.col("observation_date").cast("string"))
 
 
 @query()
