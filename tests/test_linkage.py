@@ -304,6 +304,37 @@ def test_resolution(resolved):
     assert short["vague"][0] == "review_required" and got["vague"].decision_source == "rule:r2"
 
 
+def test_fuzzy_names_against_brute_force(spark):
+    """Names with faults, scored by difflib over every row that shares a word: the whole path from blocking to confidence and pathway."""
+    r = random.Random(10)
+    words = ["acme", "widget", "global", "tools", "north", "energy", "foods", "marine", "atlas", "paper"]
+    masters = sorted({" ".join(r.sample(words, r.choice([2, 3]))) for _ in range(60)})
+    m = master.load(spark.createDataFrame([(i, f"e{i}", None, n, "legal_entity", None, None, None, None, None, None, None, None, None, None, None) for i, n in enumerate(masters)], MASTER), "m")
+    asked = []
+    for n in r.sample(masters, 25):
+        at = r.randrange(1, len(n) - 1)
+        asked += [n, n[:at] + n[at + 1 :], f"{n} {r.choice(words)}", " ".join(reversed(n.split()))]
+    records = spark.createDataFrame([(str(i), n) for i, n in enumerate(asked)], "record_id string, entity_name string")
+    got = {x.record_id: x for x in plan.resolve(records, [plan.Source("m", m)], plan.Settings(scoring.Config(max_candidates=200))).collect()}
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    kinds = set()
+    for i, n in enumerate(asked):
+        own, best = set(n.split()), (0.0, 0.0, -1)
+        for k, other in enumerate(masters):
+            its = set(other.split())
+            if n.split()[0] in its or (n not in masters and own & its):
+                alike = 1.0 if n == other else max(ratio(n, other), len(own & its) / len(own | its), ratio(" ".join(sorted(own)), " ".join(sorted(its))))
+                points = 50 if n == other else 35 * alike if alike >= 0.75 else 0
+                score = round(min(max(points / 100, 0.82 if n == other else 0), 1.0 if n == other else 0.89), 4)
+                best = max(best, (score, alike if points else 0.0, -k))
+        x = got[str(i)]
+        assert x.confidence == pytest.approx(best[0], abs=1e-4)
+        want = "exact_name" if best[1] == 1.0 else "fuzzy_name_only" if best[1] else "unknown"
+        assert x.pathway == want or best[0] == 0
+        kinds.add(want)
+    assert kinds == {"exact_name", "fuzzy_name_only", "unknown"}
+
+
 def test_components_and_exports(spark, resolved, tmp_path):
     v2 = results.v2(resolved).cache()
     got = {r.record_id: r for r in v2.collect()}
