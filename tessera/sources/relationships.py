@@ -81,15 +81,19 @@ def duplicate_ids(rows: DataFrame) -> DataFrame:
 
 
 def overlaps(rows: DataFrame) -> DataFrame:
-    """(row, code, field, other): two issues for each pair of a child's rows whose periods overlap and that say the same, or name different exclusive parents."""
-    side = lambda s: rows.select("child_entity_id", *(F.col(c).alias(f"{s}_{c}") for c in ("row", "parent_entity_id", "relationship_type", "valid_from", "valid_to")))
-    pairs = side("l").join(side("r"), "child_entity_id").where(F.col("l_row") < F.col("r_row")).where(overlap(F.col("l_valid_from"), F.col("l_valid_to"), F.col("r_valid_from"), F.col("r_valid_to")))
-    parent, kind = F.col("l_parent_entity_id") == F.col("r_parent_entity_id"), F.col("l_relationship_type") == F.col("r_relationship_type")
-    exclusive = F.col("l_relationship_type").isin(*EXCLUSIVE) & F.col("r_relationship_type").isin(*EXCLUSIVE)
-    code = F.when(parent & kind, "duplicate_active_relationship").when(~parent & exclusive, "overlapping_parent_periods")
-    pairs = pairs.withColumn("code", code).where("code is not null")
-    both = F.explode(F.array(F.struct(F.col("l_row").alias("row"), F.col("r_row").alias("other")), F.struct(F.col("r_row").alias("row"), F.col("l_row").alias("other"))))
-    return pairs.select("code", both.alias("b")).select("b.row", "code", F.lit(None).cast("string").alias("field"), "b.other")
+    """(row, code, field, other): two issues for each pair of a child's rows whose periods overlap and that say the same, or name different exclusive parents.
+    Rows are joined on all that a pair must share, so that those of other kinds do not meet."""
+    side = lambda rows, s, *kept: rows.select(*kept, *(F.col(c).alias(f"{s}_{c}") for c in ("row", "parent_entity_id", "valid_from", "valid_to")))
+    both = overlap(F.col("l_valid_from"), F.col("l_valid_to"), F.col("r_valid_from"), F.col("r_valid_to")) & (F.col("l_row") < F.col("r_row"))
+
+    def pairs(rows: DataFrame, code: str, *shared: str) -> DataFrame:
+        return side(rows, "l", *shared).join(side(rows, "r", *shared), list(shared)).where(both).withColumn("code", F.lit(code))
+
+    same = pairs(rows, "duplicate_active_relationship", "child_entity_id", "parent_entity_id", "relationship_type")
+    exclusive = pairs(rows.where(F.col("relationship_type").isin(*EXCLUSIVE)), "overlapping_parent_periods", "child_entity_id").where(F.col("l_parent_entity_id") != F.col("r_parent_entity_id"))
+    found = same.select("code", "l_row", "r_row").unionByName(exclusive.select("code", "l_row", "r_row"))
+    each = F.explode(F.array(F.struct(F.col("l_row").alias("row"), F.col("r_row").alias("other")), F.struct(F.col("r_row").alias("row"), F.col("l_row").alias("other"))))
+    return found.select("code", each.alias("b")).select("b.row", "code", F.lit(None).cast("string").alias("field"), "b.other")
 
 
 def _ends(steps: DataFrame, nodes: int) -> DataFrame:
