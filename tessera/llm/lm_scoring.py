@@ -208,7 +208,7 @@ def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
 
 def encode(docs: DataFrame, words: Words) -> DataFrame:
     """(uid, doc_id, h, n_tokens, ids, own, rare), one row per row of docs (doc_id, text). uid: differs by row; h: a hash of doc_id and text; own: the
-    sum of logs of listed pieces; rare: each other piece, its SPELLED id, and what its letters give it there."""
+    sum of logs of listed pieces; rare: each other piece, its SPELLED id, and the log of what its letters give it there."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +225,8 @@ def encode(docs: DataFrame, words: Words) -> DataFrame:
                 ids = np.empty(len(place), np.int16)
                 ids[~rare], ids[rare] = words.ids[place[~rare]], VOCABULARY - SPELLED + group
                 own = np.bincount(doc[~rare], words.logs[place[~rare]], len(batch))
-                spelled = np.exp(spelled_logs(words.letters, texts) - words.whole[group])
-                items = pa.StructArray.from_arrays([texts, pa.array(group, pa.int8()), pa.array(spelled)], ["word", "k", "p"])
+                spelled = spelled_logs(words.letters, texts) - words.whole[group]
+                items = pa.StructArray.from_arrays([texts, pa.array(group, pa.int8()), pa.array(spelled)], ["word", "k", "log"])
                 h = [xxhash.xxh3_64_intdigest(f"{d}\0{t}".encode()) >> 1 for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
                 columns = [
                     pa.array(np.arange(uid, uid + len(batch))), batch.column(0), pa.array(h, pa.int64()), pa.array(sizes), _lists(sizes, pa.array(ids)), pa.array(own),
@@ -235,15 +235,16 @@ def encode(docs: DataFrame, words: Words) -> DataFrame:
                 uid += len(batch)
                 yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "h", "n_tokens", "ids", "own", "rare"])
 
-    return docs.select("doc_id", "text").mapInArrow(lean(encoded), f"uid long, doc_id {kind}, h long, n_tokens long, ids array<short>, own double, rare array<struct<word:string,k:tinyint,p:double>>")
+    return docs.select("doc_id", "text").mapInArrow(lean(encoded), f"uid long, doc_id {kind}, h long, n_tokens long, ids array<short>, own double, rare array<struct<word:string,k:tinyint,log:double>>")
 
 
 def rare_logs(encoded: DataFrame, sums: DataFrame, words: Words) -> DataFrame:
     """(uid, rare_log) in FRACTIONs: a piece that is counted once needs no partner in the join."""
     of = lambda values: F.get(F.array(*map(F.lit, values.tolist())), F.col("k").cast("int"))
     some = encoded.select("uid", F.explode("rare").alias("r")).select("uid", "r.*").join(sums.where("n > 1"), "word", "left")
-    p = F.when(F.col("n") > 1, (F.col("n") - 1 - words.discount) * of(words.unit) + of(words.free) * F.col("p")).otherwise(of(words.alone) * F.col("p"))
-    return some.select("uid", F.round(F.log(p) * FRACTION).cast("long").alias("log")).groupBy("uid").agg(F.sum("log").alias("rare_log"))
+    counted_ = F.log((F.col("n") - 1 - words.discount) * of(words.unit) + of(words.free) * F.exp("log"))
+    log = F.when(F.col("n") > 1, counted_).otherwise(F.log(of(words.alone)) + F.col("log"))  # letters of a long piece alone would vanish without their log
+    return some.select("uid", F.round(log * FRACTION).cast("long").alias("log")).groupBy("uid").agg(F.sum("log").alias("rare_log"))
 
 
 # --- the network

@@ -529,8 +529,11 @@ def test_junk_costs_more_than_words(spark):
     words = [f"{a}{b}o" for a in "bcdfglmnprst" for b in ("an", "er", "il", "ut")]
     many = [a + b for a in words for b in words][:1500]
     rows = [(i, " ".join(many)) for i in range(25)] + [(100, " ".join(many[1000:1200])), (101, " ".join(f"x{i * 7919 % 9973:04d}\u00f1qz{i}" for i in range(200))), (102, "zqxj"), (103, "zqxj" * 60)]
+    r = random.Random(1)
+    rows.append((104, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2000))))
     got = {r.doc_id: r for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[100].mean_pll > got[101].mean_pll + 10 and got[102].pll > got[103].pll + 5
+    assert got[104].n_tokens == 1 and -10_000 < got[104].pll < -2000  # the letters of one long piece, none of which is lost
 
 
 def test_training_lowers_the_loss():
