@@ -123,7 +123,7 @@ def _met(e: DataFrame) -> DataFrame:
 
 
 #: Edges that are closed transitively as they are.
-DIRECT = 500
+DIRECT = 5000
 
 
 def cycles(rows: DataFrame, direct: int = DIRECT) -> DataFrame:
