@@ -19,7 +19,8 @@ shards by a hash of doc_id and text and put in order within them; each shard tra
 tokens, slice by slice, in a tree of FAN at a time. The number of shards follows the number of tokens, so neither scores nor
 network depend on how the table is partitioned.
 
-Null and empty texts have no tokens and score 0 (mean null). Equal texts score alike; scores are rounded to 4 digits. With no
+Null and empty texts have no tokens and score 0 (mean null). Equal texts score alike: the network is applied in float64 and each token's log is
+rounded to a whole number of FRACTIONs before any are added; scores are rounded to 4 digits. With no
 tokens at all the network is untrained. Very long texts are scored whole, in steps of STEP tokens. Repeated rows train as often
 as they occur and are scored each; null doc_ids, empty tables and other columns do no harm.
 """
@@ -275,7 +276,7 @@ def _hidden(w: dict, around: list[np.ndarray]) -> np.ndarray:
         h += w["context"][j].take(around[j], 0)
     h += w["bias"]
     np.tanh(h, out=h)
-    out = np.ones((len(h), HIDDEN + 1), np.float32)
+    out = np.ones((len(h), HIDDEN + 1), h.dtype)
     out[:, :-1] = h
     return out
 
@@ -301,17 +302,17 @@ def _by_token(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _within(w: dict, h: np.ndarray, spans: list[tuple[int, slice]]) -> np.ndarray:
-    out = np.empty((len(h), CLASSES), np.float32)
+    out = np.empty((len(h), CLASSES), h.dtype)
     for k, own in spans:
         np.matmul(h[own], w["words"][k], out=out[own])
     return out
 
 
 def log_probabilities(w: dict, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of the tokens at these places, given the others around them."""
+    """Of the tokens at these places, given the others around them. w in float64, for products whose last digits depend on the rows beside them."""
     order, y, spans = _by_token(ids, at)
     h = _hidden(w, _around(ids, at[order]))
-    out = np.empty(len(y), np.float32)
+    out = np.empty(len(y), w["bias"].dtype)
     out[order] = _chosen_log(h @ w["classes"], y // CLASSES) + _chosen_log(_within(w, h, spans), y % CLASSES)
     return out
 
@@ -459,8 +460,10 @@ def train(encoded: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
 
 
 def network_logs(encoded: DataFrame, w: dict[str, np.ndarray]) -> DataFrame:
-    """(uid, doc_id, n_tokens, log): the sum of the ids' log probabilities, and of own."""
+    """(uid, doc_id, n_tokens, log): the sum of the ids' log probabilities, and of own, in FRACTIONs. Each token's log is rounded before it is added, so
+    that neither the order nor the rows that are scored together count."""
     kind = encoded.schema["doc_id"].dataType.simpleString()
+    w = {k: v.astype(np.float64) for k, v in w.items()}
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -468,11 +471,15 @@ def network_logs(encoded: DataFrame, w: dict[str, np.ndarray]) -> DataFrame:
                 batch = whole.slice(part.start, part.stop - part.start)
                 n = batch.column(2).to_numpy()
                 ids, places = _spread(batch.column(3).flatten().to_numpy(), n)
-                logs = [log_probabilities(w, ids, places[i : i + STEP]) for i in range(0, len(places), STEP)]
-                sums = np.bincount(np.repeat(np.arange(len(n)), n), np.concatenate(logs) if logs else None, len(n))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums + batch.column(4).to_numpy())], ["uid", "doc_id", "n_tokens", "log"])
+                logs = np.zeros(len(places) + 1, np.int64)
+                for i in range(0, len(places), STEP):
+                    logs[i + 1 : i + 1 + STEP] = np.rint(log_probabilities(w, ids, places[i : i + STEP]) * FRACTION)
+                ends = np.cumsum(n)
+                logs = np.cumsum(logs)
+                sums = logs[ends] - logs[ends - n] + np.rint(batch.column(4).to_numpy() * FRACTION).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums)], ["uid", "doc_id", "n_tokens", "log"])
 
-    return encoded.select("uid", "doc_id", "n_tokens", "ids", "own").mapInArrow(lean(scored), f"uid long, doc_id {kind}, n_tokens long, log double")
+    return encoded.select("uid", "doc_id", "n_tokens", "ids", "own").mapInArrow(lean(scored), f"uid long, doc_id {kind}, n_tokens long, log long")
 
 
 def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -483,7 +490,7 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", ro
     encoded = cut(encode(docs, words))
     w = train(encoded, rounds)
     out = network_logs(encoded, w).join(rare_logs(encoded, sums, words), "uid", "left")
-    out = out.select("doc_id", "n_tokens", F.round(F.col("log") + F.coalesce("rare_log", F.lit(0)) / FRACTION, 4).alias("pll"))
+    out = out.select("doc_id", "n_tokens", F.round((F.col("log") + F.coalesce("rare_log", F.lit(0))) / FRACTION, 4).alias("pll"))
     return out.withColumn("mean_pll", F.when(F.col("n_tokens") > 0, F.round(F.col("pll") / F.col("n_tokens"), 4)))
 
 

@@ -455,8 +455,8 @@ def test_scores_against_brute_force_whatever_the_partitions(spark):
     texts = [prose(r.choice([0, 1, 3, 60, 300]), i, 700) + r.choice(["", " rare", " Rare é" + str(i)]) for i in range(60)]
     texts += [texts[5], texts[6].upper(), prose(9000, 77, 2000)]
     docs = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    runs = [sorted(map(tuple, lm_scoring.score_documents(docs.repartition(n)).collect()), key=str) for n in (1, 5)]
-    assert runs[0] == runs[1]
+    runs = [sorted(map(tuple, lm_scoring.score_documents(docs.repartition(n)).collect()), key=str) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2]
     sums = lm_scoring.counted(docs)
     words = lm_scoring.vocabulary(sums)
     w = lm_scoring.train(lm_scoring.encode(docs, words))
@@ -468,6 +468,20 @@ def test_scores_against_brute_force_whatever_the_partitions(spark):
         assert (got[0], got[1]) == (doc, n) and got[2] == pytest.approx(pll, abs=2e-3 + 1e-6 * n)
 
 
+def test_a_tokens_log_does_not_depend_on_the_rows_beside_it():
+    r = np.random.default_rng(3)
+    w = {k: (v + r.normal(size=v.shape) * 0.3).astype(np.float64) for k, v in lm_scoring.start().items()}
+    texts = [r.integers(0, lm_scoring.VOCABULARY, n) for n in (1, 2, 40, 700, 40)]
+    texts[4] = texts[2]
+
+    def logs(some):
+        ids, places = lm_scoring._spread(np.concatenate(some), np.array([len(t) for t in some]))
+        return np.split(np.rint(lm_scoring.log_probabilities(w, ids, places) * lm_scoring.FRACTION), np.cumsum([len(t) for t in some])[:-1])
+
+    alone, together, turned = [logs([t])[0] for t in texts], logs(texts), logs(texts[::-1])[::-1]
+    assert all((a == b).all() and (a == c).all() for a, b, c in zip(alone, together, turned, strict=True))
+
+
 def test_every_document_trains(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"w{i} alpha beta gamma " * 20) for i in range(12)], "doc_id long, text string")
     encoded = lm_scoring.cut(lm_scoring.encode(docs, lm_scoring.vocabulary(lm_scoring.counted(docs))))
