@@ -1,6 +1,6 @@
 """The queries of this folder, by name, with their SQL where SQL can express them."""
 
-from tessera.llm import chat, decontaminate, language_id, licenses, lm_scoring, media_jpeg, mixing, ngram_join, token_counts, url_filter
+from tessera.llm import chat, decontaminate, language_id, lexical_search, licenses, lm_scoring, media_jpeg, mixing, ngram_join, spelling, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_decontaminate": decontaminate.query,
     "op10_license_scan": licenses.query,
+    "op11_spelling_variants": spelling.query,
+    "op12_lexical_search": lexical_search.query,
 }
 ORACLE_SQL = {
     "op6_mix_sources": mixing.SQL,
@@ -20,4 +22,5 @@ ORACLE_SQL = {
     "op8_url_filter": url_filter.SQL,
     "op9_decontaminate": decontaminate.SQL,
     "op10_license_scan": licenses.SQL,
+    "op12_lexical_search": lexical_search.SQL,
 }
