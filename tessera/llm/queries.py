@@ -1,6 +1,6 @@
 """The queries of this folder, by name, with their SQL where SQL can express them."""
 
-from tessera.llm import chat, decontaminate, language_id, lexical_search, licenses, lm_scoring, media_jpeg, mixing, ngram_join, spelling, token_counts, url_filter
+from tessera.llm import chat, decontaminate, language_id, lexical_search, licenses, lm_scoring, media_jpeg, mixing, ngram_join, spelling, templates, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_license_scan": licenses.query,
     "op11_spelling_variants": spelling.query,
     "op12_lexical_search": lexical_search.query,
+    "op13_html_extraction": templates.query,
 }
 ORACLE_SQL = {
     "op6_mix_sources": mixing.SQL,
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op9_decontaminate": decontaminate.SQL,
     "op10_license_scan": licenses.SQL,
     "op12_lexical_search": lexical_search.SQL,
+    "op13_html_extraction": templates.SQL,
 }
