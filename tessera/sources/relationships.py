@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import normalize as N
-from tessera.functions.temporal import PERIODS, overlap
-from tessera.plans.tables import cut, release
+from tessera.functions.temporal import PERIODS
+from tessera.plans.tables import cut
 
 # Relationship types, those of which a child has one at a time, and those that make cycles.
 EXCLUSIVE = ("subsidiary_of", "owned_by", "brand_of", "division_of")
@@ -17,6 +19,8 @@ TRUST = ("experimental", "supporting", "authoritative")
 FIELDS = ("relationship_id", "child_entity_id", "parent_entity_id", "relationship_type", "valid_from", "valid_to", "ownership_percentage", "source", "source_record_id", "trust_level", "is_direct")
 REQUIRED = FIELDS[:4]
 NAME = "customer_relationship_master"
+#: Keys that are broadcast, once counted.
+SMALL = 100_000
 
 
 def mapping_of(raw: dict[str, str] | None) -> dict[str, str]:
@@ -80,81 +84,145 @@ def duplicate_ids(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", n).where("_n > 1").select("row", F.lit("duplicate_relationship_id").alias("code"), F.lit("relationship_id").alias("field"))
 
 
-def overlaps(rows: DataFrame) -> DataFrame:
-    """(row, code, field, other): two issues for each pair of a child's rows whose periods overlap and that say the same, or name different exclusive parents.
-    Rows are joined on all that a pair must share, so that those of other kinds do not meet."""
-    side = lambda rows, s, *kept: rows.select(*kept, *(F.col(c).alias(f"{s}_{c}") for c in ("row", "parent_entity_id", "valid_from", "valid_to")))
-    both = overlap(F.col("l_valid_from"), F.col("l_valid_to"), F.col("r_valid_from"), F.col("r_valid_to")) & (F.col("l_row") < F.col("r_row"))
+#: Rows of a key that are compared in pairs; of more, intervals are cut into blocks. Days of the calendar are less than 2 ** LEVELS.
+FEW, LEVELS = 64, 22
+
+
+def _blocks(start: Column, end: Column) -> Column:
+    """The fewest blocks of 2 ** level days, each beginning at a multiple of that, that make up [start, end]: array of struct(level, block)."""
+
+    def level(k: Column) -> Column:
+        low = F.call_function("shiftright", start + F.call_function("shiftleft", F.lit(1), k) - 1, k)
+        high = F.call_function("shiftright", end + 1, k)
+        of = lambda block, odd: F.when((low < high) & (odd % 2 == 1), F.struct(k.alias("level"), block.alias("block")))
+        return F.array(of(low, low), of(high - 1, high))
 
-    def pairs(rows: DataFrame, code: str, *shared: str) -> DataFrame:
-        return side(rows, "l", *shared).join(side(rows, "r", *shared), list(shared)).where(both).withColumn("code", F.lit(code))
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), level)))
 
-    same = pairs(rows, "duplicate_active_relationship", "child_entity_id", "parent_entity_id", "relationship_type")
-    exclusive = pairs(rows.where(F.col("relationship_type").isin(*EXCLUSIVE)), "overlapping_parent_periods", "child_entity_id").where(F.col("l_parent_entity_id") != F.col("r_parent_entity_id"))
+
+def interval_pairs(rows: DataFrame, keys: list[str], start: str, end: str, order: str, few: int = FEW) -> DataFrame:
+    """(l_*, r_*) of all columns but keys, with keys: each pair of a key's rows whose closed intervals overlap once, the one of lower order left. An open end is
+    infinite; an interval that ends before it starts overlaps none. order: differs by row.
+
+    Two intervals overlap where the later start lies in the other one. Each start is a point, in one block at each level; each interval is a few blocks apart from each
+    other; so point and interval meet in one block or none, and a key of very many rows costs what it gives, not its square. Keys of few rows are joined."""
+    low, high = F.to_date(F.lit("0001-01-01")), F.to_date(F.lit("9999-12-31"))
+    days = lambda c, default: F.date_diff(F.coalesce(c, default), low)
+    others = [c for c in rows.columns if c not in keys]
+    rows = rows.withColumns({"_s": days(F.col(start), low), "_e": days(F.col(end), high)}).where("_s <= _e")
+    side = lambda rows, s, *more: rows.select(*keys, *(F.col(c).alias(f"{s}_{c}") for c in [*others, "_s", "_e"]), *more)
+    named = [*keys, *(f"{s}_{c}" for s in "lr" for c in others)]
+
+    many = cut(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > few).select(*keys))
+    n = many.count()
+    hint = F.broadcast if n <= SMALL else (lambda df: df)
+    light = rows.join(hint(many), keys, "left_anti") if n else rows
+    light = side(light, "l").join(side(light, "r"), keys).where((F.col(f"l_{order}") < F.col(f"r_{order}")) & (F.col("l__s") <= F.col("r__e")) & (F.col("r__s") <= F.col("l__e"))).select(*named)
+    if not n:
+        return light
+    heavy = rows.join(hint(many), keys, "left_semi")
+    point = F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col("_s"), k).alias("block"))))
+    points = side(heavy.withColumn("_at", point), "r", F.col("_at.level").alias("_level"), F.col("_at.block").alias("_block"))
+    intervals = side(heavy.withColumn("_at", F.explode(_blocks(F.col("_s"), F.col("_e")))), "l", F.col("_at.level").alias("_level"), F.col("_at.block").alias("_block"))
+    met = intervals.join(points, [*keys, "_level", "_block"]).where((F.col("l__s") < F.col("r__s")) | (F.col(f"l_{order}") < F.col(f"r_{order}")))
+    turned = F.col(f"l_{order}") > F.col(f"r_{order}")
+    swap = [F.when(turned, F.col(f"{b}_{c}")).otherwise(F.col(f"{a}_{c}")).alias(f"{a}_{c}") for a, b in ("lr", "rl") for c in others]
+    return light.unionByName(met.select(*keys, *swap))
+
+
+def overlaps(rows: DataFrame, few: int = FEW) -> DataFrame:
+    """(row, code, field, other): two issues for each pair of a child's rows whose periods overlap and that say the same, or name different exclusive parents.
+    Rows are joined on all that a pair must share, and by their periods."""
+    periods = rows.select("row", "child_entity_id", "parent_entity_id", "relationship_type", "valid_from", "valid_to")
+    pairs = lambda rows, keys: interval_pairs(rows, keys, "valid_from", "valid_to", "row", few)
+    same = pairs(periods, ["child_entity_id", "parent_entity_id", "relationship_type"]).withColumn("code", F.lit("duplicate_active_relationship"))
+    exclusive = pairs(periods.where(F.col("relationship_type").isin(*EXCLUSIVE)).drop("relationship_type"), ["child_entity_id"])
+    exclusive = exclusive.where(F.col("l_parent_entity_id") != F.col("r_parent_entity_id")).withColumn("code", F.lit("overlapping_parent_periods"))
     found = same.select("code", "l_row", "r_row").unionByName(exclusive.select("code", "l_row", "r_row"))
     each = F.explode(F.array(F.struct(F.col("l_row").alias("row"), F.col("r_row").alias("other")), F.struct(F.col("r_row").alias("row"), F.col("l_row").alias("other"))))
     return found.select("code", each.alias("b")).select("b.row", "code", F.lit(None).cast("string").alias("field"), "b.other")
 
 
-def _ends(steps: DataFrame, nodes: int) -> DataFrame:
-    """(v, end) from (v, to), one step for each v: where it leads when no step goes on, null if it goes round for ever. Steps are doubled."""
-    now = cut(steps.select("v", F.col("to").alias("end")))
-    length = 1
-    while length <= nodes:
-        onward = now.select(F.col("v").alias("end"), F.col("end").alias("next"))
-        before, now = now, cut(now.join(onward, "end", "left").select("v", F.coalesce("next", "end").alias("end")))
-        release(before)
-        length *= 2
-        if now.join(steps.select(F.col("v").alias("end")), "end", "left_semi").isEmpty():
-            break
-    return now.join(steps.select(F.col("v").alias("w")), F.col("end") == F.col("w"), "left").select("v", F.when(F.col("w").isNull(), F.col("end")).alias("end"))
-
+# --- cycles
 
-def _met(e: DataFrame) -> DataFrame:
-    """Each edge (row, c, p) as one between places where lines meet; null ends are of rings."""
-    both = cut(e.select("c", "p").distinct())
-    single = lambda own, other: both.groupBy(F.col(own).alias("v")).agg(F.count("*").alias("n"), F.min(other).alias("to")).where("n = 1").select("v", "to")
-    ahead, back = single("c", "p"), single("p", "c")
-    ahead, back = cut(ahead.join(back.select("v"), "v", "left_semi")), cut(back.join(ahead.select("v"), "v", "left_semi"))
-    most = ahead.count()
-    to, start = (_ends(x, most).select("v", F.col("end").alias(name), F.lit(True).alias(f"in_{name}")) for x, name in ((ahead, "t"), (back, "s")))
-    e = e.join(to, F.col("p") == to["v"], "left").drop("v").join(start, F.col("c") == start["v"], "left").drop("v")
-    return cut(e.select("row", F.when(F.col("in_s"), F.col("s")).otherwise(F.col("c")).alias("c"), F.when(F.col("in_t"), F.col("t")).otherwise(F.col("p")).alias("p")))
 
-
-#: Edges that are closed transitively as they are.
-DIRECT = 5000
+def _ends(steps: DataFrame) -> DataFrame:
+    """(way, v, end) from (way, v, to), one step for each v: where it leads when no step goes on, null if it goes round for ever. Steps are doubled; those that have
+    ended are left alone."""
+    going, ended, length, most = steps.select("way", "v", F.col("to").alias("end")), [], 1, steps.count()
+    onward = going
+    while length <= 2 * most:
+        step = cut(going.join(onward.select("way", F.col("v").alias("end"), F.col("end").alias("next")), ["way", "end"], "left").select("way", "v", "end", "next"))
+        ended.append(step.where("next is null").select("way", "v", "end"))
+        going = step.where("next is not null").select("way", "v", F.col("next").alias("end"))
+        if going.isEmpty():
+            break
+        onward, length = reduce(DataFrame.unionByName, ended, going), 2 * length
+    return reduce(DataFrame.unionByName, ended, going.select("way", "v", F.lit(None).cast("string").alias("end")))
 
 
-def cycles(rows: DataFrame, direct: int = DIRECT) -> DataFrame:
-    """Every row on a cycle. Edges that cannot be on one are peeled off first; runs of entities with one child and one parent become one edge, however long they
-    are, and rings of them are cycles; what is left, where lines meet, is closed transitively."""
+def _compressed(e: DataFrame) -> DataFrame | None:
+    """Each edge (row, c, p) as one between places where lines meet, null ends are of rings; None if lines meet everywhere."""
+    both = cut(e.select("c", "p").distinct())
+    single = lambda own, other: both.groupBy(F.col(own).alias("v")).agg(F.count("*").alias("n"), F.min(other).alias(other)).where("n = 1").drop("n")
+    inner = single("c", "p").join(single("p", "c"), "v")
+    steps = cut(inner.select("v", F.explode(F.array(F.struct(F.lit("p").alias("way"), F.col("p").alias("to")), F.struct(F.lit("c").alias("way"), F.col("c").alias("to")))).alias("s")).select("s.way", "v", "s.to"))
+    if steps.isEmpty():
+        return None
+    ends = cut(_ends(steps))
+    for way in ("c", "p"):
+        own = ends.where(F.col("way") == way).select(F.col("v").alias(way), "end", F.lit(True).alias("on"))
+        e = e.join(own, way, "left").withColumn(way, F.when(F.col("on"), F.col("end")).otherwise(F.col(way))).drop("end", "on")
+    return cut(e.select("row", "c", "p"))
+
+
+def _inside_components(pairs: DataFrame) -> DataFrame:
+    """The pairs (c, p), c other than p, that lie inside a strongly connected component. Each node gets the least of the nodes that lead to it and the least of those
+    it leads to, in an order that differs by round. Nodes of a component get the same two. If both are one node, it leads there and back; other pairs of equal nodes go on to the
+    next round, pairs of different ones are in no component. A round has a row per node and edge."""
+    found, turn = [], 0
+    while True:
+        two = cut(pairs.select(F.explode(F.array(F.struct(F.lit(0).alias("way"), "c", "p"), F.struct(F.lit(1).alias("way"), F.col("p").alias("c"), F.col("c").alias("p")))).alias("s")).select("s.*"))
+        label = F.concat(F.hex(F.xxhash64("v", F.lit(turn))), F.lit(":"), "v")
+        nodes = two.select("way", F.col("c").alias("v")).union(two.select("way", "p")).distinct().withColumn("label", label)
+        while True:
+            met = nodes.select("way", "v", "label", F.col("label").alias("own")).unionByName(
+                two.join(nodes.withColumnRenamed("v", "c"), ["way", "c"]).select("way", F.col("p").alias("v"), "label", F.lit(None).cast("string").alias("own"))
+            )
+            step = cut(met.groupBy("way", "v").agg(F.min("label").alias("label"), F.max("own").alias("own")))
+            nodes = step.select("way", "v", "label")
+            if step.where("label < own").isEmpty():
+                break
+        labels = nodes.groupBy("v").agg(F.max(F.when(F.col("way") == 0, F.col("label"))).alias("before"), F.max(F.when(F.col("way") == 1, F.col("label"))).alias("after"))
+        of = lambda end: labels.select(F.col("v").alias(end), F.col("before").alias(f"{end}_before"), F.col("after").alias(f"{end}_after"))
+        same = cut(pairs.join(of("c"), "c").join(of("p"), "p").where("c_before = p_before and c_after = p_after").select("c", "p", (F.col("c_before") == F.col("c_after")).alias("inside")))
+        found.append(same.where("inside").select("c", "p"))
+        pairs, turn = same.where("not inside").select("c", "p"), turn + 1
+        if pairs.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
+def cycles(rows: DataFrame) -> DataFrame:
+    """Every row on a cycle, by strongly connected components. Edges that begin or end nowhere are taken off, as long as that takes many; then runs of entities with one child
+    and one parent become one edge; and so on in turns, which leaves nothing of any tree and a loop of any ring, in a number of rounds that grows with the
+    logarithm of their size. What is left, where lines meet, is labelled."""
     e = cut(rows.where(F.col("relationship_type").isin(*CYCLIC)).select("row", F.col("child_entity_id").alias("c"), F.col("parent_entity_id").alias("p")))
-    n = e.count()
+    found, n = [e.where("c = p").select("row")], e.count()
     while n:
         up, down = e.select(F.col("p").alias("c")).distinct(), e.select(F.col("c").alias("p")).distinct()
-        before, e = e, cut(e.join(up, "c", "left_semi").join(down, "p", "left_semi"))
-        release(before)
-        now = e.count()
-        if now == n:
-            break
-        n = now
-    code = lambda found: found.select("row", F.lit("parent_cycle").alias("code"), F.lit(None).cast("string").alias("field"))
-    if not n:
-        return code(e)
-    if n > direct:
-        e = _met(e)
-    pairs = cut(e.dropna().select("c", "p").distinct())
-    n = pairs.count()
-    while n:
-        before, pairs = pairs, cut(pairs.union(pairs.select("c", F.col("p").alias("via")).join(pairs.select(F.col("c").alias("via"), "p"), "via").select("c", "p")).distinct())
-        release(before)
-        now = pairs.count()
-        if now == n:
-            break
-        n = now
-    again = pairs.select(F.col("c").alias("p"), F.col("p").alias("c"))
-    return code(e.where("c is null or p is null").select("row").unionByName(e.where("c = p").select("row")).unionByName(e.where("c <> p").join(again, ["c", "p"], "left_semi").select("row")))
+        e = cut(e.where("c <> p").join(up, "c", "left_semi").join(down, "p", "left_semi"))
+        before, n = n, e.count()
+        if n > 0.9 * before:
+            if not (met := _compressed(e)):
+                if n == before:
+                    break
+                continue
+            found.append(met.where("c is null or p is null or c = p").select("row"))
+            e = met.where("c is not null and p is not null")
+    if n:
+        inside = _inside_components(cut(e.select("c", "p").distinct()))
+        found.append(e.join(inside, ["c", "p"], "left_semi").select("row"))
+    return reduce(DataFrame.unionByName, found).select("row", F.lit("parent_cycle").alias("code"), F.lit(None).cast("string").alias("field"))
 
 
 def unknown_references(rows: DataFrame, entities: DataFrame) -> DataFrame:

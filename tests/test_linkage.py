@@ -14,6 +14,7 @@ from tessera.functions.similarity import may_reach, similarity, with_similarity
 from tessera.operators import blocking, evaluate, generate, graph, reconcile, rules, scoring
 from tessera.plans import resolve as plan
 from tessera.plans import results
+from tessera.plans.tables import cut
 from tessera.sources import files, master, relationships, sinks, snapshots
 
 
@@ -427,8 +428,45 @@ def test_cycles_against_brute_force(spark):
                 want.add(len(rows))
             rows.append((len(rows), str(len(rows)), f"{g}:{c}", f"{g}:{p}", "owned_by"))
     df = spark.createDataFrame(rows, "row long, relationship_id string, child_entity_id string, parent_entity_id string, relationship_type string")
-    for direct in (0, 10**6):
-        assert sorted(x.row for x in relationships.cycles(relationships.usable(relationships.parse(df)), direct).collect()) == sorted(want)
+    assert sorted(x.row for x in relationships.cycles(relationships.usable(relationships.parse(df))).collect()) == sorted(want)
+
+
+def test_long_rings_and_lines(spark):
+    """A ring of 100,000, a line of 100,000 that leads to it, a tree, and two rings of 1,500 that meet: rows stay linear and rounds few."""
+    i = F.col("id")
+    name = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    n, m = 100_000, 1_500
+    edges = spark.range(n).select(name("r", i).alias("c"), name("r", (i + 1) % n).alias("p"), F.lit(True).alias("on"))
+    edges = edges.union(spark.range(n).select(name("l", i), F.when(i < n - 1, name("l", i + 1)).otherwise(F.lit("r5")), F.lit(False))).union(spark.range(1, 2_000).select(name("t", i), name("t", i.cast("long") / 2 - (i % 2) / 2), F.lit(False)))
+    for k in "ab":
+        edges = edges.union(spark.range(m).select(F.when(i == 0, F.lit("both")).otherwise(name(k, i)), F.when(i == m - 1, F.lit("both")).otherwise(name(k, i + 1)), F.lit(True)))
+    rows = edges.select(F.monotonically_increasing_id().alias("row"), F.lit("x").alias("relationship_id"), F.col("c").alias("child_entity_id"), F.col("p").alias("parent_entity_id"), F.lit("owned_by").alias("relationship_type"), "on")
+    rows = cut(rows)
+    found = relationships.cycles(rows).select("row").distinct()
+    assert found.count() == n + 2 * m and found.join(rows.where("not on"), "row").isEmpty()
+
+
+def test_overlaps_against_brute_force(spark):
+    """All ways of open, equal, touching and inverted periods; keys of few and of many rows."""
+    r = random.Random(13)
+    date = lambda: None if r.random() < 0.15 else datetime.date(2000, 1, 1) + datetime.timedelta(r.choice([0, 1, 31, 32, 63, 64, 1000, r.randrange(1200)]))
+    rows = [(k, r.choice("aab"), date(), date(), "x") for k in range(160)]
+    df = spark.createDataFrame(rows, "row long, key string, f date, t date, note string")
+    low, high = datetime.date(1, 1, 1), datetime.date(9999, 12, 31)
+    want = {(a[1], a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and max(a[2] or low, b[2] or low) <= min(a[3] or high, b[3] or high)}
+    assert len(want) > 500
+    for few in (0, 60, 10**6):
+        got = [(x.key, x.l_row, x.r_row) for x in relationships.interval_pairs(df, ["key"], "f", "t", "row", few).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_child_of_very_many_periods_costs_its_output(spark):
+    """50,000 periods of one child, of which ten overlap the next: no pairs are made but those."""
+    i = F.col("id")
+    start = lambda i: F.date_add(F.lit("1700-01-01").cast("date"), (i % 50_000).cast("int") * 2)
+    rows = spark.range(50_000).select(i.alias("row"), F.lit("k").alias("key"), start(i).alias("f"), F.date_add(start(i), F.when(i % 5_000 == 7, 2).otherwise(1)).alias("t"))
+    plan = relationships.interval_pairs(cut(rows), ["key"], "f", "t", "row")
+    assert sorted((x.l_row, x.r_row) for x in plan.collect()) == [(k, k + 1) for k in range(7, 50_000, 5_000)]
 
 
 def test_bad_relationships(spark):
