@@ -133,7 +133,7 @@ def interval_pairs(rows: DataFrame, keys: list[str], start: str, end: str, order
 def overlaps(rows: DataFrame, few: int = FEW) -> DataFrame:
     """(row, code, field, other): two issues for each pair of a child's rows whose periods overlap and that say the same, or name different exclusive parents.
     Rows are joined on all that a pair must share, and by their periods."""
-    periods = rows.select("row", "child_entity_id", "parent_entity_id", "relationship_type", "valid_from", "valid_to")
+    periods = cut(rows.select("row", "child_entity_id", "parent_entity_id", "relationship_type", "valid_from", "valid_to"))
     pairs = lambda rows, keys: interval_pairs(rows, keys, "valid_from", "valid_to", "row", few)
     same = pairs(periods, ["child_entity_id", "parent_entity_id", "relationship_type"]).withColumn("code", F.lit("duplicate_active_relationship"))
     exclusive = pairs(periods.where(F.col("relationship_type").isin(*EXCLUSIVE)).drop("relationship_type"), ["child_entity_id"])
@@ -147,17 +147,18 @@ def overlaps(rows: DataFrame, few: int = FEW) -> DataFrame:
 
 
 def _ends(steps: DataFrame) -> DataFrame:
-    """(way, v, end) from (way, v, to), one step for each v: where it leads when no step goes on, null if it goes round for ever. Steps are doubled; those that have
-    ended are left alone."""
-    going, ended, length, most = steps.select("way", "v", F.col("to").alias("end")), [], 1, steps.count()
+    """(way, v, end) from (way, v, to), one step for each v: where it leads when no step goes on, null if it goes round for ever. Steps are doubled. Of a line that is
+    longer, some end in each round; when none does, what is left goes round."""
+    going, ended, left = steps.select("way", "v", F.col("to").alias("end")), [], -1
     onward = going
-    while length <= 2 * most:
+    while left:
         step = cut(going.join(onward.select("way", F.col("v").alias("end"), F.col("end").alias("next")), ["way", "end"], "left").select("way", "v", "end", "next"))
         ended.append(step.where("next is null").select("way", "v", "end"))
         going = step.where("next is not null").select("way", "v", F.col("next").alias("end"))
-        if going.isEmpty():
+        before, left = left, going.count()
+        if left == before:
             break
-        onward, length = reduce(DataFrame.unionByName, ended, going), 2 * length
+        onward = reduce(DataFrame.unionByName, ended, going)
     return reduce(DataFrame.unionByName, ended, going.select("way", "v", F.lit(None).cast("string").alias("end")))
 
 
@@ -209,8 +210,8 @@ def cycles(rows: DataFrame) -> DataFrame:
     e = cut(rows.where(F.col("relationship_type").isin(*CYCLIC)).select("row", F.col("child_entity_id").alias("c"), F.col("parent_entity_id").alias("p")))
     found, n = [e.where("c = p").select("row")], e.count()
     while n:
-        up, down = e.select(F.col("p").alias("c")).distinct(), e.select(F.col("c").alias("p")).distinct()
-        e = cut(e.where("c <> p").join(up, "c", "left_semi").join(down, "p", "left_semi"))
+        between = e.select(F.col("p").alias("c")).intersect(e.select("c"))  # what some edge leads to, and another from
+        e = cut(e.where("c <> p").join(between, "c", "left_semi").join(between.select(F.col("c").alias("p")), "p", "left_semi"))
         before, n = n, e.count()
         if n > 0.9 * before:
             if not (met := _compressed(e)):
