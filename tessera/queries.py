@@ -11,7 +11,7 @@ from tessera import problem as P
 from tessera.functions import normalize as N
 from tessera.functions import temporal as T
 from tessera.functions.similarity import token_jaccard, with_similarity
-from tessera.operators import blocking, conflicts, evaluate, generate, graph, rules, scoring
+from tessera.operators import blocking, conflicts, evaluate, generate, graph, periods, rules, scoring
 from tessera.plans import resolve as plan
 from tessera.plans import results
 from tessera.plans.tables import cut
@@ -314,6 +314,26 @@ def period_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dated(spark, sf_dir).select("o_orderkey", F.col("any_.status").alias("any_status"), F.col("all_.status").alias("all_status"))
 
 
+@query(_VALID + " SELECT o_orderkey, any_status, all_status FROM s")
+def period_scopes_by_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from two tables, without arrays: one key may have any number of periods."""
+    p = P.raw(spark, sf_dir, _PERIODS).select(F.col("l_orderkey").alias("o_orderkey"), F.col("vf").alias("valid_from"), F.col("vt").alias("valid_to"), "status")
+    d = periods.held(P.raw(spark, sf_dir, _DAYS), p, ["o_orderkey"], "day")
+    status = lambda every: periods.status_of(*map(F.col, ("day", "dated", "undated", "holding")), every)["status"]
+    return d.select("o_orderkey", status(False).alias("any_status"), status(True).alias("all_status"))
+
+
+_NAMED = "SELECT l_suppkey AS k, CASE WHEN l_linenumber % 5 <> 0 THEN cast(l_shipdate AS date) END AS since, 'name ' || cast(l_partkey AS string) AS name, l_returnflag AS flag FROM {lineitem}"
+_ASKED = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 50 = 7 THEN NULL ELSE cast(o_custkey % 100 AS bigint) + 1 END AS k, CASE WHEN o_orderkey % 11 <> 0 THEN cast(o_orderdate AS date) END AS day FROM {orders}"
+
+
+@query(f"""WITH n AS ({P.duck(_NAMED)}), u AS (SELECT k, since, max({{'name': name, 'flag': flag}}) AS x FROM n WHERE since IS NOT NULL GROUP BY k, since), o AS ({P.duck(_ASKED)})
+SELECT o.o_orderkey, u.x.name AS name, u.x.flag AS flag FROM o ASOF LEFT JOIN u ON o.k = u.k AND o.day >= u.since""")
+def names_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name that a key had last on a day; a third of all rows ask for one key."""
+    return periods.as_of(P.raw(spark, sf_dir, _ASKED), P.raw(spark, sf_dir, _NAMED), ["k"], "day", "since", ["name", "flag"]).select("o_orderkey", "name", "flag")
+
+
 @query(_VALID + """, c AS (SELECT *, CASE WHEN any_status = 'verified' THEN true WHEN any_status = 'invalid' THEN false END AS a, CASE WHEN all_status = 'verified' THEN true WHEN all_status = 'invalid' THEN false END AS b, o_orderkey % 2 = 0 AS used FROM s),
 k AS (SELECT *, CASE WHEN day IS NULL THEN 'not_requested' WHEN a IS FALSE OR used AND b IS FALSE THEN 'invalid' WHEN a IS TRUE AND (NOT used OR b IS TRUE) THEN 'verified' WHEN a IS TRUE OR used AND b IS TRUE THEN 'partial' ELSE 'not_verified' END AS overall FROM c)
 SELECT overall, CASE WHEN overall = 'invalid' THEN 'review' WHEN overall IN ('not_requested', 'not_verified', 'partial') THEN 'allow_with_warning' ELSE 'allow' END AS lenient,

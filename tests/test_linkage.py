@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import normalize as N
 from tessera.functions import temporal as T
 from tessera.functions.similarity import may_reach, similarity, with_similarity
-from tessera.operators import blocking, evaluate, generate, graph, reconcile, rules, scoring
+from tessera.operators import blocking, evaluate, generate, graph, periods, reconcile, rules, scoring
 from tessera.plans import resolve as plan
 from tessera.plans import results
 from tessera.plans.tables import cut
@@ -616,3 +616,44 @@ def test_generated_cases(spark, entities):
     assert all((r.expected_entity_id is not None) == (r.expected_match == "true") for r in g)
     assert one(spark, generate.single_typo, "Acme Widgets", "x", "Big Co") == ["Acme Wigdets", "x", "iBg Co"]
     assert one(spark, generate.remove_suffix, "Acme Inc.", "Inc") == ["Acme", "Inc"]
+
+
+# --- joins by date
+
+
+def test_as_of_against_brute_force(spark):
+    """Rows on a chunk's borders, ties, nulls, and one key that most rows have."""
+    r = random.Random(21)
+    date = lambda: None if r.random() < 0.1 else datetime.date(1969, 9, 1) + datetime.timedelta(r.choice([0, 63, 64, 65, 127, 128, r.randrange(900)]))
+    key = lambda: r.choice(["hot", "hot", "hot", "b", "c", None])
+    left, right = [(i, key(), date(), "kept") for i in range(300)], [(key(), date(), r.choice("xyz"), r.choice([1, 2, None])) for _ in range(120)]
+    got = periods.as_of(spark.createDataFrame(left, "id int, k string, d date, v string"), spark.createDataFrame(right, "k string, s date, v string, n int"), ["k"], "d", "s", ["v", "n"])
+    assert got.columns == ["id", "k", "d", "v", "n"]
+    for x in got.collect():
+        may = [y for y in right if y[0] == x.k and x.k and x.d and y[1] and y[1] <= x.d]
+        best = max(may, key=lambda y: (y[1], y[2], -1 if y[3] is None else y[3]), default=(None,) * 4)
+        assert (x.v, x.n) == best[2:]
+    assert got.count() == 300
+
+
+def test_held_periods_against_arrays(spark):
+    r = random.Random(22)
+    date = lambda: None if r.random() < 0.3 else datetime.date(1999, 12, 1) + datetime.timedelta(r.choice([0, 1, 30, 31, 64, r.randrange(400)]))
+    key = lambda: r.choice(["hot", "hot", "hot", "b", "c", "d"])
+    rows = [("x", *(date(), date()), r.choice(["ACTIVE", "retired", None]), "p", k) for k in ["hot"] * 40 + ["b", "b", "c"]]
+    p = spark.createDataFrame(rows, "period_type string, valid_from date, valid_to date, status string, provider string, k string")
+    left = spark.createDataFrame([(i, key(), date()) for i in range(200)], "id int, k string, day date")
+    listed = left.join(p.groupBy("k").agg(F.collect_list(F.struct(*p.columns[:-1])).alias("periods")), "k", "left")
+    for every in (False, True):
+        want = {x.id: x.s for x in listed.select("id", T.evaluate_periods(F.col("periods"), F.col("day"), every).alias("s")).collect()}
+        got = periods.held(left, p, ["k"], "day").select("id", periods.status_of(*map(F.col, ("day", "dated", "undated", "holding")), every).alias("s"))
+        assert {x.id: x.s for x in got.collect()} == want
+
+
+def test_a_hot_key_is_few_rows_of_a_timeline(spark):
+    """Two million rows that ask for one key, about few days, are those days when they meet the periods."""
+    left = spark.range(2_000_000).select("id", F.lit(1).alias("k"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 500).cast("int")).alias("day"))
+    right = spark.range(200_000).select(F.lit(1).alias("k"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 400).cast("int")).alias("since"), F.col("id").alias("v"))
+    got = periods.as_of(left, right, ["k"], "day", "since", ["v"])
+    assert got.agg(F.count("*").alias("n"), F.count("v").alias("v")).first()[:] == (2_000_000, 2_000_000)
+    assert "BroadcastNestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
