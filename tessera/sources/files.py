@@ -1,7 +1,7 @@
 """Record files: CSV and TSV, JSON in three shapes, Parquet; profiles, mappings and checks before resolution.
 
-Files are read by Spark in parallel; the driver looks at a first block alone. A CSV file is read in splits unless a quoted cell
-goes over a line's end. Rows and sizes are not limited, but a field's length and the number of columns are.
+Files are read by Spark in parallel; the driver looks at a first block alone. A CSV file is read in splits, also where quoted cells
+go over lines' ends. Rows and sizes are not limited, but a field's length and the number of columns are.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ import csv
 import hashlib
 import json
 import os
+import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
@@ -87,20 +89,22 @@ def separator_of(text: str) -> str:
 _WINDOWS = [x.decode(kind, "ignore") for x in [bytes(b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))] for kind in ("iso-8859-1", "windows-1252")]
 
 
-def _says(spark: SparkSession, path: str, test: Column) -> bool:
-    """Whether any line passes; a scan that ends with the first."""
-    return bool(spark.read.text(path).where(test).limit(1).count())
-
-
-def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
-    """(encoding, separator)"""
+def looked_at(spark: SparkSession, path: str) -> tuple[str, str, bool]:
+    """(encoding, separator, whether some line has an odd number of quotes), by one scan of all lines."""
     block, whole = first_block(spark, path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    odd, broken = spark.read.text(path).agg(F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)), F.coalesce(F.bool_or(~F.is_valid_utf8("value")), F.lit(False))).first()
     encoding = encoding_of(block, whole)
-    if encoding == "utf-8" and block.isascii() and not whole and _says(spark, path, ~F.is_valid_utf8("value")):
-        encoding = "windows-1252"  # the first letter beyond ASCII comes later, and is none of UTF-8
+    if encoding == "utf-8" and broken:
+        encoding = "windows-1252"  # what is none of UTF-8 comes after the first block
     if not encoding:
         raise IngestionError(f"{path} is neither UTF-8 nor Windows-1252 text.")
-    return encoding, separator_of(block.decode(encoding, "ignore").removeprefix("\ufeff"))
+    return encoding, separator_of(block.decode(encoding, "ignore").removeprefix("\ufeff")), odd
+
+
+def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
+    """(encoding, separator)"""
+    return looked_at(spark, path)[:2]
 
 
 def facts(spark: SparkSession, path: str, most: int = HASHED) -> DataFrame:
@@ -125,27 +129,160 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
     return held.select(*[F.col(f"`{c}`") for c in rows.columns], (offset + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("long").alias(name))
 
 
+# Quoted cells that go over lines' ends. A line begins a record or goes on in a quoted cell; which, depends on all lines before. Each split says what it makes of either beginning,
+# and those sayings are put together in the order of splits: so a file is read in splits, and a record belongs to the split that it begins in.
+
+#: Splits whose first line goes on in a cell, or that end in one, and are told to all tasks at most; characters of a record that goes over a split's end.
+TOLD, LONGEST = 100_000, 16 << 20
+
+
+def _open(line: str, separator: str, inside: bool) -> bool:
+    """Whether a quoted cell is open after the line, by the csv module's own rules."""
+    if '"' not in line:
+        return inside
+    after = iter((f'"{line}' if inside else line, "."))
+    next(csv.reader(after, delimiter=separator))
+    return next(after, None) is None
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
+
+
+def _decoder(encoding: str):
+    return lambda line: line.decode("utf-8-sig" if encoding == "utf-8" else "cp1252", "replace")
+
+
+def _splits(lines: DataFrame, encoding: str, separator: str) -> DataFrame:
+    """(file, block, fresh, going, head): whether a quoted cell is open after the split, if none is before it and if one is; and, if one is, the lines that it takes to
+    close it (null if that is none, or more than LONGEST)."""
+    decode = _decoder(encoding)
+
+    def said(batches):
+        key, fresh, going, head, closed, size = None, False, True, [], False, 0
+        given = lambda: pa.RecordBatch.from_pylist([dict(zip(("file", "block", "fresh", "going", "head"), (*key, fresh, going, "\n".join(head) if closed else None), strict=True))], schema)
+        for batch in batches:
+            for *now, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != key:
+                    if key:
+                        yield given()
+                    key, fresh, going, head, closed, size = now, False, True, [], False, 0
+                line = decode(line)
+                fresh, going = _open(line, separator, fresh), _open(line, separator, going)
+                if not closed and size <= LONGEST:
+                    head.append(line)
+                    size += len(line)
+                    closed = not going
+        if key:
+            yield given()
+
+    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("fresh", pa.bool_()), ("going", pa.bool_()), ("head", pa.string())])
+    return lines.mapInArrow(said, "file string, block long, fresh boolean, going boolean, head string")
+
+
+def _beginnings(splits: DataFrame) -> DataFrame:
+    """(file, block, going, tail, cut) of splits whose first line goes on in a cell (going) or that end in one: tail, the lines that close it, cut, that there are none."""
+    w = Window.partitionBy("file").orderBy("block")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    # a split ends alike whatever its beginning (sure), or turns one into the other, or leaves it
+    s = splits.withColumns({"sure": F.when(F.col("fresh") == F.col("going"), F.col("fresh")), "turns": F.col("fresh") & ~F.col("going")})
+    s = s.withColumn("n", F.sum(F.col("turns").cast("int")).over(w))
+    last = F.last(F.when(F.col("sure").isNotNull(), F.struct("sure", "n")), True).over(before)
+    s = s.withColumn("last", last).withColumn("turned", (F.coalesce(F.lag("n").over(w), F.lit(0)) - F.coalesce("last.n", F.lit(0))) % 2 == 1)
+    s = s.withColumn("going", F.coalesce("last.sure", F.lit(False)) != F.col("turned"))
+    s = s.withColumns({"next": F.lead("going").over(w), "tail": F.lead("head").over(w)})
+    on = F.coalesce("next", F.lit(False))
+    return s.where(F.col("going") | on).select("file", "block", "going", F.when(on, F.col("tail")).alias("tail"), (on & F.col("tail").isNull()).alias("cut"))
+
+
+def _cells(spark: SparkSession, path: str, encoding: str, separator: str, names: list[str]) -> DataFrame | None:
+    """(names.., n): the cells of each record as text, empty ones null, and how many there are, in the order of the file. None if too many splits must be told."""
+    lines, decode, width = _lines(spark, path), _decoder(encoding), len(names)
+    told = cut(_beginnings(_splits(lines, encoding, separator)))
+    if told.count() > TOLD:
+        return None
+    if not told.where("cut").isEmpty():
+        raise IngestionError(f"A quoted cell of {path} goes on for more than {LONGEST:,} characters, or does not end.")
+
+    def parsed(batches):
+        key, record, inside, tail, skipping = None, [], False, None, False
+        rows = [[] for _ in range(width + 1)]
+
+        def done() -> None:
+            nonlocal record
+            text, record = [*record, *(tail.split("\n") if inside and tail is not None else ())], []
+            if text[-1:] and text[-1].endswith("\r"):
+                text[-1] = text[-1][:-1]
+            cells = next(csv.reader([t + "\n" for t in text[:-1]] + text[-1:], delimiter=separator), [])
+            if cells:
+                for i in range(width):
+                    rows[i].append(cells[i] or None if i < len(cells) else None)
+                rows[width].append(len(cells))
+
+        def given() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([*(pa.array(r, pa.string()) for r in rows[:-1]), pa.array(rows[-1], pa.int32())], [*names, "n"])
+            for r in rows:
+                r.clear()
+            return out
+
+        header = False
+        for batch in batches:
+            for *now, line, going, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != key:
+                    if record and not header:
+                        done()
+                    key, record, tail, skipping = now, [], rest, bool(going)
+                    inside, header = skipping, now[1] == 0
+                line = decode(line)
+                inside = _open(line, separator, inside)
+                if skipping:  # the split before has these lines
+                    skipping = inside
+                    continue
+                record.append(line)
+                if not inside:
+                    if header:
+                        record, header = [], False
+                    else:
+                        done()
+            if len(rows[width]) >= 1000:
+                yield given()
+        if record and not header:
+            done()
+        yield given()
+
+    kinds = ", ".join(f"{n} string" for n in names)
+    own = lines.join(F.broadcast(told.select("file", "block", "going", "tail")), ["file", "block"], "left").select("file", "block", "line", "going", "tail")
+    return own.mapInArrow(parsed, f"{kinds}, n int")
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text. Headers must be there and differ; rows must have as many cells as the header."""
-    encoding, separator = sniff(spark, path)
+    encoding, separator, odd = looked_at(spark, path)
     head = first_block(spark, path)[0].decode(encoding, "ignore").removeprefix("\ufeff")
-    header = [h.strip() for h in next(csv.reader(head.splitlines()[:1], delimiter=separator), [])]
+    header = [h.strip() for h in next(csv.reader(head.splitlines(True), delimiter=separator), [])]
     if "" in header or not header:
         raise IngestionError(f"The header of {path} has no name for column {header.index('') + 1 if header else 1}.")
     if again := {h for h in header if header.count(h) > 1}:
         raise IngestionError(f"The header of {path} names {', '.join(sorted(again))} more than once.")
     names = [f"c{i}" for i in range(len(header))]
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+
+    def checked(rows: DataFrame, ragged: Column) -> None:
+        if rows.where(ragged).limit(1).count():
+            bad = numbered(rows.withColumn("bad_", ragged), "row").where("bad_").orderBy("row").first()
+            raise IngestionError(f"Data row {bad.row} of {path} does not have {len(header)} cells as the header has.")
+
+    if odd and (rows := _cells(spark, path, encoding, separator, names)) is not None:
+        checked(rows, F.col("n") != len(header))
+        return rows.select(*[F.col(n).alias(h) for n, h in zip(names, header, strict=True)])
     options = {
         "schema": ", ".join(f"{n} string" for n in (*names, "extra", "bad")), "sep": separator, "encoding": "utf-8" if encoding == "utf-8" else "iso-8859-1", "header": True, "escape": '"', "mode": "PERMISSIVE",
-        "columnNameOfCorruptRecord": "bad", "enforceSchema": True, "multiLine": _says(spark, path, quotes % 2 == 1),
+        "columnNameOfCorruptRecord": "bad", "enforceSchema": True, "multiLine": odd,
     }
     rows = spark.read.option("columnPruning", False).csv(path, **options)  # all cells are looked at, whatever is asked for
-    few = F.col(names[-1]).isNull() & F.col("bad").isNotNull() & (F.size(F.split("bad", f"[{separator}]")) < len(header))
-    ragged = F.col("extra").isNotNull() | few
-    if rows.where(ragged).limit(1).count():
-        bad = numbered(rows, "row").where(ragged).orderBy("row").first()
-        raise IngestionError(f"Data row {bad.row} of {path} does not have {len(header)} cells as the header has.")
+    cell = re.escape(separator)
+    bare = F.regexp_replace("bad", rf'(^|{cell})"[^"]*+(?:""[^"]*+)*+"', "$1")  # separators inside quotes are none
+    few = F.col(names[-1]).isNull() & F.col("bad").isNotNull() & (F.size(F.split(bare, cell)) < len(header))
+    checked(rows, F.col("extra").isNotNull() | few)
     text = (lambda c: F.col(c)) if encoding == "utf-8" else (lambda c: F.translate(c, *_WINDOWS))
     return spark.read.csv(path, **options).select(*[text(n).alias(h) for n, h in zip(names, header, strict=True)])
 

@@ -15,7 +15,7 @@ from tessera.functions import normalize as N
 
 def latest(snapshot: DataFrame, now: Column | None = None, ttl_seconds: int | None = None) -> DataFrame:
     """The newest answer to each request; with now and ttl_seconds, only if it is no older."""
-    w = Window.partitionBy("provider", "query_type", "cache_key").orderBy(F.desc("fetched_at"))
+    w = Window.partitionBy("provider", "query_type", "cache_key").orderBy(F.desc("fetched_at"), F.desc(F.xxhash64(*[c for c in snapshot.columns if c != "fetched_at"])))  # of answers of one time, the same one in every run
     out = snapshot.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     if ttl_seconds is not None:
         out = out.where(F.unix_timestamp(F.current_timestamp() if now is None else now) - F.unix_timestamp("fetched_at") <= ttl_seconds)

@@ -503,12 +503,13 @@ def test_files(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps([{"a": 1}, {"b": "x"}]))
     for name in ("b.json", "c.jsonl", "d.json"):
         assert {tuple(x) for x in files.read(spark, str(tmp_path / name)).select("a", "b").collect()} == {(1, None), (None, "x")}
-    for name, text in (("e.csv", "a,a\n1,2\n"), ("f.csv", "a,\n1,2\n"), ("g.csv", "a,b\n1,2\n3\n"), ("h.csv", "a,b\n1,2,3\n"), ("i.csv", "")):
+    for name, text in (("e.csv", "a,a\n1,2\n"), ("f.csv", "a,\n1,2\n"), ("g.csv", "a,b\n1,2\n3\n"), ("h.csv", "a,b\n1,2,3\n"), ("i.csv", ""), ("j.csv", 'a,b,c\n1,2,3\n"x,y",z\n'), ("k.csv", 'a,b,c\n1,2,3\n"x\ny",z\n')):
         (tmp_path / name).write_text(text)
         with pytest.raises(files.IngestionError):
             files.read(spark, str(tmp_path / name))
-    with pytest.raises(files.IngestionError, match="Data row 2 "):
-        files.read(spark, str(tmp_path / "g.csv"))
+    for name in "gjk":
+        with pytest.raises(files.IngestionError, match="Data row 2 "):
+            files.read(spark, str(tmp_path / f"{name}.csv"))
     with pytest.raises(files.IngestionError):
         files.read(spark, str(tmp_path / "x.xlsx"))
 
@@ -518,6 +519,7 @@ def test_encodings_and_separators(spark, tmp_path):
     many = "".join(f"{i};plain\n" for i in range(9000))
     edge = "id;name\n" + "x" * ((1 << 16) - 9) + "é;b\n"  # é lies over the end of the first block
     cases = {"early": ("id;name\n0;Société\n1;€ Ž\n" + many, "cp1252"), "late": ("id;name\n" + many + "0;Société\n", "cp1252"), "utf": ("id;name\n0;Société\n" + many, "utf-8"), "late_utf": ("id;name\n" + many + "0;Société\n", "utf-8"), "edge": (edge, "utf-8")}
+    cases["both"] = ("id;name\n5;" + "\u00c3\u00a9" + "\n" + many + "0;Société\n", "cp1252")  # its first letters look like UTF-8
     for name, (text, encoding) in cases.items():
         (tmp_path / f"{name}.csv").write_bytes(text.encode(encoding))
         assert files.sniff(spark, str(tmp_path / f"{name}.csv")) == ("windows-1252" if encoding == "cp1252" else "utf-8", ";"), name
@@ -534,6 +536,34 @@ def test_encodings_and_separators(spark, tmp_path):
     assert facts.length == 26 and facts.sha256 == hashlib.sha256((tmp_path / "quoted.csv").read_bytes()).hexdigest() and files.facts(spark, str(tmp_path / "quoted.csv"), 5).first().sha256 is None
 
 
+def test_cells_over_lines_in_splits_equal_the_csv_module(spark, tmp_path):
+    """Records of every size over the ends of splits, doubled and stray quotes, both line ends, both encodings; read by several tasks."""
+    import csv
+
+    r = random.Random(31)
+    cells = ["", "plain", "two\nlines", 'says ""hi""', "a;b", "\n\n", 'end"', "é", "x" * 300, "many\n" * 40, '"', "\r\nback"]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, size in enumerate((700, 3000, 64_000)):
+            encoding, end = ("utf-8", "\n") if k % 2 else ("cp1252", "\r\n")
+            with open(tmp_path / f"q{k}.csv", "w", encoding=encoding, newline="") as f:
+                w = csv.writer(f, delimiter=";", lineterminator=end)
+                w.writerow(["a", "b\nb", "c"])
+                for i in range(400):
+                    w.writerow([i, r.choice(cells), r.choice(cells)])
+                f.write(f'400;in"ner;5" pipe{end}{end}401;"q"r;{end}402;"last\n";z')
+            with open(tmp_path / f"q{k}.csv", encoding=encoding, newline="") as f:
+                want = [[c or None for c in row] for row in csv.reader(f, delimiter=";") if row][1:]
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            got = files.read(spark, str(tmp_path / f"q{k}.csv"))
+            assert got.columns == ["a", "b\nb", "c"] and (size > 3000 or got.rdd.getNumPartitions() > 4)
+            assert [list(x) for x in files.numbered(got, "row").orderBy("row").select("a", "`b\nb`", "c").collect()] == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_rows_are_numbered_without_gaps(spark):
     rows = spark.range(100, numPartitions=7).where("id % 3 <> 0 and id not between 20 and 45")
     got = [(r.id, r.n) for r in files.numbered(rows, "n").orderBy("n").collect()]
