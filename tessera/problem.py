@@ -256,13 +256,14 @@ final AS (SELECT record_id, e AS entity_status, CASE WHEN e IN ('verified', 'can
 
 # --- generated cases
 
-_POSITIVE = "exact_name|case_and_punctuation|legal_suffix_removed|alias|domain_only|ticker_exchange|strong_identifier|single_typo|cik_only|figi_only|ticker_only|conflicting_identifier|swapped_words|added_division|conflicting_country|historical_date"
-_NEGATIVE = "fictional_company|insufficient_information|invalid_ticker|generic_name|lookalike_name|private_company"
+_POSITIVE = ["exact_name", "case_and_punctuation", "legal_suffix_removed", "alias", "domain_only", "ticker_exchange", "strong_identifier", "single_typo", "cik_only", "figi_only", "ticker_only", "conflicting_identifier", "swapped_words", "added_division", "conflicting_country", "historical_date"]
+_NEGATIVE = ["fictional_company", "insufficient_information", "invalid_ticker", "generic_name", "lookalike_name", "private_company"]
+_POSITIVE_SQL, _NEGATIVE_SQL = (f"[{', '.join(repr(x) for x in kinds)}]" for kinds in (_POSITIVE, _NEGATIVE))
 _DRAW = "CAST('0x' || substr(md5('1:{what}:' || i), 1, 13) AS BIGINT)"
 GENERATED = rf"""
 WITH src AS (SELECT ord, canonical_name AS k, list_filter(list_transform(string_split(coalesce(aliases, ''), '|'), lambda x: trim(x)), lambda x: x <> '') AS al, internal_security_id AS sid FROM ({duck(MASTER)})), {M},
 g AS (SELECT i, i % 4 <> 3 AS pos, CASE WHEN i % 4 <> 3 THEN i - i // 4 ELSE i // 4 END AS turn FROM range(4000) AS t(i)),
-c AS (SELECT i, pos, CASE WHEN pos THEN string_split('{_POSITIVE}', '|')[(turn % 16 + 1)::INT] ELSE string_split('{_NEGATIVE}', '|')[(turn % 6 + 1)::INT] END AS c,
+c AS (SELECT i, pos, CASE WHEN pos THEN {_POSITIVE_SQL}[(turn % 16 + 1)::INT] ELSE {_NEGATIVE_SQL}[(turn % 6 + 1)::INT] END AS c,
     CASE WHEN pos THEN (SELECT min(ord) FROM src) + {_DRAW.format(what="entity")} % (SELECT count(*) FROM src) END AS ord FROM g),
 j AS (SELECT c.i, c.pos, c.c, src.k, src.al, src.sid, m.* EXCLUDE (ord), regexp_replace(regexp_replace(src.k, '(?i)\b(?:incorporated|corporation|company|limited|holdings|group|inc|corp|co|llc|ltd|plc)\.?$', ''), '^[ ,.]+|[ ,.]+$', '', 'g') AS bare,
     regexp_split_to_array(src.k, '\s+') AS w FROM c LEFT JOIN src USING (ord) LEFT JOIN m USING (ord)),
@@ -272,10 +273,10 @@ SELECT 'bench-' || lpad(i::VARCHAR, 9, '0') AS record_id,
   CASE WHEN c IN ('domain_only', 'ticker_exchange', 'ticker_only', 'cik_only', 'figi_only') THEN NULL WHEN c = 'case_and_punctuation' THEN regexp_replace(replace(upper(k), 'AND', '&'), '\s+', '  ', 'g') || '.' WHEN c = 'legal_suffix_removed' THEN short
     WHEN c = 'alias' THEN coalesce(al[({_DRAW.format(what="alias")} % greatest(len(al), 1) + 1)::INT], short)
     WHEN c = 'single_typo' THEN array_to_string(list_transform(w, lambda x, p: CASE WHEN p = at_ AND length(x) >= 2 THEN substr(x, 1, greatest(length(x) // 2 - 1, 0)) || substr(x, greatest(length(x) // 2 - 1, 0) + 2, 1) || substr(x, greatest(length(x) // 2 - 1, 0) + 1, 1) || substr(x, greatest(length(x) // 2 - 1, 0) + 3) ELSE x END), ' ')
-    WHEN c = 'swapped_words' THEN array_to_string(list_reverse(w), ' ') WHEN c = 'added_division' THEN k || ' ' || ['Cloud Division', 'Payments Unit', 'North America'][({_DRAW.format(what="division")} % 3 + 1)::INT] WHEN c = 'strong_identifier' THEN CASE WHEN coalesce(cik, lei, figi) IS NULL THEN k END WHEN pos THEN k
-    WHEN c = 'fictional_company' THEN 'Northstar Fictional Industries ' || i || ' LLC' WHEN c = 'insufficient_information' THEN ['Company', 'Holdings'][(i % 2 + 1)::INT] WHEN c = 'generic_name' THEN ['Global Services Group', 'National Bank'][(i % 2 + 1)::INT]
-    WHEN c = 'lookalike_name' THEN 'Lookalike Tours ' || i WHEN c = 'private_company' THEN 'Harborview Family Office ' || i END AS entity_name,
-  CASE WHEN c IN ('domain_only', 'conflicting_identifier') THEN domain WHEN c = 'fictional_company' THEN 'northstar-fictional-' || i || '.example' WHEN c = 'private_company' THEN 'harborview-private-' || i || '.example' END AS domain,
+    WHEN c = 'swapped_words' THEN array_to_string(list_reverse(w), ' ') WHEN c = 'added_division' THEN k || ' ' || ['Machine Works', 'Lending Desk', 'Nordic Region'][({_DRAW.format(what="division")} % 3 + 1)::INT] WHEN c = 'strong_identifier' THEN CASE WHEN coalesce(cik, lei, figi) IS NULL THEN k END WHEN pos THEN k
+    WHEN c = 'fictional_company' THEN 'Quillmere Invented Works ' || i || ' LLC' WHEN c = 'insufficient_information' THEN ['Company', 'Holdings'][(i % 2 + 1)::INT] WHEN c = 'generic_name' THEN ['United Trading Group', 'Central Bank'][(i % 2 + 1)::INT]
+    WHEN c = 'lookalike_name' THEN 'Lookalike Bakery ' || i WHEN c = 'private_company' THEN 'Dunlow Private Estate ' || i END AS entity_name,
+  CASE WHEN c IN ('domain_only', 'conflicting_identifier') THEN domain WHEN c = 'fictional_company' THEN 'quillmere-invented-' || i || '.example' WHEN c = 'private_company' THEN 'dunlow-estate-' || i || '.example' END AS domain,
   CASE WHEN c = 'invalid_ticker' THEN 'ZZ' || lpad((i % 1000)::VARCHAR, 3, '0') WHEN traded THEN ticker END AS ticker, CASE WHEN c = 'invalid_ticker' THEN 'NASDAQ' WHEN traded AND c <> 'ticker_only' THEN exchange END AS exchange,
   CASE WHEN c = 'conflicting_identifier' THEN lpad(({_DRAW.format(what="cik")} % 1000000000)::VARCHAR, 10, '9') WHEN has_ids AND c <> 'figi_only' THEN cik END AS cik, CASE WHEN has_ids AND c NOT IN ('cik_only', 'figi_only') AND (c <> 'strong_identifier' OR cik IS NULL) THEN lei END AS lei,
   CASE WHEN has_ids AND c <> 'cik_only' AND (c <> 'strong_identifier' OR coalesce(cik, lei) IS NULL) THEN figi END AS figi, NULL::VARCHAR AS isin, NULL::VARCHAR AS cusip,
