@@ -254,6 +254,35 @@ final AS (SELECT record_id, e AS entity_status, CASE WHEN e IN ('verified', 'can
 )
 
 
+# --- candidates of two sources, one of either for each record
+
+_SIDE = """SELECT k, '{side}:' || cast(k AS string) AS entity_id, {name} AS name, {cik} AS cik, {lei} AS lei, {domain} AS domain, {ticker} AS ticker, {country} AS country, {rank} AS rank, {figi} AS figi, {s_ticker} AS s_ticker, {s_exchange} AS s_exchange
+FROM (SELECT cast(c_custkey AS bigint) AS k, cast(c_custkey AS string) AS t FROM {{customer}}) c"""
+TWO_SOURCES = {
+    "a": _SIDE.format(
+        side="a", name="'alpha ' || t", cik="CASE WHEN k % 2 = 0 THEN 'c' || t END", lei="CASE WHEN k % 3 = 0 THEN 'l' || t END", domain="CASE WHEN k % 5 < 3 THEN 'd' || t END", ticker="CASE WHEN k % 4 = 1 THEN 't' || t END", country="CASE WHEN k % 7 = 0 THEN 'US' END", rank="2",
+        figi="CASE WHEN k % 2 = 0 THEN 'f' || t END", s_ticker="CASE WHEN k % 5 <> 4 THEN 's' || t END", s_exchange="CASE k % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'NYSE' END",
+    ),
+    "b": _SIDE.format(
+        side="b", name="CASE WHEN k % 11 < 7 THEN 'alpha ' || t ELSE 'qqq www' END", cik="CASE WHEN k % 12 IN (0, 2, 6) THEN 'c' || t WHEN k % 12 IN (4, 5) THEN 'x' || t END", lei="CASE WHEN k % 9 = 0 THEN 'l' || t WHEN k % 9 IN (3, 4) THEN 'm' || t END",
+        domain="CASE WHEN k % 10 IN (0, 1, 7) THEN 'd' || t WHEN k % 10 IN (2, 3) THEN 'e' || t END", ticker="CASE WHEN k % 8 = 1 THEN 't' || t WHEN k % 8 = 2 THEN 'u' || t END", country="CASE WHEN k % 14 < 9 THEN 'DE' END", rank="CASE WHEN k % 13 = 0 THEN 1 ELSE 3 END",
+        figi="CASE WHEN k % 8 = 0 THEN 'f' || t WHEN k % 8 = 2 THEN 'g' || t END", s_ticker="CASE WHEN k % 10 < 6 THEN 's' || t END", s_exchange="CASE k % 4 WHEN 1 THEN 'LSE' WHEN 2 THEN 'NYSE' END",
+    ),
+}
+TWO_MERGED = f"""WITH a AS ({duck(TWO_SOURCES["a"])}), b AS ({duck(TWO_SOURCES["b"])}),
+j AS (SELECT a.k, a, b, coalesce(a.cik <> b.cik, false) OR coalesce(a.lei <> b.lei, false) AS quarrel, coalesce(a.cik = b.cik, false) OR coalesce(a.lei = b.lei, false) AS shared, a.name = b.name AS named, coalesce(a.ticker = b.ticker, false) OR coalesce(a.domain = b.domain, false) AS beside,
+  coalesce(a.cik, a.lei) IS NOT NULL AND coalesce(b.cik, b.lei) IS NOT NULL AS known, a.rank <= b.rank AS first FROM a JOIN b USING (k)),
+w AS (SELECT *, NOT quarrel AND named AND (shared OR known OR beside) AS one, CASE WHEN first THEN a ELSE b END AS x, CASE WHEN first THEN b ELSE a END AS y, coalesce(a.figi = b.figi, false) AS listed,
+  coalesce(a.s_ticker = b.s_ticker, false) AS traded, coalesce(a.cik = b.cik, false) OR coalesce(a.lei = b.lei, false) OR named AS issuer FROM j),
+v AS (SELECT *, coalesce(a.figi = b.figi, true) AND (listed OR traded AND issuer AND (a.s_exchange IS NULL OR b.s_exchange IS NULL OR a.s_exchange = b.s_exchange OR a.s_exchange = 'US' OR b.s_exchange = 'US')) AS one_listing FROM w),
+entities AS (SELECT CAST(k AS VARCHAR) AS record_id, x.entity_id AS entity_id, left(x.entity_id, 1) || '+' || left(y.entity_id, 1) AS sources, coalesce(x.cik, y.cik) AS cik, coalesce(x.lei, y.lei) AS lei, coalesce(x.ticker, y.ticker) AS ticker, coalesce(x.domain, y.domain) AS domain, coalesce(x.country, y.country) AS country, CAST(1 AS BIGINT) AS n_aliases FROM v WHERE one
+  UNION ALL SELECT CAST(k AS VARCHAR), a.entity_id, 'a', a.cik, a.lei, a.ticker, a.domain, a.country, 0 FROM v WHERE NOT one UNION ALL SELECT CAST(k AS VARCHAR), b.entity_id, 'b', b.cik, b.lei, b.ticker, b.domain, b.country, 0 FROM v WHERE NOT one),
+listings AS (SELECT k, one, x.entity_id AS merged, 's:' || x.entity_id AS security_id, x.entity_id AS issuer_id, left(x.entity_id, 1) || '+' || left(y.entity_id, 1) AS sources, coalesce(x.figi, y.figi) AS figi, coalesce(x.s_ticker, y.s_ticker) AS ticker, coalesce(x.s_exchange, y.s_exchange) AS exchange FROM v WHERE one_listing
+  UNION ALL SELECT k, one, x.entity_id, 's:' || a.entity_id, a.entity_id, 'a', a.figi, a.s_ticker, a.s_exchange FROM v WHERE NOT one_listing UNION ALL SELECT k, one, x.entity_id, 's:' || b.entity_id, b.entity_id, 'b', b.figi, b.s_ticker, b.s_exchange FROM v WHERE NOT one_listing),
+securities AS (SELECT CAST(k AS VARCHAR) AS record_id, security_id, CASE WHEN one THEN merged ELSE issuer_id END AS issuer_id, sources, figi, ticker, exchange FROM listings),
+touching AS (SELECT k, shared OR named OR beside OR listed OR traded AS shares FROM v)"""
+
+
 # --- generated cases
 
 _POSITIVE = ["exact_name", "case_and_punctuation", "legal_suffix_removed", "alias", "domain_only", "ticker_exchange", "strong_identifier", "single_typo", "cik_only", "figi_only", "ticker_only", "conflicting_identifier", "swapped_words", "added_division", "conflicting_country", "historical_date"]

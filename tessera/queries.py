@@ -7,11 +7,13 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import from_arrow_type
+
 from tessera import problem as P
 from tessera.functions import normalize as N
 from tessera.functions import temporal as T
 from tessera.functions.similarity import token_jaccard, with_similarity
-from tessera.operators import blocking, conflicts, evaluate, generate, graph, periods, rules, scoring
+from tessera.operators import blocking, conflicts, evaluate, generate, graph, periods, reconcile, rules, scoring
 from tessera.plans import resolve as plan
 from tessera.plans import results
 from tessera.plans.tables import cut
@@ -290,6 +292,44 @@ def security_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where("place = 1").select("record_id", F.col("s_security_id").alias("security_id"), "confidence", close.alias("ambiguous"))
 
 
+# --- candidates of two sources
+
+
+def _two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A candidate of either source for each customer, with a listing: they share keys, lack them or contradict each other in turn."""
+    struct = lambda kind, given: F.struct(*[given.get(f.name, F.lit(None)).cast(from_arrow_type(f.type)).alias(f.name) for f in kind])
+    periods_ = F.array().cast(T.PERIODS)
+
+    sides = []
+    for n, side in enumerate("ab"):
+        d = P.raw(spark, sf_dir, P.TWO_SOURCES[side])
+        e = {f: F.col(f) for f in ("entity_id", "cik", "lei", "ticker", "domain", "country", "rank")} | {"canonical_name": F.col("name"), "provider": F.lit(side), "sources": F.array(F.lit(side)), "names": F.array("name"), "aliases": F.array().cast("array<string>"), "entity_periods": periods_}
+        s = {f: F.col(f) for f in ("figi", "rank")} | {
+            "security_id": F.concat(F.lit("s:"), "entity_id"), "issuer_id": F.col("entity_id"), "issuer_cik": F.col("cik"), "issuer_lei": F.col("lei"), "issuer_name": F.col("name"), "provider": F.lit(side), "sources": F.array(F.lit(side)), "ticker": F.col("s_ticker"), "exchange": F.col("s_exchange"),
+            "security_periods": periods_,
+        }
+        sides.append(d.select(F.col("k").cast("string").alias("record_id"), F.lit(n).alias("ordinal"), struct(reconcile.ENTITY, e).alias("entity"), F.array(struct(reconcile.SECURITY, s)).alias("securities")))
+    return sides[0].unionByName(sides[1])
+
+
+@query(P.TWO_MERGED + " SELECT record_id, entity_id, sources, cik, lei, ticker, domain, country, n_aliases FROM entities")
+def reconciled_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = reconcile.reconcile(_two_sources(spark, sf_dir)).select("record_id", F.explode("entities").alias("e"))
+    return out.select("record_id", "e.entity_id", F.array_join("e.sources", "+").alias("sources"), "e.cik", "e.lei", "e.ticker", "e.domain", "e.country", F.size("e.aliases").cast("long").alias("n_aliases"))
+
+
+@query(P.TWO_MERGED + " SELECT record_id, security_id, issuer_id, sources, figi, ticker, exchange FROM securities")
+def reconciled_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = reconcile.reconcile(_two_sources(spark, sf_dir)).select("record_id", F.explode("securities").alias("s"))
+    return out.select("record_id", "s.security_id", "s.issuer_id", F.array_join("s.sources", "+").alias("sources"), "s.figi", "s.ticker", "s.exchange")
+
+
+@query(P.TWO_MERGED + " SELECT NOT shares AS apart, count(*) AS records FROM touching GROUP BY 1")
+def records_without_merging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records need no fold in Python."""
+    return reconcile.grouped(_two_sources(spark, sf_dir)).groupBy("apart").agg(F.count("*").alias("records"))
+
+
 # --- dates
 
 
