@@ -10,7 +10,8 @@ come from a text, and ``read_back`` undoes it. A conversation is gathered in two
 turn numbers first, so that the turns of a very long one do not all go to one task.
 
 Null roles and texts count as empty; null turns come first; equal turns are ordered by role, then text;
-a null conv_id is a conversation of its own; an empty table gives none. Other columns are ignored.
+a null conv_id is a conversation of its own; an empty table gives none. Other columns are ignored. A conversation is one row in the end, which
+bounds it to 2 GB of text; time grows with its turns.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 
 START, SEP, CUT, END = "<|im_start|>", "<|im_sep|>", "<|im_cut|>", "<|im_end|>\n"
-#: Turn numbers that one task of the first step gathers.
-TURNS = 256
+#: Turn numbers that one task of the first step gathers; turns whose places are summed together.
+TURNS, STEPS = 256, 256
 
 
 def escape(c):
@@ -97,9 +98,15 @@ def read_back(formatted: DataFrame) -> DataFrame:
     # what stands before a text: a block's end too, where a block begins after the first
     gap = lambda p, i: p["before"] + F.when((i > 0) & (p["before"] != len(CUT)), len(END)).otherwise(0)
     steps = F.transform("parts", lambda p, i: F.struct(gap(p, i).cast("long").alias("gap"), p["chars"].cast("long").alias("chars")))
+    rows = rows.withColumn("steps", steps)
+    # running sums in runs of STEPS, and sums of these: an array that grows is copied each time, so none grows long
+    runs = F.transform(F.sequence(F.lit(0), F.ceil((F.size("steps") - 1) / STEPS).cast("int")), lambda k: F.slice("steps", k * STEPS + 1, F.lit(STEPS)))
     empty = F.struct(F.array().cast("array<bigint>").alias("starts"), F.lit(0).cast("long").alias("end"))
-    starts = F.aggregate(steps, empty, lambda a, s: F.struct(F.array_append(a["starts"], a["end"] + s["gap"]).alias("starts"), (a["end"] + s["gap"] + s["chars"]).alias("end")))["starts"]
-    rows = rows.withColumn("starts", starts)
+    grow = lambda a, at, end: F.struct(F.array_append(a["starts"], at).alias("starts"), end.alias("end"))
+    summed = F.transform(runs, lambda run: F.aggregate(run, empty, lambda a, s: grow(a, a["end"] + s["gap"], a["end"] + s["gap"] + s["chars"])))
+    rows = rows.withColumn("runs", summed)
+    rows = rows.withColumn("before", F.aggregate("runs", empty, lambda a, r: grow(a, a["end"], a["end"] + r["end"]))["starts"])
+    rows = rows.withColumn("starts", F.flatten(F.zip_with("runs", "before", lambda r, b: F.transform(r["starts"], lambda x: x + b))))
     turn = lambda p, i: F.struct(p["role"], p["text"], F.get("starts", i).alias("start"), (F.get("starts", i) + p["chars"]).alias("end"), (p["role"] == "assistant").alias("loss"))
     return rows.select("conv_id", "formatted", F.transform("parts", turn).alias("turns"))
 

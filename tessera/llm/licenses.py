@@ -3,7 +3,8 @@
 A text is cut into sentences (at line ends, and at .!?;: before white space or the end), each normalised to
 lower-case ASCII letters and digits with single spaces. Known licence sentences have identifiers; they may go over
 line ends, but not over blank lines (without a letter or digit) or ends of sentences. Where two fit, the first and longer counts.
-"Licensed under" stands for the usual forms of a notice (NOTICE). Known sentences are looked up in a tree of their words, so that
+"Licensed under" stands for the usual forms of a notice (NOTICE), which may name several licences and go on after them ("see ..", "at your option").
+Files' SPDX expressions are read too; a licence's title counts where nothing else is said. Known sentences are looked up in a tree of their words, so that
 a text costs the same however many there are. The identifiers of a text, in order, are matched against ordered rules: a rule fits where its identifiers
 follow one another among the known sentences, and takes them, so that later rules do not see them.
 
@@ -58,6 +59,8 @@ RULES = (
     ("ALL-RIGHTS-RESERVED", ("reserved",), True),
 )
 _END, _LINE = "\x01", "\x02"
+#: Before the licences that a file is marked with.
+_MARK = f"spdx license identifier{_END}"
 
 #: Names after "licensed under", without "the": identifier.
 _NAMED = {
@@ -111,7 +114,8 @@ def _known() -> dict[str, str]:
     for i, name, short, v, date in _GNU:
         full = v if " " in v else f"{v} 0"
         forms = {f"{name} version {v}", f"{name} version {v} or later", f"{name} version {v} or any later version", f"{name} version {full}", f"{name} v{v}", f"{name} v{full}", f"{short} v{v}", f"{short}v{v}", f"{short} {v}", f"{short} {full}", f"{short} version {v}"}
-        out |= {f"licensed under {x}": i for x in forms}
+        forms |= {f"{x} or later" for x in forms if " or " not in x}
+        out |= {f"licensed under {x}": i for x in sorted(forms)}
         out |= {f"spdx license identifier{_END}{short} {full}{x}": i for x in ("", " only", " or later")}
         out[f"{name} version {v}{date.replace(',', '')}"] = i
         terms = f"you can redistribute it and or modify it under the terms of the {name} as published by the free software foundation"
@@ -123,18 +127,24 @@ def _known() -> dict[str, str]:
 
 
 KNOWN = _known()
-ALL_RULES = (
+_FITTING = (
     *(rule for short, name, v in (("gpl", "GPL-2.0", "2"), ("gpl", "GPL-3.0", "3"), ("lgpl", "LGPL-2.1", "2.1"), ("lgpl", "LGPL-3.0", "3"), ("agpl", "AGPL-3.0", "3")) for rule in [(name, (f"{short}-terms", f"version-{v}"), True)]),
     *RULES[:-1],
     ("BSD", ("reserved", "bsd"), False), ("BSD", ("bsd",), False), ("ISC", ("isc-grant",), False), ("ISC", ("isc",), False), ("MPL-2.0", ("mpl2",), False), ("CC0-1.0", ("cc0",), False), ("PUBLIC-DOMAIN", ("unlicense",), False), ("ZLIB", ("zlib-grant",), False), ("ZLIB", ("zlib",), False), ("BSL-1.0", ("boost",), False),
     ("LGPL-2.1", ("lgpl21",), True), ("LGPL-3.0", ("lgpl3",), True), ("AGPL-3.0", ("agpl3",), True),
     RULES[-1],
 )
-#: How a notice may begin.
+#: Reserved rights before a licence are those that it grants.
+ALL_RULES = (*(r for name, needed, strict in _FITTING[:-1] for r in ([] if needed[0] == "reserved" else [(name, ("reserved", *needed), strict)]) + [(name, needed, strict)]), _FITTING[-1])
+#: How a notice may begin: "this project is licensed under the terms of the ..".
 NOTICE = (
-    r"(?:(?:this|the) (?:file|software|project|work|code|source code|program|library|package|module|repository|document|documentation|page|content|material) is )?"
-    r"(?:licensed|released|distributed|available|made available|provided|published) under (?:the terms of )?(?:the )?"
+    r"(?:(?:(?:[a-z0-9]+ ){1,5}(?:is|are) )?(?:licensed|released|distributed|available|made available|provided|published) under (?:the terms of )?(?:the )?"
+    r"|use of this source code is governed by (?:an? |the )?)"
 )
+#: A notice may go on: with one of these words after a name, or with other names after or and and.
+_TAILS = "see|at|that|which|for|refer"
+#: Titles, which count if a text begins with one and says nothing else: identifier.
+TITLES = {"mit license": "mit", "apache license": "apache2", "isc license": "isc", "zlib license": "zlib", "boost software license": "boost", "mozilla public license": "mpl2", "bsd license": "bsd", "bsd 2 clause license": "bsd", "bsd 3 clause license": "bsd"}
 
 
 def word_tree(sentences: list[str], gap: str, end: str) -> str:
@@ -153,7 +163,7 @@ def word_tree(sentences: list[str], gap: str, end: str) -> str:
     return shape(tree, True)
 
 
-def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] = KNOWN, rules=ALL_RULES) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] = KNOWN, rules=ALL_RULES, titles: dict[str, str] = TITLES) -> DataFrame:
     """docs with n_sentences, sentence_ids (known ones, in order, joined by |), licenses (sorted, joined by |), restricted."""
     plain = F.translate(lower_ascii(F.coalesce(F.col(text), F.lit(""))), _LINE, " ")
     plain = F.regexp_replace(F.regexp_replace(plain, r"[.!?;:]+([ \t\n\r\f]|\z)", _END), r"\r\n?|\n", _LINE)
@@ -163,13 +173,35 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] = KNOWN,
     plain = F.concat(F.lit(_END), F.trim(F.regexp_replace(plain, rf" *{_LINE} *", _LINE)), F.lit(_END))
     short = {re.sub(rf"^{NOTICE}", "under ", s): i for s, i in sentences.items()}
     whole, gap, end = unused(docs, "plain"), f"[ {_LINE}]", f"(?=[{_END}{_LINE}])"
-    notices, others = [s.removeprefix("under ") for s in short if s.startswith("under ")], [s for s in short if not s.startswith("under ")]
-    ways = [NOTICE.replace(" ", gap) + word_tree(notices, gap, end)] * bool(notices) + [word_tree(others, gap, end)] * bool(others)
+    notices, marked = [s.removeprefix("under ") for s in short if s.startswith("under ")], [s.removeprefix(_MARK) for s in short if s.startswith(_MARK)]
+    others = [s for s in short if not s.startswith(("under ", _MARK))]
+    word, also = "(?![a-z0-9])", f"{gap}(?:and{gap}or|or|and){gap}(?:the{gap})?"
+    listed = lambda names, more: f"{names}{more}(?:{also}{names}{more})*"
+    ways = []
+    if notices:
+        tail = f"(?=[{_END}{_LINE}]|{gap}(?:{_TAILS.replace(' ', gap)})(?:{gap}|[{_END}{_LINE}]))"
+        ways.append(f"{NOTICE.replace(' ', gap)}(?:(?:either|both){gap}(?:of{gap})?(?:the{gap})?)?{listed(word_tree(notices, gap, word), '')}{tail}")
+    if marked:
+        ways.append(f"{_MARK.replace(' ', gap)}{listed(word_tree(marked, gap, word), f'(?:{gap}with(?:{gap}[a-z0-9]+){{1,5}}?)?')}{end}")
+    ways += [word_tree(others, gap, end)] * bool(others)
     shape = rf"(?<=[{_END}{_LINE}])(?:{'|'.join(ways)})"
     known = F.create_map(*[F.lit(x) for pair in short.items() for x in pair])
     docs = docs.withColumn(whole, plain)
     found = F.regexp_extract_all(whole, F.lit(shape), F.lit(0)) if short else F.array().cast("array<string>")
-    ids = F.transform(found, lambda s: known[F.regexp_replace(F.translate(s, _LINE, " "), f"^{NOTICE}", "under ")])
+    names = lambda s, words, before: F.transform(F.regexp_extract_all(s, F.lit(f"(?<![a-z0-9]){word_tree(words, ' ', '(?![a-z0-9])')}"), F.lit(0)), lambda n: known[F.concat(F.lit(before), n)])
+
+    def ids_of(s):
+        s = F.translate(s, _LINE, " ")
+        out = F.when(F.startswith(s, F.lit(_MARK)), names(F.substring(s, len(_MARK) + 1, 1 << 20), marked, _MARK)) if marked else F
+        if notices:
+            out = out.when(s.rlike(f"^{NOTICE}"), names(F.regexp_replace(s, f"^{NOTICE}", ""), notices, "under "))
+        return F.array(known[s]) if out is F else out.otherwise(F.array(known[s]))
+
+    ids = F.flatten(F.transform(found, ids_of))
+    if titles:
+        title = F.create_map(*[F.lit(x) for pair in titles.items() for x in pair])
+        alone = F.transform(F.regexp_extract_all(whole, F.lit(rf"(?<=^{_END}){word_tree(list(titles), gap, end)}"), F.lit(0)), lambda s: title[F.translate(s, _LINE, " ")])
+        ids = F.when(F.size(found) > 0, ids).otherwise(alone)
     parts = F.filter(F.split(whole, f"[{_END}{_LINE}]"), lambda s: F.trim(s) != "")
     docs = docs.withColumns({"n_sentences": F.size(parts).cast("long"), "sentence_ids": F.array_join(ids, "|")}).drop(whole)
     # every identifier has bars of its own, so that a rule's can't overlap with a neighbour's

@@ -40,6 +40,20 @@ def test_chat_round_trip_of_any_text(spark):
         assert (g.loss_chars, g.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_a_very_long_conversation_costs_its_turns(spark):
+    """Places are right over the ends of runs, and time is not that of the turns' square."""
+    import time
+
+    took = []
+    for n in (300, 50_000, 100_000):  # the first compiles
+        turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t<|"), F.col("id").cast("string")).alias("text"))
+        began = time.time()
+        x = chat.read_back(chat.format_conversations(turns)).first()
+        took.append(time.time() - began)
+        assert len(x.turns) == n and all(x.formatted[t.start : t.end] == f"t<\\|{i}" for i, t in enumerate(x.turns))
+    assert took[2] < 2.5 * took[1] + 3
+
+
 def test_chat_merges_turns_of_one_role(spark):
     rows = [(1, 0, "user", "a", 1), (1, 1, "user", "b", 1), (1, 500, "user", "c", 1), (1, 501, "assistant", "<|im_end|>", 1)]
     f = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, chunk int")).first().formatted

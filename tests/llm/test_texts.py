@@ -327,6 +327,18 @@ def test_licences_in_full(spark):
     assert got[7].n_sentences == 3 and got[9].n_sentences == 2 and got[5].n_sentences == 1
 
 
+def test_notices_that_go_on(spark):
+    rows = [
+        ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT", False, "mit"), ("Code is licensed under MIT.", "MIT", False, "mit"), ("MIT License", "MIT", False, "mit"), ("MIT License\n\nAll rights reserved.", "ALL-RIGHTS-RESERVED", True, "reserved"),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "Apache-2.0|MIT", False, "apache2|mit"), ("// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;", "Apache-2.0|MIT", False, "mit|apache2"),
+        ("Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "BSD", False, "bsd"), ("Copyright 2009 The Authors. All rights reserved.\nUse of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file.", "BSD", False, "reserved|bsd"),
+        ("All rights reserved. Licensed under the MIT License.", "MIT", False, "reserved|mit"), ("Licensed under the MIT License. All rights reserved.", "ALL-RIGHTS-RESERVED|MIT", True, "mit|reserved"), ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */", "BSD|GPL-2.0", True, "gpl2|bsd"),
+        ("SPDX-License-Identifier: MIT AND Unknown-1.0", "", False, ""), ("x\nMIT License", "", False, ""), ("This is not licensed under the MIT License.", "", False, ""), ("The licensed under the MIT Licensee", "", False, ""), ("It is licensed under the GPL v2 or later, at your option", "GPL-2.0", True, "gpl2"), ("dual licensed under MITX", "", False, ""),
+    ]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id int, text string")).collect()}
+    assert [(t, got[i].licenses, got[i].restricted, got[i].sentence_ids) for i, (t, *_) in enumerate(rows)] == rows
+
+
 ZLIB_TEXT = """This software is provided 'as-is', without any express or implied
 warranty. In no event will the authors be held liable for any damages
 arising from the use of this software.
