@@ -411,6 +411,57 @@ def test_acquisition(spark):
     assert short.chain.ids == ["brand", "new"] and short.relationship_status == "partial"
 
 
+def _edges(spark, of):
+    """(subject, direct) from subject: [(from, to, rank, trust, type)]."""
+    rows = [(k, e) for k, es in of.items() for e in sorted(es, key=lambda e: (e[2], e[4], e[1]))]
+    df = spark.createDataFrame([(k, i, *e, "source") for i, (k, e) in enumerate(rows)], "subject string, i int, from_id string, to_id string, rank int, trust string, type string, source string")
+    return df.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("i", "from_id", "to_id", "rank", "trust", "type", "source"))).alias("direct"))
+
+
+def test_parents_of_graphs_equal_those_of_all_paths(spark):
+    r = random.Random(41)
+    of = {}
+    for k in range(120):
+        n, way = r.randrange(2, 8), r.random() < 0.7
+        pairs = {(r.randrange(n), r.randrange(n)) for _ in range(r.randrange(1, 12))}
+        pairs = {(min(p), max(p)) for p in pairs if p[0] != p[1]} if way else {p for p in pairs if p[0] != p[1]}  # most lead one way
+        of[f"{k}:0"] = [(f"{k}:{a}", f"{k}:{b}", r.randrange(2, 5), r.choice(["authoritative", "supporting"]), r.choice(["BRAND", "owned_by"])) for a, b in pairs] or [("x", "y", 2, "supporting", "owned_by")]
+    df = _edges(spark, of)
+    for depth in (2, 8):
+        d, k = F.col("direct"), F.col("subject")
+        got = df.select(graph.best_parents(d, k, depth).alias("a"), graph.parents(graph.paths(d, k, depth)).alias("b"), graph.acyclic(d, depth).alias("one_way")).collect()
+        assert all(x.a == x.b for x in got) and 20 < sum(x.one_way for x in got) < 120
+
+
+def test_a_tower_of_diamonds_has_one_parent(spark):
+    """2 to the 20th paths."""
+    name = lambda i: "s" if i == 0 else f"n{i}"
+    edges = [e for i in range(20) for side in "lr" for e in ((name(i), f"{side}{i}", 2, "authoritative", "owned_by"), (f"{side}{i}", name(i + 1), 3 if side == "l" else 2, "authoritative", "owned_by"))]
+    x = _edges(spark, {"s": edges}).select(graph.best_parents(F.col("direct"), F.col("subject"), 40).alias("p")).first().p
+    assert [(p.parent_id, p.direct_id, p.unverified, p.rank) for p in x] == [("n20", "l0", 0, 2)]  # the first step is the least of those that lead there equally well
+
+
+def test_records_that_share_nothing_are_folded_by_expressions(spark):
+    """The same as the fold in Python gives, of candidates of all kinds."""
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    r = random.Random(43)
+    pick = lambda p, i: r.choice([None, f"{p}{i}", f"{p}{r.randrange(3)}"])
+    rows = []
+    for k in range(150):
+        for o in range(r.randrange(1, 4)):
+            e = dict.fromkeys(f.name for f in reconcile.ENTITY) | {"entity_id": f"e{k}.{o}", "provider": r.choice("pq"), "rank": r.randrange(2, 5), "sources": ["p"], "names": [f"name {r.randrange(50)}"], "aliases": [], "entity_periods": [], **{f: pick(f, o + 10) for f in ("cik", "lei", "ticker", "domain")}}
+            s = [dict.fromkeys(f.name for f in reconcile.SECURITY) | {"security_id": f"s{k}.{o}.{i}", "issuer_id": r.choice([f"e{k}.{o}", f"e{k}.0", "other"]), "issuer_cik": e["cik"], "issuer_name": r.choice([None, e["names"][0]]), "rank": 2, "sources": ["p"], "security_periods": [], **{f: pick(f, o * 5 + i + 10) for f in ("figi", "ticker", "exchange")}} for i in range(r.randrange(0, 3))]
+            rows.append((str(k), o, e, s))
+    kind = f"record_id string, ordinal int, entity {from_arrow_type(reconcile.ENTITY).simpleString()}, securities array<{from_arrow_type(reconcile.SECURITY).simpleString()}>"
+    df = spark.createDataFrame([(k, o, tuple(e.values()), [tuple(x.values()) for x in s]) for k, o, e, s in rows], kind)
+    got = {x.record_id: x.asDict(True) for x in reconcile.reconcile(df).collect()}
+    apart = {x.record_id for x in reconcile.grouped(df).where("apart").collect()}
+    assert 15 < len(apart) < 140 and len(got) == 150
+    for k in got:
+        assert got[k] == reconcile._merged([{"record_id": k, "entity": e, "securities": s} for i, _, e, s in rows if i == k]), k
+
+
 def test_cycles_against_brute_force(spark):
     """Long rings, rings that lines lead to and from, meeting rings, and random graphs."""
     r = random.Random(12)
