@@ -102,6 +102,31 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert {x.key for x in keys.where(url_filter.is_listed(levels, F.col("key"))).collect()} == {f"k{i}" for i in range(0, 20000, 37)}
 
 
+def test_parted_cascade_is_exact_over_its_universe(spark):
+    keys = spark.range(20000).selectExpr("concat('k', id) as key")
+    listed = spark.range(0, 30000, 7).selectExpr("concat('k', id) as key")
+    asked = keys.union(keys.where("key = 'k7'").selectExpr("explode(sequence(1, 3000)) as i", "key").select("key"))  # a hot key
+    for per in (100, 1_000_000):
+        table = url_filter.parted_cascade(asked, listed.union(listed.limit(5)), per)
+        assert table.parts == (43 if per == 100 else 1) and len(table.levels) > 2 and table.filters.count() == table.parts
+        got = [x.key for x in table.listed(asked, "key").collect()]
+        assert len(got) == len(set(got)) + 3000 and set(got) == {f"k{i}" for i in range(0, 20000, 7)}
+
+
+def test_rules_as_a_table_of_any_length(spark):
+    rules = spark.range(3000).selectExpr("case when id % 3 = 0 then 'allow' else 'block' end as action", "concat('h', id, '.com') as host", "case when id % 2 = 0 then '/a' end as path", "id as extra")
+    rules = rules.union(spark.createDataFrame([("block", None, "/a", 1), ("other", "h9000.com", "", 1), (None, "h9001.com", "", 1), ("block", "", "", 1), ("block", "h1.com", "", 1)], "action string, host string, path string, extra long"))
+    urls = [f"http://{w}h{i}.com{p}" for i in [*range(0, 3000, 101), 9000, 9001] for w in ("", "www.", "x") for p in ("", "/a/b", "/b")] + [None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    plain = [(x.action, x.host, x.path or "") for x in rules.collect() if x.host and x.action in ("block", "allow")]
+    want = {i: brute_url(u, plain) for i, u in enumerate(urls)}
+    for most in (1, 1500, 1_000_000):
+        got = url_filter.filter_urls(pages, rules, most=most)
+        assert {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in got.collect()} == want
+    assert {x.verdict for x in url_filter.filter_urls(pages, rules.where("false")).collect()} == {"allow"}
+    assert url_filter.filter_urls(pages.where("false"), rules, most=1).count() == 0
+
+
 # --- decontamination
 
 
