@@ -45,6 +45,12 @@ def release(*tables: DataFrame | None) -> None:
         _remove(getattr(t, "_tessera_path", None))
 
 
+def release_of(spark: SparkSession) -> None:
+    """Removes the tables that plans of one session made, as a micro-batch has its own."""
+    for path in [p for p, s in _held.items() if s is spark]:
+        _remove(path)
+
+
 def clear() -> None:
     """Removes all tables that cut made: when results are written."""
     for path in list(_held):
