@@ -1,8 +1,8 @@
 """Records resolved as they arrive, and again when rules or overrides that came later decide them otherwise.
 
 Each micro-batch is one folder of results and one of records, named by the batch's number: a batch that is repeated after a failure
-replaces its own folders, so each counts once. ``latest`` gives a record's last result. A batch of which the rules differ from the last
-batch's looks at all records so far, and resolves those again that another rule decides now.
+replaces its own folders, so each counts once. ``latest`` gives a record's last result. Each batch looks at all records so far, and
+resolves those again that another rule decides now.
 
 In one batch a record is resolved once: of rows with its id, the greatest counts; rows without an id are left to the reader of the files.
 """
