@@ -42,7 +42,7 @@ def may_reach(left: Column, right: Column, floor: float = FLOOR) -> Column:
 
 
 @F.pandas_udf(DoubleType())
-def _similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+def similarity_of(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([similarity(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
@@ -50,6 +50,6 @@ def with_similarity(pairs: DataFrame, left: str, right: str, name: str = "simila
     """pairs with a similarity; it is computed once for each distinct pair of different names that may reach FLOOR."""
     a, b = F.col(left), F.col(right)
     differ = pairs.where((a != b) & may_reach(a, b)).select(a.alias("_a"), b.alias("_b")).distinct()
-    values = differ.select("_a", "_b", _similarity("_a", "_b").alias("_s"))
+    values = differ.select("_a", "_b", similarity_of("_a", "_b").alias("_s"))
     joined = pairs.join(values, (a == F.col("_a")) & (b == F.col("_b")), "left")
     return joined.withColumn(name, F.when(a == b, 1.0).otherwise(F.coalesce("_s", F.lit(0.0)))).drop("_a", "_b", "_s")
