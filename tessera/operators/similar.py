@@ -165,6 +165,6 @@ def similar_names(left: DataFrame, right: DataFrame, floor: float = FLOOR) -> Da
     by = lambda side, p: side.select(F.col("name").alias(f"{p}_name"), F.col("form").alias(f"{p}_form"))
     near = _by_characters(*features, floor).join(by(forms[0], "left"), "left_form").join(by(forms[1], "right"), "right_form").select("left_name", "right_name")
     pairs = near.unionByName(_by_tokens(*names, floor)).distinct()
-    found = cut(pairs.withColumn("similarity", similarity_of(F.col("left_name"), F.col("right_name"))).where(F.col("similarity") >= floor - _SLACK))
+    found = cut(pairs.withColumn("similarity", similarity_of(F.col("left_name"), F.col("right_name"))).where(F.col("similarity") >= floor))
     release(*names, *features)
     return found

@@ -312,3 +312,33 @@ SELECT 'bench-' || lpad(i::VARCHAR, 9, '0') AS record_id,
   CASE WHEN c = 'conflicting_country' THEN CASE WHEN country = 'GB' THEN 'US' ELSE 'GB' END WHEN pos THEN country ELSE 'US' END AS country, CASE WHEN c = 'historical_date' THEN '1900-01-01' ELSE '2025-01-01' END AS observation_date, c AS category, entity_id AS expected_entity_id,
   parent_id AS expected_parent_entity_id, CASE WHEN pos THEN sid END AS expected_security_id, pos::VARCHAR AS expected_match FROM n
 """
+
+
+# --- name similarity for DuckDB, over pairs (a, b) of names of less than 200 characters
+
+
+def may_reach(a: str, b: str, ta: str, tb: str, floor: float) -> str:
+    """Whether lengths of the names or of their distinct tokens, or the tokens' Jaccard index, let a similarity reach the floor."""
+    fit = lambda x, y: f"2 * least(length({x}), length({y})) >= {floor} * (length({x}) + length({y}))"
+    joined = [f"array_to_string({t}, ' ')" for t in (ta, tb)]
+    return f"({fit(a, b)} OR {fit(*joined)} OR len(list_intersect({ta}, {tb})) >= {floor} * len(list_distinct(list_concat({ta}, {tb}))))"
+
+
+def similarities(pairs: str, floor: float) -> str:
+    """CTEs up to similarities(a, b, similarity) of distinct pairs: the tokens' Jaccard index, and the ratios of the names and of their sorted tokens. A ratio is counted only where lengths and counts
+    of characters let it reach the floor; a segment is parted at its longest common piece, the first of those in a and then in b."""
+    tokens = lambda c: f"list_sort(list_distinct(string_split({c}, ' ')))"
+    times = lambda c: f"length({c}) - length(replace({c}, ch, ''))"
+    return f"""WITH RECURSIVE pairs AS (SELECT DISTINCT a, b, {tokens("a")} AS ta, {tokens("b")} AS tb FROM ({pairs})),
+forms AS (SELECT a, b, 'whole' AS form, a AS x, b AS y FROM pairs UNION ALL SELECT a, b, 'sorted', array_to_string(ta, ' '), array_to_string(tb, ' ') FROM pairs),
+able AS (SELECT * FROM forms WHERE 2 * least(length(x), length(y)) >= {floor} * (length(x) + length(y))
+  AND 2 * list_sum(list_transform(list_distinct(string_split(x, '')), lambda ch: least({times("x")}, {times("y")}))) >= {floor} * (length(x) + length(y))),
+segments AS (SELECT a, b, form, x, y, 0 AS n, 0 AS i, 0 AS j, length(x) + length(y) AS size, TRUE AS whole FROM able
+  UNION ALL SELECT a, b, form, x, y, n, n * 1000 - best, CASE WHEN n > 0 THEN instr(y, substr(x, n * 1000 - best, n)) ELSE 0 END, size, FALSE FROM (
+    SELECT *, CAST(floor((best + 999) / 1000) AS INT) AS n FROM (
+      SELECT a, b, form, x, y, size, coalesce(list_max(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(range(1, length(x) - i + 2), lambda n: CASE WHEN contains(y, substr(x, i, n)) THEN n * 1000 - i ELSE 0 END)))), 0) AS best FROM (
+        SELECT a, b, form, size, CASE WHEN whole OR part = 0 THEN CASE WHEN whole THEN x ELSE left(x, i - 1) END ELSE substr(x, i + n) END AS x, CASE WHEN whole OR part = 0 THEN CASE WHEN whole THEN y ELSE left(y, j - 1) END ELSE substr(y, j + n) END AS y
+        FROM segments, (VALUES (0), (1)) AS parts(part) WHERE (whole AND part = 0) OR n > 0) WHERE x <> '' AND y <> ''))),
+ratios AS (SELECT a, b, max(ratio) AS ratio FROM (SELECT a, b, form, 2.0 * sum(n) / any_value(size) AS ratio FROM segments GROUP BY a, b, form) GROUP BY a, b),
+similarities AS (SELECT p.a, p.b, greatest(CAST(len(list_intersect(ta, tb)) AS DOUBLE) / len(list_distinct(list_concat(ta, tb))), coalesce(r.ratio, 0)) AS similarity FROM pairs p LEFT JOIN ratios r ON r.a = p.a AND r.b = p.b)
+"""

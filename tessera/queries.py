@@ -13,7 +13,7 @@ from tessera import problem as P
 from tessera.functions import normalize as N
 from tessera.functions import temporal as T
 from tessera.functions.similarity import token_jaccard, with_similarity
-from tessera.operators import blocking, conflicts, evaluate, generate, graph, periods, reconcile, rules, scoring
+from tessera.operators import blocking, conflicts, evaluate, generate, graph, periods, reconcile, rules, scoring, similar
 from tessera.plans import resolve as plan
 from tessera.plans import results
 from tessera.plans.tables import cut
@@ -174,14 +174,28 @@ def name_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(q, "p_partkey").select("p_partkey", F.round(token_jaccard(F.col("p_name"), F.col("other")), 6).alias("jaccard"))
 
 
-@query()
+_NEXT = "SELECT p.p_partkey, p.p_name || ' ' || p.p_brand AS a, q.p_name || ' ' || q.p_brand AS b FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1"
+
+
+@query(f"{P.similarities(_NEXT, 0)} SELECT n.p_partkey, CASE WHEN {P.may_reach('p.a', 'p.b', 'ta', 'tb', 0.75)} THEN round(similarity, 6) ELSE 0 END AS similarity FROM ({_NEXT}) n JOIN pairs p ON p.a = n.a AND p.b = n.b JOIN similarities s ON s.a = n.a AND s.b = n.b")
 def fuzzy_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of each part's name to the next one's where it may reach 0.75, below which nothing looks at it, and 0 elsewhere: a Python function, which tests hold against difflib."""
+    """Similarity of each part's name to the next one's where it may reach 0.75, below which nothing looks at it, and 0 elsewhere."""
     p = _table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" "), "p_brand").alias("name"))
     q = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("name").alias("other"))
     return with_similarity(p.join(q, "p_partkey"), "name", "other").select("p_partkey", F.round("similarity", 6).alias("similarity"))
 
 
+_TYPED = "SELECT DISTINCT lower(p_type || ' ' || p_name) AS name FROM {part}"
+_BRANDED = "SELECT DISTINCT p_name || ' ' || lower(p_type) || ' ' || lower(p_brand) AS name FROM {part} UNION SELECT DISTINCT substr(p_name, 2) || lower(p_type) FROM {part}"
+
+
+@query(f"{P.similarities(f'SELECT l.name AS a, r.name AS b FROM ({P.duck(_TYPED)}) l, ({P.duck(_BRANDED)}) r', 0.75)} SELECT a AS left_name, b AS right_name, round(similarity, 6) AS similarity FROM similarities WHERE similarity >= 0.75")
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of kinds' and brands' names of parts with a similarity of 0.75 or more."""
+    found = similar.similar_names(P.raw(spark, sf_dir, _TYPED), P.raw(spark, sf_dir, _BRANDED))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 # --- scoring and decisions, with the tokens' Jaccard index for similarity so that SQL can follow
 
 

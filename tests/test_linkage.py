@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import normalize as N
 from tessera.functions import temporal as T
 from tessera.functions.similarity import may_reach, similarity, with_similarity
-from tessera.operators import blocking, evaluate, generate, graph, periods, reconcile, rules, scoring
+from tessera.operators import blocking, evaluate, generate, graph, periods, reconcile, rules, scoring, similar
 from tessera.plans import resolve as plan
 from tessera.plans import results
 from tessera.plans.tables import cut
@@ -738,3 +738,38 @@ def test_a_hot_key_is_few_rows_of_a_timeline(spark):
     got = periods.as_of(left, right, ["k"], "day", "since", ["v"])
     assert got.agg(F.count("*").alias("n"), F.count("v").alias("v")).first()[:] == (2_000_000, 2_000_000)
     assert "BroadcastNestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+
+
+# --- all pairs of similar names
+
+
+def test_similar_names_against_all_pairs(spark):
+    """Every pair above a floor, whatever the floor, with equal, empty, repeated, long and short names, letters beyond ASCII, and tokens in another order."""
+    r = random.Random(12)
+    words = ["".join(r.choice("eeetaaonishrdlcumwfgypbvkxqjz019é") for _ in range(r.choice([1, 2, 3, 5, 8]))) for _ in range(40)]
+    name = lambda: " ".join(r.choice(words) for _ in range(r.choice([1, 2, 3, 4])))
+
+    def damaged(n):
+        at = r.randrange(len(n))
+        return r.choice([n[:at] + n[at + 1 :], n[:at] + r.choice("ab 😀") + n[at:], " ".join(reversed(n.split())), n + " " + r.choice(words)])
+
+    left = [name() for _ in range(120)] + ["a", "aa", "x" * 300, "ab " * 70 + "c"]
+    right = [damaged(r.choice(left)) for _ in range(120)] + left[:5] + ["a", "x" * 290, "ab " * 70]
+    a = spark.createDataFrame([(n, i) for i, n in enumerate([*left, left[0], "", "  ", None])], "name string, left_name long")
+    b = spark.createDataFrame([(n,) for n in [*right, "", None, right[0]]], "name string")
+    kept = sorted({n for n in right if n.strip()})
+    for floor in (0.6, 0.75, 0.9, 1.0):
+        got = sorted(map(tuple, similar.similar_names(a, b, floor).collect()))
+        assert got == sorted((x, y, s) for x in set(left) for y in kept if (s := similarity(x, y)) >= floor)
+    assert similar.similar_names(a.limit(0), b).count() == 0
+    with pytest.raises(ValueError):
+        similar.similar_names(a, b, 0)
+
+
+def test_similar_names_compare_no_side_with_all_of_the_other(spark):
+    n = 3000
+    side = lambda k: spark.range(n).select(F.md5(F.concat(F.lit(k), F.col("id").cast("string"))).alias("name"))
+    features = [similar._features(similar._forms(side(k))) for k in "ab"]
+    met = similar._by_characters(*features, 0.9)
+    plan_text = met._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan_text and "NestedLoop" not in plan_text
