@@ -17,7 +17,7 @@ from tessera.operators import blocking, conflicts, evaluate, generate, graph, pe
 from tessera.plans import resolve as plan
 from tessera.plans import results
 from tessera.plans.tables import cut
-from tessera.sources import files, master, relationships, snapshots
+from tessera.sources import files, master, profiles, relationships, snapshots
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -111,6 +111,28 @@ def profile_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.profile(P.raw(spark, sf_dir, P.RECORDS).select("record_id", "entity_name", "domain", "cik", "ticker", "lei", "country"))
 
 
+_SKETCHED = ("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_extendedprice")
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS missing, count({c}) AS n_numbers, TRUE AS distinct_near, TRUE AS top_near, TRUE AS median_near FROM lineitem" for c in _SKETCHED if c != "l_returnflag")
+    + " UNION ALL SELECT 'l_returnflag', count(*), count(*) - count(l_returnflag), 0, TRUE, TRUE, TRUE FROM lineitem"
+)
+def profile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of line items by year, merged; distinct counts within 7%, the most frequent values' counts within 1 / (0.75 * TRACKED) of all, medians' ranks within 5% of exact ones."""
+    items = _table(spark, sf_dir, "lineitem").select(*_SKETCHED, F.year("l_shipdate").alias("year"))
+    found = profiles.report(profiles.merge(profiles.sketch(items, ["year"])), 1)
+    values = items.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v"), F.expr(f"try_cast({c} AS double)").alias("x")) for c in _SKETCHED])).alias("e")).select("e.*")
+    middle = found.select(F.col("column").alias("name"), F.get("number_quantiles", F.lit(1)).alias("m"))
+    counts = values.groupBy("name", "v", "x").agg(F.count("v").alias("n")).join(middle, "name", "left")
+    exact = counts.groupBy("name").agg(F.count_if(F.col("n") > 0).alias("d"), F.max("n").alias("most"), F.sum(F.when(F.col("x") < F.col("m"), F.col("n")).otherwise(0)).alias("below"), F.sum(F.when(F.col("x") <= F.col("m"), F.col("n")).otherwise(0)).alias("upto"))
+    off = F.col("rows") / (0.75 * profiles.TRACKED)
+    count = F.coalesce(F.get("top", F.lit(0))["count"], F.lit(0))
+    median = F.col("n_numbers").eqNullSafe(0) | ((F.col("below") <= 0.55 * F.col("n_numbers")) & (F.col("upto") >= 0.45 * F.col("n_numbers")))
+    near = {"distinct_near": F.abs(F.col("distinct") - F.col("d")) <= 0.07 * F.col("d"), "top_near": F.abs(count - F.col("most")) <= off, "median_near": median}
+    return found.join(exact, F.col("column") == F.col("name")).select("column", "rows", "missing", "n_numbers", *[v.alias(k) for k, v in near.items()])
+
+
 @query("SELECT o_orderkey AS \"row\", substr(sha256('orders.csv:' || CAST(o_orderkey AS VARCHAR)), 1, 20) AS record_id, 'orders.csv' AS source, o_orderpriority AS entity_name FROM orders")
 def map_default_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")

@@ -15,7 +15,7 @@ from tessera.operators import blocking, evaluate, generate, graph, periods, reco
 from tessera.plans import resolve as plan
 from tessera.plans import results
 from tessera.plans.tables import cut
-from tessera.sources import files, master, relationships, sinks, snapshots
+from tessera.sources import files, master, profiles, relationships, sinks, snapshots
 
 
 def one(spark, f, *values):
@@ -773,3 +773,35 @@ def test_similar_names_compare_no_side_with_all_of_the_other(spark):
     met = similar._by_characters(*features, 0.9)
     plan_text = met._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan_text and "NestedLoop" not in plan_text
+
+
+# --- profiles in sketches
+
+
+def test_sketches_merge_to_what_the_whole_table_gives(spark):
+    r = random.Random(3)
+    rows = [(f"s{i % 3}", "hot" if i % 3 else f"v{r.randrange(700)}", str(r.randrange(1000)) if i % 10 else None, "x" * (i % 50)) for i in range(6000)]
+    t = spark.createDataFrame(rows, "source string, v string, x string, rows string")
+    whole = {x.column: x for x in profiles.report(profiles.merge(profiles.sketch(t, ["source"])), 3).collect()}
+    assert set(whole) == {"v", "x", "rows"}
+    for at, c in ((1, "v"), (2, "x"), (3, "rows")):
+        known = [x[at] for x in rows if x[at]]
+        g = whole[c]
+        assert (g["rows"], g.missing, g.shortest, g.longest) == (6000, 6000 - len(known), min(map(len, known)), max(map(len, known)))
+        assert abs(g.distinct - len(set(known))) <= 0.07 * len(set(known))
+        lengths = sorted(map(len, known))
+        for q, got in zip((0.25, 0.5, 0.75), g.length_quantiles, strict=True):
+            assert sum(n < got for n in lengths) <= (q + 0.05) * len(lengths) and sum(n <= got for n in lengths) >= (q - 0.05) * len(lengths)
+    assert whole["v"].top[0].item == "hot" and abs(whole["v"].top[0]["count"] - 4000) <= 6000 / 768
+    assert whole["x"].n_numbers == 5400 and 450 <= whole["x"].number_quantiles[1] <= 550 and whole["v"].number_quantiles is None
+    by = {(x.source, x.column): x["rows"] for x in profiles.sketch(t, ["source"]).collect()}
+    assert by["s0", "v"] == 2000 and len(by) == 9
+
+
+def test_sketches_of_little(spark):
+    t = spark.createDataFrame([(None, "", "a" * 5000), (None, "", "a" * 4999 + "b"), (None, "NaN", None)], "a string, b string, `c.d` string")
+    got = {x.column: x for x in profiles.report(profiles.sketch(t)).collect()}
+    assert (got["a"].missing, got["a"].distinct, got["a"].top, got["a"].length_quantiles, got["a"].longest) == (3, 0, [], None, None)
+    assert (got["b"].missing, got["b"].n_numbers, got["b"].top[0].item) == (2, 0, "NaN")
+    assert got["c.d"].distinct == 2 and len(got["c.d"].top) == 2 and max(len(x.item) for x in got["c.d"].top) < 300
+    assert profiles.report(profiles.sketch(t.limit(0))).count() == 0
