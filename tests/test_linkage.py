@@ -50,7 +50,17 @@ def test_identifiers_and_places(spark):
 
 
 def test_dates(spark):
-    assert one(spark, N.parse_date, "2025-01-05", "2025-1-5", "20250105", "2025-01-05T10:00", "2025-02-30", None) == [day("2025-01-05"), None, None, day("2025-01-05"), None, None]
+    assert one(spark, N.parse_date, "2025-01-05", "2025-1-5", "20250105", "2025-01-05T10:00", "2025-02-30", None) == [day("2025-01-05"), None, day("2025-01-05"), day("2025-01-05"), None, None]
+    weeks = [f"{y}-W{w:02}" for y in (2015, 2020, 2021, 2024, 2026) for w in (0, 1, 2, 30, 52, 53, 54)]
+    short = [*weeks, *(f"{w}-{d}" for w in weeks for d in (0, 1, 4, 7, 8)), *(f"{w}{d}".replace("-", "") for w in weeks for d in (1, 7)), *(w.replace("-", "") for w in weeks), "20240229", "20230229", "2025-W017", "2025W01-7", "20250105\n", "2025-W01 ", "202501", "2025010"]
+
+    def python(x):
+        try:
+            return datetime.date.fromisoformat(x)
+        except ValueError:
+            return None
+
+    assert one(spark, N.parse_date, *short) == [python(x) for x in short]
     assert one(spark, lambda c: N.parse_date(c, "%d-%m-%Y"), "03-04-2025", "x") == [day("2025-04-03"), None]
 
 
