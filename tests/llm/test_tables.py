@@ -93,6 +93,17 @@ def test_urls_against_brute_force(spark):
     assert {x.verdict for x in url_filter.filter_urls(pages, []).collect()} == {"allow"}
 
 
+def test_query_judges_by_the_rules_of_its_contract(spark, tmp_path):
+    """The contract's list is written out here, so that a rule's word in RULES is tested too."""
+    contract = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+    hosts = ["com", "x.com", "example.com", "a.example.com", "net", "x.net", "example.net", "a.example.net", "xexample.net", "org", "x.org", "info"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/en/", "/en/71", "/en/8", "/de/", "/de/7", "/de/81", "/de/x?/en/", "/es/", "/de")] + [None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_filter.query(spark, str(tmp_path)).collect()}
+    assert got == {i: brute_url(u, contract) for i, u in enumerate(urls)}
+    assert {(rule, verdict) for _, _, rule, verdict in got.values()} == {("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"), (None, "allow")}
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     keys = spark.range(20000).selectExpr("concat('k', id) as key")
     listed = spark.range(0, 20000, 37).selectExpr("concat('k', id) as key")
